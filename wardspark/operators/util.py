@@ -82,3 +82,21 @@ def hash_bucket(col: Column, buckets: int) -> Column:
     """Deterministic bucket from md5 (same digest in Spark and DuckDB)."""
     h = F.conv(F.substring(F.md5(col.cast("string")), 1, 8), 16, 10).cast("bigint")
     return F.pmod(h, F.lit(buckets))
+
+
+def global_rank(df: DataFrame, order: Sequence[Column], out: str, parts: int | None = None) -> DataFrame:
+    """1-based rank of every row in ``order`` (a total order) without a one-partition sort.
+
+    Rows are range-partitioned on the order, numbered inside each range, and shifted by
+    the row counts of all earlier ranges. The offsets table has one row per partition,
+    so broadcasting it is bounded by the partition count, not by the data.
+    """
+    n = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    r = df.repartitionByRange(n, *order).withColumn("_pid", F.spark_partition_id())
+    r = r.withColumn("_local", F.row_number().over(Window.partitionBy("_pid").orderBy(*order)))
+    counts = r.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offs = counts.select("_pid", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    return (r.join(F.broadcast(offs), "_pid")
+             .withColumn(out, (F.col("_off") + F.col("_local")).cast("bigint"))
+             .drop("_pid", "_local", "_off"))
