@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wardspark.functions import text as T
-from wardspark.operators.util import broadcast_if_small, global_rank
+from wardspark.operators.util import broadcast_if_small, global_rank, running_sums
 
 # Fixed values (must equal the reference's special ids and limits).
 PAD, UNK, CLS, SEP = 0, 100, 101, 102
@@ -113,11 +113,10 @@ def event_corpus(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 def with_budget(df: DataFrame, max_len: int = MAX_LEN, key: str = "ID", order: str = "ORDER") -> DataFrame:
     """Running token count per patient (CLS counted); ``in_budget`` when the event's time
     token still leaves room for [SEP] inside ``max_len``; ``n_budget`` events per patient."""
-    w = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    x = df.withColumn("_cum", F.sum(F.size("types")).over(w))
-    x = x.withColumn("in_budget", F.col("_cum") <= max_len - 2)
+    x = running_sums(df.withColumn("_len", F.size("types")), [key], [F.col(order)], ["_len"])
+    x = x.withColumn("in_budget", F.col("cum__len") <= max_len - 2).drop("_len", "cum__len")
     n = x.groupBy(key).agg(F.count_if(F.col("in_budget")).alias("n_budget"))
-    return x.join(n, key).drop("_cum")
+    return x.join(n, key)
 
 
 def sequences(df: DataFrame, max_events: int = MAX_EVENTS, key: str = "ID", order: str = "ORDER") -> DataFrame:

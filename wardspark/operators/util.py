@@ -100,3 +100,28 @@ def global_rank(df: DataFrame, order: Sequence[Column], out: str, parts: int | N
     return (r.join(F.broadcast(offs), "_pid")
              .withColumn(out, (F.col("_off") + F.col("_local")).cast("bigint"))
              .drop("_pid", "_local", "_off"))
+
+
+def running_sums(df: DataFrame, keys: Sequence[str], order: Sequence[Column], values: Sequence[str],
+                 parts: int | None = None) -> DataFrame:
+    """Inclusive running sums of ``values`` within ``keys`` along ``order`` (a total order
+    inside each key), without a window partitioned by the key.
+
+    Rows are range-partitioned on (keys, order); sums are taken inside each (range, key)
+    piece, and each piece is shifted by the totals of the same key in earlier ranges
+    (a table of at most partitions x keys rows). A key holding a third of all rows is
+    therefore spread over many tasks. Adds ``cum_<value>`` columns.
+    """
+    n = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    r = df.repartitionByRange(n, *[F.col(k) for k in keys], *order).withColumn("_pid", F.spark_partition_id())
+    piece = Window.partitionBy("_pid", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    for v in values:
+        r = r.withColumn(f"_l_{v}", F.sum(v).over(piece))
+    tot = r.groupBy("_pid", *keys).agg(*[F.sum(v).alias(f"_t_{v}") for v in values])
+    before = Window.partitionBy(*keys).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offs = tot.select("_pid", *keys, *[F.coalesce(F.sum(f"_t_{v}").over(before), F.lit(0)).alias(f"_o_{v}")
+                                       for v in values])
+    j = r.join(broadcast_if_small(offs), ["_pid", *keys])
+    for v in values:
+        j = j.withColumn(f"cum_{v}", F.col(f"_o_{v}") + F.col(f"_l_{v}")).drop(f"_o_{v}", f"_l_{v}")
+    return j.drop("_pid")

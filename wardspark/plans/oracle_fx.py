@@ -172,8 +172,8 @@ FROM (SELECT vec_id, unnest(range(0, len(embedding))) AS pos, unnest(embedding)
      range(0, 6) o(owner)""")
 
 cte("fx_metric", (), """
-SELECT event_type AS client, dayofyear(ts) - 1 AS round, round(avg(value), 1) AS auprc
-FROM events GROUP BY event_type, dayofyear(ts) - 1""")
+SELECT event_type AS client, CAST(dayofyear(ts) - 1 AS INTEGER) AS round, round(avg(value), 1) AS auprc
+FROM events GROUP BY event_type, CAST(dayofyear(ts) - 1 AS INTEGER)""")
 
 cte("fx_multilabel", (), """
 SELECT l_orderkey AS pid, CAST(c_nationkey AS VARCHAR) AS client,
