@@ -135,3 +135,15 @@ def pooled_train(spark, d):
     f = K.stratified_folds(lab, group=["client"])
     f = f.where((F.col("task") == "mort") & (F.col("seed") == 2020) & (F.col("fold") == K.TRAIN))
     return lab.join(f.select("pid"), "pid", "left_semi").select("pid", "mort")
+
+
+@query("array_json_roundtrip", with_ctes("""
+SELECT pid, to_json(dx) AS dx_json, CAST(len(dx) AS INTEGER) AS n FROM fold_labels""", "fold_labels"))
+def array_json_roundtrip(spark, d):
+    """Label table exported with JSON text arrays and parsed back with an explicit type."""
+    from wardspark.sources.io import arrays_to_json, json_to_arrays
+    lab = fold_labels(spark, d).select("pid", "dx")
+    txt = arrays_to_json(lab, ["dx"])
+    back = json_to_arrays(txt.withColumnRenamed("dx", "dx_json").withColumn("dx", F.col("dx_json")),
+                          {"dx": "array<int>"})
+    return back.select("pid", "dx_json", F.size("dx").alias("n"))
