@@ -94,14 +94,16 @@ def multilabel_folds(labels: DataFrame, pid: str = "pid", col: str = "dx", seeds
 
 def fold_grid(labels: DataFrame, pid: str = "pid", seeds: Sequence[int] = SEEDS,
               group: Sequence[str] = ()) -> DataFrame:
-    """Long fold table (pid, [group], task, seed, scheme, fold): strat per task + random."""
-    s = stratified_folds(labels, BINARY_TASKS, pid, seeds, group).select(
-        pid, *group, "task", "seed", F.lit("strat").alias("scheme"), "fold")
-    m = multilabel_folds(labels, pid, "dx", seeds, group).select(
-        pid, *group, F.lit("dx").alias("task"), "seed", F.lit("strat").alias("scheme"), "fold")
-    r = random_folds(labels, pid, seeds, group).select(
-        pid, *group, F.lit("all").alias("task"), "seed", F.lit("rand").alias("scheme"), "fold")
-    return s.unionByName(m).unionByName(r)
+    """Long fold table (pid, [group], task, seed, scheme, fold): stratified per binary task,
+    rarest-class stratified for dx, random for 'all' - ranked in one pass over the union."""
+    base = rarest_label(labels.select(pid, *group, *BINARY_TASKS, "dx"), pid, "dx")
+    items = [F.struct(F.lit(t).alias("task"), F.lit("strat").alias("scheme"), F.col(t).cast("int").alias("st"))
+             for t in BINARY_TASKS]
+    items += [F.struct(F.lit("dx").alias("task"), F.lit("strat").alias("scheme"), F.col("stratum").alias("st")),
+              F.struct(F.lit("all").alias("task"), F.lit("rand").alias("scheme"), F.lit(0).alias("st"))]
+    x = with_seeds(base.select(pid, *group, F.explode(F.array(*items)).alias("_i")), seeds)
+    x = x.select(pid, *group, "seed", "_i.task", "_i.scheme", "_i.st")
+    return assign(x, pid, [*group, "task", "scheme", "seed", "st"]).drop("st")
 
 
 def label_share(folds: DataFrame) -> DataFrame:

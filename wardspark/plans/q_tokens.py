@@ -11,6 +11,7 @@ from wardspark.plans.oracle_fx import cte, with_ctes
 from wardspark.plans.q_events import VALUE_COLS, event_stage
 from wardspark.plans.q_text import digit_split_sql, float_text_sql, spell_sql
 from wardspark.sources import fixtures as X
+from wardspark.sources.stage import cut
 
 RE = K.TOKEN_RE.replace("'", "''")
 DOUBLE_COLS = {"valuenum", "dose_val", "rate"}
@@ -22,16 +23,18 @@ def ints_text(c, sep=","):
 
 # ============================================================================ Spark stages
 def doc_tokens(spark, d):
+    """Tokenised corpus: a stage output (vocabulary build and encoding both read it)."""
     t = X.fx_text(spark, d)
-    return t.select("doc_id", K.pretokenize(T.digit_split_text(F.col("text"))).alias("toks"))
+    return cut(t.select("doc_id", K.pretokenize(T.digit_split_text(F.col("text"))).alias("toks")))
 
 
-def doc_vocab(spark, d):
-    return K.build_vocab(doc_tokens(spark, d).select(F.explode("toks").alias("token")))
+def doc_vocab(spark, d, toks=None):
+    toks = doc_tokens(spark, d) if toks is None else toks
+    return K.build_vocab(toks.select(F.explode("toks").alias("token")))
 
 
 def event_token_stage(spark, d):
-    ev = event_stage(spark, d)
+    ev = cut(event_stage(spark, d))  # the canonical event table is a stage output
     vocab = K.build_vocab(K.event_corpus(ev, VALUE_COLS))
     return K.event_tokens(ev, VALUE_COLS, vocab)
 
@@ -122,7 +125,7 @@ FROM doc_tok t LEFT JOIN (
   LEFT JOIN doc_vocab v ON p.tok = v.token GROUP BY doc_id) e ON t.doc_id = e.doc_id""", "doc_tok", "doc_vocab"))
 def vocab_encode(spark, d):
     toks = doc_tokens(spark, d)
-    enc = K.encode_tokens(toks, "doc_id", "toks", doc_vocab(spark, d), "ids")
+    enc = K.encode_tokens(toks, "doc_id", "toks", doc_vocab(spark, d, toks), "ids")
     return enc.select("doc_id", F.size("toks").alias("n_tokens"), F.md5(ints_text(F.col("ids"))).alias("ids_md5"))
 
 

@@ -13,7 +13,19 @@ from pyspark.sql import functions as F
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Give a scan at least the cluster's parallelism.
+
+    A source stored as one unsplittable file (one row group) is read by one task, and
+    all per-row work before the first shuffle would run on one core. Only then are the
+    rows redistributed (round-robin, deterministic on retry); a large input already has
+    thousands of splits and is left untouched, so no shuffle is added at scale.
+    """
+    par = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(par) if df.rdd.getNumPartitions() < par else df
 
 
 def _hours(n: Column, ts: Column) -> Column:
