@@ -88,7 +88,9 @@ def gradient(features: DataFrame, params: DataFrame, client: str = "client", x:
     """Mean logistic-loss gradient per (client, idx); idx = dims is the bias."""
     w = F.broadcast(to_vectors(params, client))
     j = features.join(w, client)
-    z = F.aggregate(F.zip_with(F.col(x), F.col("w"), lambda a, b: a * b), F.lit(0.0), lambda acc, v: acc + v) \
+    # w holds dims weights + the bias: zip x with the first size(x) weights only
+    coef = F.slice(F.col("w"), 1, F.size(F.col(x)))
+    z = F.aggregate(F.zip_with(F.col(x), coef, lambda a, b: a * b), F.lit(0.0), lambda acc, v: acc + v) \
         + F.element_at(F.col("w"), -1)
     j = j.withColumn("_r", sigmoid(z) - F.col(y).cast("double"))
     g = j.select(client, F.posexplode(F.concat(F.transform(F.col(x), lambda v: v * F.col("_r")),
