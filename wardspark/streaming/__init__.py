@@ -1,0 +1,6 @@
+"""Streaming: intentionally empty.
+
+The reference has no stream processing (no watermarks, time windows over unbounded input,
+stateful operators or late-data rules); its time windows are the batch observation and
+label windows implemented in ``operators.events`` and ``operators.cohort``.
+"""
