@@ -140,7 +140,7 @@ def pooled_train(spark, d):
 
 
 @query("array_json_roundtrip", with_ctes("""
-SELECT pid, to_json(dx) AS dx_json, CAST(len(dx) AS INTEGER) AS n FROM fold_labels""", "fold_labels"))
+SELECT pid, CAST(to_json(dx) AS VARCHAR) AS dx_json, CAST(len(dx) AS INTEGER) AS n FROM fold_labels""", "fold_labels"))
 def array_json_roundtrip(spark, d):
     """Label table exported with JSON text arrays and parsed back with an explicit type."""
     from wardspark.sources.io import arrays_to_json, json_to_arrays
