@@ -1,9 +1,10 @@
 """Canonical event tables, observation windows and per-patient ordering
 (A2, B1-B5, B10-B14, C5, C6, D6, E1, E2, F1, F3, F4, G5, G17, H6).
 
-Per-ID counts are aggregates joined back (combinable, skew-safe). The per-ID order and
-the gap to the previous event need a window ordered inside an ID; the sort key is a
-total order (ID, TIME, table rank, event key) so results never depend on file order.
+Per-ID counts are aggregates joined back (combinable, skew-safe). The per-ID order is a
+running count over range partitions and the previous event is an equi-join on
+(ID, ORDER - 1), so no window is partitioned by patient; the sort key is a total order
+(ID, TIME, table rank, event key) so results never depend on file order.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 from wardspark.functions.clinical import minutes_between
 from wardspark.operators.buckets import qcut_global
 from wardspark.operators.codes import map_codes
+from wardspark.operators.util import running_sums
 from wardspark.spec import TableSpec
 
 KEYS = ("ID", "TIME", "TABLE_NAME", "ORDER", "time_gap", "time_bucket")
@@ -89,16 +91,26 @@ def order_key(table_rank: Column, row_key: str = "event_id") -> list[Column]:
 
 
 def with_order(df: DataFrame, tables: Sequence[str], row_key: str = "event_id") -> DataFrame:
-    """ORDER = position of the event inside its ID by (TIME, table rank, row key)."""
+    """ORDER = position of the event inside its ID by (TIME, table rank, row key).
+
+    A running count over range partitions of (ID, order) with per-range offsets - no window
+    is partitioned by ID, so one patient holding a third of all events is still split
+    over many tasks.
+    """
     rank = F.array_position(F.array(*[F.lit(t) for t in tables]), F.col("TABLE_NAME"))
-    w = Window.partitionBy("ID").orderBy(*order_key(rank, row_key))
-    return df.withColumn("ORDER", F.row_number().over(w))
+    x = running_sums(df.withColumn("_one", F.lit(1)), ["ID"], order_key(rank, row_key), ["_one"])
+    return x.withColumn("ORDER", F.col("cum__one").cast("int")).drop("_one", "cum__one")
 
 
 def with_gap(df: DataFrame, time: str = "TIME") -> DataFrame:
-    """time_gap = TIME - previous TIME in the ID's order (0 for the first event)."""
-    w = Window.partitionBy("ID").orderBy("ORDER")
-    return df.withColumn("time_gap", F.coalesce(F.col(time) - F.lag(time).over(w), F.lit(0)).cast("bigint"))
+    """time_gap = TIME - previous TIME in the ID's order (0 for the first event).
+
+    The previous event is found by an equi-join on (ID, ORDER) = (ID, ORDER - 1); the
+    composite key hashes a hot patient's events over all partitions.
+    """
+    prev = df.select("ID", (F.col("ORDER") + 1).alias("ORDER"), F.col(time).alias("_prev"))
+    j = df.join(prev, ["ID", "ORDER"], "left")
+    return j.withColumn("time_gap", F.coalesce(F.col(time) - F.col("_prev"), F.lit(0)).cast("bigint")).drop("_prev")
 
 
 def with_time_bucket(df: DataFrame, q: int = 20) -> DataFrame:
