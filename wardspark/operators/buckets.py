@@ -18,7 +18,7 @@ from fractions import Fraction
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wardspark.operators.util import broadcast_if_small
+from wardspark.operators.util import broadcast_if_small, rank_within
 
 NUMERIC_RE = r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"
 
@@ -74,14 +74,11 @@ def qcut_by(df: DataFrame, key: str, value: str, out: str, q: int = 20) -> DataF
 
 
 def dense_rank_by(df: DataFrame, key: str, value: str, out: str) -> DataFrame:
-    """``groupby(key)[value].rank(method='dense')`` via the distinct (key, value) table.
-
-    The distinct table is ranked and joined back, so the window only sees distinct
-    values per key rather than every row of a hot key.
-    """
-    from pyspark.sql import Window
+    """``groupby(key)[value].rank(method='dense')``: the rank of each distinct value inside
+    its key, computed on the distinct (key, value) table without a window partitioned by
+    the key (a hot code is spread over all tasks), then joined back."""
     d = df.select(key, value).where(F.col(value).isNotNull()).distinct()
-    r = d.withColumn(out, F.dense_rank().over(Window.partitionBy(key).orderBy(value)))
+    r = rank_within(d, [key], [F.col(value)], out).drop(f"{out}_n")
     return df.join(r, [key, value], "left")
 
 

@@ -17,7 +17,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wardspark.operators.util import broadcast_if_small, global_rank, hash_bucket
+from wardspark.operators.util import hash_bucket, rank_within
 
 TEST, TRAIN, VALID = 0, 1, 2
 SEEDS = (2020, 2021, 2022, 2023, 2024)
@@ -30,17 +30,8 @@ def split_key(pid: Column, seed: Column) -> Column:
 
 def rank_in_strata(df: DataFrame, strata: Sequence[str], key: Column, pid: str) -> DataFrame:
     """Adds ``_r`` (1-based rank inside the stratum) and ``_n`` (stratum size)."""
-    x = df.withColumn("_key", key)
-    order = [F.col(s).asc_nulls_first() for s in strata] + [F.col("_key"), F.col(pid)]
-    ranked = global_rank(x, order, "_g")
-    sizes = x.groupBy(*strata).agg(F.count(F.lit(1)).alias("_n"))
-    w = Window.orderBy(*[F.col(s).asc_nulls_first() for s in strata]).rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.withColumn("_off", F.coalesce(F.sum("_n").over(w), F.lit(0)))
-    # one row per stratum (group x task x seed x label): small, and size-checked anyway
-    sizes = broadcast_if_small(sizes.select(*[F.col(s).alias(f"_s{i}") for i, s in enumerate(strata)], "_n", "_off"))
-    j = ranked.join(sizes, [ranked[s].eqNullSafe(sizes[f"_s{i}"]) for i, s in enumerate(strata)])
-    j = j.drop(*[f"_s{i}" for i in range(len(strata))])
-    return j.withColumn("_r", F.col("_g") - F.col("_off")).drop("_g", "_off", "_key")
+    x = rank_within(df.withColumn("_key", key), list(strata), [F.col("_key"), F.col(pid)], "_r")
+    return x.withColumnRenamed("_r_n", "_n").drop("_key")
 
 
 def fold_of(r: Column, n: Column, test_split: int = 10, val_split: int = 9) -> Column:

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wardspark.functions import text as T
-from wardspark.operators.util import broadcast_if_small, global_rank, running_sums
+from wardspark.operators.util import broadcast_if_small, global_rank, rank_within, running_sums
 
 # Fixed values (must equal the reference's special ids and limits).
 PAD, UNK, CLS, SEP = 0, 100, 101, 102
@@ -192,9 +192,10 @@ def count_nonempty_rows(hi: Column) -> Column:
 def batch_sizes(samples: DataFrame, client: str, pid: str, batch_size: int = 64,
                 max_seq: int = MAX_EVENTS, max_word: int = MAX_WORDS) -> DataFrame:
     """Collator shapes: batch = (rank of pid within client) / batch_size; target sizes are the
-    batch maxima capped by the limits. Window per client runs over the small per-sample table."""
-    w = Window.partitionBy(client).orderBy(pid)
-    x = samples.withColumn("batch", F.floor((F.row_number().over(w) - 1) / batch_size))
+    batch maxima capped by the limits. The rank inside a client is a global rank minus
+    client offsets (no window per client); the batch maxima are windows over 64 rows."""
+    x = rank_within(samples, [client], [F.col(pid)], "_rk").drop("_rk_n")
+    x = x.withColumn("batch", F.floor((F.col("_rk") - 1) / batch_size)).drop("_rk")
     x = x.withColumn("_seq", F.size("ids")).withColumn("_word", F.array_max(F.transform("ids", lambda e: F.size(e))))
     wb = Window.partitionBy(client, "batch")
     return (x.withColumn("target_seq", F.least(F.max("_seq").over(wb), F.lit(max_seq)))

@@ -125,3 +125,24 @@ def running_sums(df: DataFrame, keys: Sequence[str], order: Sequence[Column], va
     for v in values:
         j = j.withColumn(f"cum_{v}", F.col(f"_o_{v}") + F.col(f"_l_{v}")).drop(f"_o_{v}", f"_l_{v}")
     return j.drop("_pid")
+
+
+def rank_within(df: DataFrame, keys: Sequence[str], order: Sequence[Column], out: str) -> DataFrame:
+    """1-based rank inside each ``keys`` group along ``order`` (a total order), plus the
+    group size ``<out>_n``, without a window partitioned by the key: a global rank over
+    (keys, order) minus the number of rows in all earlier groups. The per-group table
+    (one row per key) gets cumulative offsets from ``running_sums`` and is joined back.
+    """
+    kcols = [F.col(k).asc_nulls_first() for k in keys]
+    ranked = global_rank(df, [*kcols, *order], "_g")
+    if not keys:  # one group: the size is a one-row scalar subquery
+        return (ranked.withColumnRenamed("_g", out)
+                      .withColumn(f"{out}_n", df.agg(F.count(F.lit(1))).scalar()))
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_gn"))
+    sizes = running_sums(sizes.withColumn("_one", F.lit(0)), ["_one"], kcols, ["_gn"]) \
+        .withColumn("_off", F.col("cum__gn") - F.col("_gn")).drop("_one", "cum__gn")
+    sizes = broadcast_if_small(sizes.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_gn", "_off"))
+    j = ranked.join(sizes, [ranked[k].eqNullSafe(sizes[f"_k{i}"]) for i, k in enumerate(keys)])
+    j = j.drop(*[f"_k{i}" for i in range(len(keys))])
+    return (j.withColumn(out, (F.col("_g") - F.col("_off")).cast("bigint"))
+             .withColumnRenamed("_gn", f"{out}_n").drop("_g", "_off"))
