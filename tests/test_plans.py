@@ -31,8 +31,7 @@ def test_scan_prunes_columns(spark):
 
 def test_every_query_has_oracle_or_is_declared_rows_only():
     import __spark_entry__ as E
-    rows_only = {"batch_pad", "embed_pool", "event_fixed", "fed_round", "round_resume", "seq_check", "seq_flat",
-                 "single_train"}
+    rows_only = {"batch_pad", "embed_pool", "fed_round", "round_resume", "single_train"}
     q, o = E.queries(), E.oracle_sql()
     assert set(q) - set(o) == rows_only
     assert set(o) <= set(q)

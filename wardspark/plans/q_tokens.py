@@ -107,6 +107,35 @@ FROM tk_event""")
 cte("tk_nb", ("tk_budget",), """
 SELECT "ID", count(*) FILTER (WHERE in_budget) AS n_budget, count(*) AS n_events FROM tk_budget GROUP BY "ID" """)
 
+cte("tk_fix_in", ("tk_budget", "tk_nb"), """
+SELECT "ID", CAST(row_number() OVER (PARTITION BY "ID" ORDER BY "ORDER") - 1 AS INTEGER) AS k,
+       list_concat([101], ids) AS z, list_concat([1], types) AS t, list_concat([0], dpes) AS d, ids[-1] AS tm
+FROM tk_budget WHERE in_budget AND "ID" IN (SELECT "ID" FROM tk_nb WHERE n_budget <= 256)""")
+cte("tk_fix_cut", ("tk_fix_in",), """
+SELECT *, coalesce(CASE WHEN ends[-1] < 126 THEN ends[-1] ELSE ends[-2] END, 0) + 1 AS keep FROM (
+  SELECT *, list_filter(range(0, 128), lambda p: t[p + 1] = 7 AND (p = 127 OR coalesce(t[p + 2], 0) <> 7)) AS ends
+  FROM tk_fix_in) x""")
+ZEROS = "list_transform(range({n}), lambda x: 0)"
+cte("tk_fixed", ("tk_fix_cut",), f"""
+SELECT "ID", k,
+  CASE WHEN len(z) <= 127 THEN list_concat(z, [102], {ZEROS.format(n='128 - len(z) - 1')})
+       ELSE list_concat(z[1:keep], [tm, 102], {ZEROS.format(n='128 - keep - 2')}) END AS fi,
+  CASE WHEN len(z) <= 127 THEN list_concat(t, [2], {ZEROS.format(n='128 - len(z) - 1')})
+       ELSE list_concat(t[1:keep], [4, 2], {ZEROS.format(n='128 - keep - 2')}) END AS ft,
+  CASE WHEN len(z) <= 127 THEN list_concat(d, [0], {ZEROS.format(n='128 - len(z) - 1')})
+       ELSE list_concat(d[1:keep], [1, 0], {ZEROS.format(n='128 - keep - 2')}) END AS fd
+FROM tk_fix_cut""")
+cte("tk_flatseq", ("tk_fixed",), """
+SELECT "ID", count(*) AS hi_rows, list_filter(flatten(list(
+    list_transform(range(1, len(fi) + 1), lambda i: {'i': fi[i], 't': ft[i], 'd': fd[i]}) ORDER BY k)),
+  lambda s: s.i NOT IN (0, 101, 102)) AS body
+FROM tk_fixed GROUP BY "ID" """)
+cte("tk_flat8192", ("tk_flatseq",), """
+SELECT "ID", hi_rows, list_concat([{'i': 101, 't': 1, 'd': 0}], body, [{'i': 102, 't': 2, 'd': 0}],
+  list_transform(range(greatest(0, 8192 - len(body) - 2)), lambda x: {'i': 0, 't': 0, 'd': 0})) AS flat
+FROM tk_flatseq""")
+STRUCT_TXT = "array_to_string(list_transform({a}, lambda s: CAST(s.i AS VARCHAR) || ':' || CAST(s.t AS VARCHAR) || ':' || CAST(s.d AS VARCHAR)), ',')"
+
 cte("doc_tok", ("fx_text",), f"SELECT doc_id, regexp_extract_all({digit_split_sql('text')}, '{RE}') AS toks FROM fx_text")
 cte("doc_vocab", ("doc_tok",), VOCAB_SQL.format(col="toks", src="doc_tok"))
 
@@ -164,7 +193,10 @@ def _struct_text(arr):
                                                              s["d"].cast("string"))), ",")
 
 
-@query("event_fixed")
+@query("event_fixed", with_ctes("""
+SELECT "ID", k, CAST(len(fi) AS INTEGER) AS width, md5(""" + STRUCT_TXT.format(
+    a="list_transform(range(1, len(fi) + 1), lambda i: {'i': fi[i], 't': ft[i], 'd': fd[i]})") + """) AS ev_md5
+FROM tk_fixed""", "tk_fixed"))
 def event_fixed(spark, d):
     """Fixed 128-wide events (CLS, budgeted truncation at a value-run end, time, SEP, zeros)."""
     h = K.hierarchical(sequence_stage(spark, d), pad=False)
@@ -172,7 +204,10 @@ def event_fixed(spark, d):
     return x.select("ID", "k", F.size("ev").alias("width"), F.md5(_struct_text(F.col("ev"))).alias("ev_md5"))
 
 
-@query("seq_flat")
+@query("seq_flat", with_ctes("""
+SELECT "ID", CAST(len(flat) AS INTEGER) AS length,
+       CAST(len(list_filter(flat, lambda s: s.t = 4)) AS INTEGER) AS n_events,
+       md5(""" + STRUCT_TXT.format(a="flat") + """) AS flat_md5 FROM tk_flat8192""", "tk_flat8192"))
 def seq_flat(spark, d):
     """Hierarchical (256 x 128) -> flat 8192 sequence per patient, with the event recount."""
     h = K.hierarchical(sequence_stage(spark, d))
@@ -181,7 +216,10 @@ def seq_flat(spark, d):
                     F.md5(_struct_text(F.col("flat"))).alias("flat_md5"))
 
 
-@query("seq_check")
+@query("seq_check", with_ctes("""
+SELECT "ID", flat_count, hi_count, flat_count = hi_count AS equal FROM (
+  SELECT "ID", CAST(len(list_filter(flat, lambda s: s.t = 4)) AS INTEGER) AS flat_count,
+         CAST(hi_rows AS INTEGER) AS hi_count FROM tk_flat8192) t""", "tk_flat8192"))
 def seq_check(spark, d):
     """Data-quality query: flat vs hierarchical event counts per patient (and whether equal)."""
     h = K.hierarchical(sequence_stage(spark, d))
