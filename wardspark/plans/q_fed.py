@@ -8,6 +8,7 @@ from wardspark.operators import fed as FD
 from wardspark.operators import metrics as M
 from wardspark.operators import tokens as TK
 from wardspark.operators.util import hash_bucket
+from wardspark.plans import q_tokens  # noqa: F401  (registers the token CTE fragments)
 from wardspark.plans.catalog import query
 from wardspark.plans.oracle_fx import cte, with_ctes
 from wardspark.sources import fixtures as X
@@ -290,7 +291,15 @@ def _list_rounds(spark, root):
     return [s.getPath().getName() for s in fs.listStatus(path) if s.getPath().getName().startswith("round=")]
 
 
-@query("batch_pad")
+@query("batch_pad", with_ctes("""
+SELECT "ID", client, batch, target_seq, target_word,
+  md5(array_to_string(list_transform(padded, lambda r: array_to_string(r, ',')), '|')) AS ids_md5
+FROM (SELECT *, CASE WHEN len(rows) >= target_seq THEN rows[1:target_seq]
+                     ELSE list_concat(rows, list_transform(range(target_seq - len(rows)),
+                          lambda x: list_concat([101], list_transform(range(target_word - 1), lambda y: 0)))) END AS padded
+      FROM (SELECT *, list_transform(evs, lambda e: CASE WHEN len(e) >= target_word THEN e[1:target_word]
+                          ELSE list_concat(e, list_transform(range(target_word - len(e)), lambda y: 0)) END) AS rows
+            FROM tk_batch) a) b""", "tk_batch"))
 def batch_pad(spark, d):
     """Collator shapes and padding per batch of 64 patients within a client."""
     from wardspark.plans.q_tokens import sequence_stage

@@ -136,6 +136,16 @@ SELECT "ID", hi_rows, list_concat([{'i': 101, 't': 1, 'd': 0}], body, [{'i': 102
 FROM tk_flatseq""")
 STRUCT_TXT = "array_to_string(list_transform({a}, lambda s: CAST(s.i AS VARCHAR) || ':' || CAST(s.t AS VARCHAR) || ':' || CAST(s.d AS VARCHAR)), ',')"
 
+cte("tk_seq", ("tk_budget", "tk_nb"), """
+SELECT "ID", CAST("ID" % 3 AS VARCHAR) AS client, list(ids ORDER BY "ORDER") AS evs FROM tk_budget
+WHERE in_budget AND "ID" IN (SELECT "ID" FROM tk_nb WHERE n_budget <= 256) GROUP BY "ID" """)
+cte("tk_batch", ("tk_seq",), """
+SELECT *, CAST(least(max(len(evs)) OVER (PARTITION BY client, batch), 256) AS INTEGER) AS target_seq,
+       CAST(least(max(list_max(list_transform(evs, lambda e: len(e)))) OVER (PARTITION BY client, batch), 128)
+            AS INTEGER) AS target_word
+FROM (SELECT *, CAST(floor((row_number() OVER (PARTITION BY client ORDER BY "ID") - 1) / 64) AS BIGINT) AS batch
+      FROM tk_seq) x""")
+
 cte("doc_tok", ("fx_text",), f"SELECT doc_id, regexp_extract_all({digit_split_sql('text')}, '{RE}') AS toks FROM fx_text")
 cte("doc_vocab", ("doc_tok",), VOCAB_SQL.format(col="toks", src="doc_tok"))
 
