@@ -310,7 +310,21 @@ def batch_pad(spark, d):
     return b.select("ID", "client", "batch", "target_seq", "target_word", F.md5(txt).alias("ids_md5"))
 
 
-@query("embed_pool")
+@query("embed_pool", with_ctes("""
+SELECT "ID", string_agg(printf('%.6f', v), ',' ORDER BY k) AS pooled FROM (
+  SELECT "ID", k, avg(v) AS v FROM (
+    SELECT x."ID", x.ev, x.j, e.k, sum(e.v) AS v FROM (
+      SELECT "ID", ev, j, ((i % n) + n) % n AS vec_id FROM tok UNION ALL
+      SELECT "ID", ev, j, ((t % n) + n) % n FROM tok UNION ALL
+      SELECT "ID", ev, j, ((d + 100) % n + n) % n FROM tok) x
+    JOIN (SELECT vec_id, unnest(range(0, len(embedding))) AS k, unnest(embedding) AS v FROM embeddings) e
+      ON x.vec_id = e.vec_id
+    GROUP BY x."ID", x.ev, x.j, e.k) a
+  GROUP BY "ID", k) b
+GROUP BY "ID" """.replace("FROM tok", "FROM (SELECT \"ID\", \"ORDER\" AS ev, unnest(ids) AS i, unnest(types) AS t, "
+                          "unnest(dpes) AS d, unnest(range(len(ids))) AS j, (SELECT count(*) FROM embeddings) AS n "
+                          "FROM tk_budget WHERE in_budget AND \"ID\" IN (SELECT \"ID\" FROM tk_nb WHERE n_budget <= 256)) tok"),
+    "tk_budget", "tk_nb"))
 def embed_pool(spark, d):
     """Token + type + digit-place vector sum per token, mean-pooled per patient over the
     non-padding tokens (vectors from the embeddings table)."""
