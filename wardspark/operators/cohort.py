@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from wardspark.functions.clinical import (age_from_anchor, age_from_dob, age_from_text, flag,
                                           plus_hours)
-from wardspark.operators.util import category_codes, first_nonnull_by, first_row_by
+from wardspark.operators.util import broadcast_if_small, first_nonnull_by, first_row_by
 from wardspark.spec import ABSOLUTE, ANCHORED, RELATIVE, CohortSpec
 
 ICU_DEATH = "IN_ICU_MORTALITY"
@@ -61,6 +61,18 @@ def readmission(stays: DataFrame, adm: str = "adm_id", stay: str = "stay_id") ->
                  .withColumn("readmission", (F.col("n_stays") > 1).cast("int")))
 
 
+def first_stay_with_readmission(stays: DataFrame, cols: list[str], adm: str = "adm_id",
+                                order: tuple[str, ...] = ("intime", "stay_id"), desc: bool = False,
+                                stay: str = "stay_id") -> DataFrame:
+    """First (or last) stay per admission and the readmission flag in ONE aggregate pass:
+    ``min(struct(order..., cols...))`` and ``count`` combine map-side together."""
+    fields = [F.col(o).alias(f"_o{i}") for i, o in enumerate(order)] + [F.col(c).alias(c) for c in cols]
+    pick = (F.max if desc else F.min)(F.struct(*fields)).alias("_pick")
+    g = stays.groupBy(adm).agg(pick, F.count(stay).alias("n_stays"))
+    return g.select(adm, *[F.col(f"_pick.{c}").alias(c) for c in cols], "n_stays",
+                    (F.col("n_stays") > 1).cast("int").alias("readmission"))
+
+
 def first_stay(stays: DataFrame, cols: list[str], adm: str = "adm_id",
                order: tuple[str, ...] = ("intime", "stay_id"), desc: bool = False) -> DataFrame:
     """Whole row of the earliest (``desc``: latest) stay per admission; ties by stay id."""
@@ -110,8 +122,18 @@ def imminent(df: DataFrame, discharged: F.Column) -> DataFrame:
 
 
 def coded(df: DataFrame) -> DataFrame:
-    df, _ = category_codes(df, "location", "final_acuity")
-    df, _ = category_codes(df, "imminent", "imminent_discharge")
+    """Category codes of the final location and the imminent-discharge label. Both code
+    tables come from one distinct pass over (location, imminent) - a few dozen rows."""
+    from pyspark.sql import Window
+    pairs = df.select("location", "imminent").distinct()
+    codes = []
+    for col, out in (("location", "final_acuity"), ("imminent", "imminent_discharge")):
+        cats = pairs.select(F.col(col).alias("_v")).where(F.col("_v").isNotNull()).distinct()
+        t = cats.select("_v", (F.row_number().over(Window.orderBy("_v")) - 1).cast("int").alias(out))
+        codes.append((col, out, broadcast_if_small(t)))
+    for col, out, t in codes:
+        df = df.join(t, df[col].eqNullSafe(t["_v"]), "left").drop("_v") \
+            .withColumn(out, F.coalesce(F.col(out), F.lit(-1)))
     return df
 
 
@@ -123,9 +145,7 @@ STAY_COLS = ["stay_id", "intime", "outtime", "los", "deathtime", "disch_loc", "a
 def cohort_absolute(stays: DataFrame, spec: CohortSpec = ABSOLUTE, min_stay: bool = True) -> DataFrame:
     """Timestamp flavour: unit + adult filter -> readmission -> first stay -> labels -> min stay."""
     base = base_absolute(stays, spec)
-    readm = readmission(base)
-    first = first_stay(base, [c for c in STAY_COLS if c in base.columns])
-    df = first.join(readm, "adm_id", "left")
+    df = first_stay_with_readmission(base, [c for c in STAY_COLS if c in base.columns])
     df = absolute_labels(df, spec)
     if min_stay:
         df = min_stay_absolute(df, spec)
@@ -141,11 +161,10 @@ def cohort_relative(stays: DataFrame, spec: CohortSpec = RELATIVE, min_stay: boo
     if spec.unit_type is not None:
         s = s.where(F.col("last_unit") == spec.unit_type)
     s = adult_filter(s.withColumn("age", age_from_text("age_text")), "age", spec)
-    readm = readmission(s)
     cols = ["stay_id", "unit_offset", "out_offset", "status", "hosp_status", "disch_loc",
             "hospital_id", "age"]
-    first = first_stay(s, cols, order=("unit_offset", "stay_id"), desc=True)
-    df = relative_labels(first.join(readm, "adm_id", "left"), spec)
+    first = first_stay_with_readmission(s, cols, order=("unit_offset", "stay_id"), desc=True)
+    df = relative_labels(first, spec)
     df = final_location(df, F.col("hosp_status") == "Expired")
     horizon = 60 * (spec.obs_hours + spec.gap_hours + spec.pred_hours)
     df = imminent(df, F.col("out_offset") < horizon)
