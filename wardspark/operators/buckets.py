@@ -78,7 +78,7 @@ def dense_rank_by(df: DataFrame, key: str, value: str, out: str) -> DataFrame:
     its key, computed on the distinct (key, value) table without a window partitioned by
     the key (a hot code is spread over all tasks), then joined back."""
     d = df.select(key, value).where(F.col(value).isNotNull()).distinct()
-    r = rank_within(d, [key], [F.col(value)], out).drop(f"{out}_n")
+    r = rank_within(d, [key], [F.col(value)], out).drop(f"{out}_n").withColumn(out, F.col(out).cast("int"))
     return df.join(r, [key, value], "left")
 
 
