@@ -1,10 +1,8 @@
 """Lineage cuts and stage outputs.
 
 ``cut(df)`` writes a reliable checkpoint into the folder named by ``spark.checkpoint.dir``
-(a shared folder on a cluster, so a lost executor never loses the cut). When the session
-names none - a local test or bench run - a fresh folder is created for local masters only;
-a cluster session without the setting falls back to the warehouse folder, never to a
-machine-local path.
+(a shared folder on a cluster, so a lost executor never loses the cut). A cluster session
+without the setting fails; only a single-machine session gets a fresh folder of its own.
 """
 
 from __future__ import annotations
@@ -16,15 +14,23 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share: ``spark.checkpoint.dir``.
+
+    Only a local session (one machine, one process) may leave it unset and then gets a fresh
+    folder; on a cluster an unset folder is an error, never a machine-local path.
+    """
     cp = spark.conf.get("spark.checkpoint.dir", None)
     if not cp:
-        master = spark.sparkContext.master or ""
-        if master.startswith("local"):
-            cp = tempfile.mkdtemp(prefix="wardspark-cp-")
-        else:
-            cp = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_wardspark_checkpoints"
+        if not (spark.sparkContext.master or "").startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir is not set; name a folder that all executors share")
+        cp = tempfile.mkdtemp(prefix="wardspark-cp-")
         spark.conf.set("spark.checkpoint.dir", cp)
+    return cp.rstrip("/")
+
+
+def ensure_checkpoint_dir(spark: SparkSession) -> str:
+    cp = shared_dir(spark)
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(cp)
     return cp
