@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,7 +23,7 @@ def shared_dir(spark: SparkSession) -> str:
     """
     cp = spark.conf.get("spark.checkpoint.dir", None)
     if not cp:
-        if not (spark.sparkContext.master or "").startswith("local["):
+        if not re.match(r"local(\[|$)", spark.sparkContext.master or ""):
             raise RuntimeError("spark.checkpoint.dir is not set; name a folder that all executors share")
         cp = tempfile.mkdtemp(prefix="wardspark-cp-")
         spark.conf.set("spark.checkpoint.dir", cp)
