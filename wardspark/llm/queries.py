@@ -63,3 +63,15 @@ def ring_shards(spark: SparkSession, d: str) -> DataFrame:
     return shard_documents(read(spark, d, "documents")).select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
         F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query("op1_language_filters")
+def language_filters(spark: SparkSession, d: str) -> DataFrame:
+    from wardspark.llm.lang_id import identify_documents
+    return identify_documents(read(spark, d, "documents"))
+
+
+@query("op2_merkle_fingerprints")
+def merkle_fingerprints(spark: SparkSession, d: str) -> DataFrame:
+    from wardspark.llm.merkle import fingerprint_pairs
+    return fingerprint_pairs(read(spark, d, "documents"))
