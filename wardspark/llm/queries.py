@@ -75,3 +75,9 @@ def language_filters(spark: SparkSession, d: str) -> DataFrame:
 def merkle_fingerprints(spark: SparkSession, d: str) -> DataFrame:
     from wardspark.llm.merkle import fingerprint_pairs
     return fingerprint_pairs(read(spark, d, "documents"))
+
+
+@query("op3_rlz_dedup")
+def rlz_dedup(spark: SparkSession, d: str) -> DataFrame:
+    from wardspark.llm.rlz import dedup_substrings
+    return dedup_substrings(read(spark, d, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256", F.size("factors").alias("n_factors"))
