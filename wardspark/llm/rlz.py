@@ -114,7 +114,7 @@ def _index(window: int, seed: int, blocks: int):
                 continue
             key, piece, doc, tag, start, n = (np.concatenate(c) for c in zip(*parts))
             order, new, head, late = _later(key, piece, doc, start)
-            yield from _factors(order, head, late, doc, tag, start, n, True, (key % np.uint64(blocks)).astype(np.int32))
+            yield from _factors(order, head, late, doc, tag, start, n, True, blocks)
             # an entry that equals the batch's first one in id and place is a repeated row: it is kept too
             kept = order[~late]
             block = (key[kept] % np.uint64(blocks)).astype(np.int32)
@@ -131,11 +131,12 @@ def _index(window: int, seed: int, blocks: int):
     return run
 
 
-def _factors(order, head, late, doc, tag, start, n, blob: bool, block=None):
+def _factors(order, head, late, doc, tag, start, n, blob: bool, blocks: int = 1):
+    """Settled pieces; they need no block any more and are dealt evenly."""
     at, ref = order[late], order[head[late]]
     for i in range(0, len(at), 1 << 16):
         a, r = at[i:i + (1 << 16)], ref[i:i + (1 << 16)]
-        more = {"block": block[a]} if blob else {}
+        more = {"block": np.arange(len(a), dtype=np.int32) % blocks} if blob else {}
         yield _batch(FACTOR, blob, len(a), doc_id=doc[a], tag=tag[a].astype(np.int64), start=start[a], n=n[a], ref_doc=doc[r], ref_start=start[r], **more)
 
 
