@@ -81,3 +81,9 @@ def merkle_fingerprints(spark: SparkSession, d: str) -> DataFrame:
 def rlz_dedup(spark: SparkSession, d: str) -> DataFrame:
     from wardspark.llm.rlz import dedup_substrings
     return dedup_substrings(read(spark, d, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256", F.size("factors").alias("n_factors"))
+
+
+@query("op9_ngram_components")
+def ngram_components(spark: SparkSession, d: str) -> DataFrame:
+    from wardspark.llm.ngram_join import link_documents
+    return link_documents(read(spark, d, "documents")).drop("class")
