@@ -37,10 +37,10 @@ from pyspark.sql import functions as F
 from wardspark.llm.common import NULL_ID, ids_of, mix64, pack, parallelism, range_hash, slices, stage, take_columns, unpack, word_hashes, word_spans
 from wardspark.llm.components import components
 
-GROUPS = 128
+GROUPS = 128                   # at least; larger sets get more, so that a group holds four to eight n-grams
 NODE = 16
 CELL = 2048
-SAMPLE, FREQUENT, MAX_FREQUENT = 20_000, 20, 50_000
+SAMPLE, FREQUENT, MAX_FREQUENT = 20_000, 3, 500_000
 BLOCKS_PER_PARTITION = 4
 CLASS, ENTRIES = 0, 1
 
@@ -65,8 +65,17 @@ def class_key(s: np.ndarray) -> int:
     return int(mix64(a ^ (b * np.uint64(0x9E3779B97F4A7C15) + np.uint64(len(s)))).view(np.int64)[0])
 
 
+def groups(n: int) -> int:
+    """Groups for a set of ``n``: a power of two, so points fold onto those of fewer groups."""
+    g = GROUPS
+    while g * 8 < n:
+        g *= 2
+    return g
+
+
 def point(s: np.ndarray) -> np.ndarray:
-    return np.bincount((mix64(s) >> np.uint64(40)).astype(np.int64) % GROUPS, minlength=GROUPS).astype(np.int32)
+    g = groups(len(s))
+    return np.bincount((mix64(s) >> np.uint64(32)).astype(np.int64) % g, minlength=g).astype(np.uint16)
 
 
 def prefix_length(n: int, percent: int) -> int:
@@ -81,8 +90,8 @@ def _rare_first(s: np.ndarray, frequent: np.ndarray) -> np.ndarray:
     return np.concatenate([s[~often], s[often]])
 
 
-ROUTE = [("e_gram", np.uint64), ("e_class", np.int64)]
-ROUTED = "kind int, block int, doc_id bigint, class bigint, n int, point binary, e_gram binary, e_class binary"
+ROUTE = [("e_gram", np.uint64), ("e_class", np.int64), ("e_n", np.uint32)]
+ROUTED = "kind int, block int, doc_id bigint, class bigint, n int, point binary, e_gram binary, e_class binary, e_n binary"
 
 
 def _route(k: int, percent: int, blocks: int, frequent):
@@ -90,7 +99,7 @@ def _route(k: int, percent: int, blocks: int, frequent):
         often = frequent.value
         for batch in batches:
             ids = ids_of(batch.column(0))
-            keys, sizes, points, grams, owners, seen = [], [], [], [], [], set()
+            keys, sizes, points, grams, owners, counts, seen = [], [], [], [], [], [], set()
             for _, _, data, offs in slices(batch.column(1)):
                 for s in shingle_sets(data, offs, k):
                     key = class_key(s)
@@ -104,23 +113,24 @@ def _route(k: int, percent: int, blocks: int, frequent):
                     g = _rare_first(s, often)[:prefix_length(len(s), percent)]
                     grams.append(g)
                     owners.append(np.full(len(g), key, dtype=np.int64))
+                    counts.append(np.full(len(g), len(s), dtype=np.uint32))
             n = len(keys)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.full(n, CLASS, np.int32)), pa.array(np.arange(n, dtype=np.int32) % blocks), pa.array(ids), pa.array(keys, pa.int64()),
-                 pa.array(sizes, pa.int32()), pa.array(points, pa.binary()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary())],
+                 pa.array(sizes, pa.int32()), pa.array(points, pa.binary()), *[pa.nulls(n, pa.binary())] * 3],
                 [x.split()[0] for x in ROUTED.split(", ")])
             if not grams:
                 continue
-            gram, owner = np.concatenate(grams), np.concatenate(owners)
+            gram, owner, size = np.concatenate(grams), np.concatenate(owners), np.concatenate(counts)
             block = (gram % np.uint64(blocks)).astype(np.int32)
             by = np.argsort(block, kind="stable")
-            gram, owner, block = gram[by], owner[by], block[by]
+            gram, owner, size, block = gram[by], owner[by], size[by], block[by]
             cuts = np.flatnonzero(np.diff(block, prepend=-1, append=blocks + 1))
-            rows = [(block[a], pack(gram[a:b]), pack(owner[a:b])) for a, b in zip(cuts[:-1], cuts[1:])]
+            rows = [(block[a], pack(gram[a:b]), pack(owner[a:b]), pack(size[a:b])) for a, b in zip(cuts[:-1], cuts[1:])]
             m = len(rows)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.full(m, ENTRIES, np.int32)), pa.array([r[0] for r in rows], pa.int32()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()),
-                 pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())],
+                 pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary()), *[pa.array([r[c] for r in rows], pa.binary()) for c in (1, 2, 3)]],
                 [x.split()[0] for x in ROUTED.split(", ")])
     return run
 
@@ -128,9 +138,14 @@ def _route(k: int, percent: int, blocks: int, frequent):
 MET = "kind int, doc_id bigint, class bigint, n int, point binary, cell bigint"
 
 
-def _meet(batches):
-    """Blocks of the routing level: class rows pass; entries become cells of two classes or more,
-    named by their members, so cells with the same members are the same."""
+def _meet(percent: int):
+    return lambda batches: _cells_of(batches, percent)
+
+
+def _cells_of(batches, percent: int):
+    """Blocks of the routing level: class rows pass. The classes of an n-gram, by size, are cut
+    where the next is too large to reach the threshold with the one before; runs of two or more are
+    cells, named by their members, so cells with the same members are the same."""
     held = []
     names = ["kind", "doc_id", "class", "n", "point", "cell"]
     for batch in batches:
@@ -143,17 +158,19 @@ def _meet(batches):
             held.append([unpack(mine.column(c)[i].as_buffer(), t) for c, t in ROUTE])
     if not held:
         return
-    gram, owner = (np.concatenate(c) for c in zip(*held))
+    gram, owner, size = (np.concatenate(c) for c in zip(*held))
     held.clear()
-    order = np.lexsort((owner, gram))
-    gram, owner = gram[order], owner[order]
+    order = np.lexsort((owner, size, gram))
+    gram, owner, size = gram[order], owner[order], size[order].astype(np.int64)
     keep = np.ones(len(gram), dtype=bool)
     keep[1:] = (gram[1:] != gram[:-1]) | (owner[1:] != owner[:-1])
-    gram, owner = gram[keep], owner[keep]
-    lead = np.flatnonzero(np.diff(gram, prepend=~gram[:1]))
+    gram, owner, size = gram[keep], owner[keep], size[keep]
+    new = np.ones(len(gram), dtype=bool)
+    new[1:] = (gram[1:] != gram[:-1]) | (100 * size[:-1] < percent * size[1:])
+    lead = np.flatnonzero(new)
     count = np.diff(np.append(lead, len(gram)))
     many = np.repeat(count > 1, count)
-    owner, lead, count = owner[many], None, count[count > 1]
+    owner, count = owner[many], count[count > 1]
     if not len(owner):
         return
     lead = np.cumsum(count) - count
@@ -201,6 +218,24 @@ def tree_join(points: np.ndarray, sizes: np.ndarray, left: np.ndarray, right: np
     return tuple(np.concatenate(c) for c in zip(*found))
 
 
+def join_by_groups(points: list[np.ndarray], sizes: np.ndarray, side: np.ndarray, lone: bool, percent: int):
+    """``tree_join`` of points with different numbers of groups: sets that can link differ at most
+    twofold, so each level is joined with itself and with the next, folded onto its groups."""
+    level = np.array([len(p) for p in points])
+    found = []
+    for g in np.unique(level):
+        here = np.flatnonzero((level == g) | (level == 2 * g))
+        folded = np.zeros((len(points), g), dtype=np.int32)
+        for i in here:
+            folded[i] = points[i].reshape(-1, g).sum(axis=0)
+        left = here if lone else here[side[here] == 0]
+        right = here if lone else here[side[here] == 1]
+        i, j, bound = tree_join(folded, sizes, left, right, percent)
+        mine = (level[i] == g) | (level[j] == g)
+        found.append((i[mine], j[mine], bound[mine]))
+    return tuple(np.concatenate(c) for c in zip(*found))
+
+
 def _forest(i, j, bound, label) -> np.ndarray:
     """Indexes of the pairs of a maximum spanning forest over the labels."""
     up: dict = {}
@@ -225,11 +260,8 @@ def _join_cells(percent: int, all_pairs: bool):
     def flush(rows):
         side, cls, comp, size, raw = zip(*rows)
         cls, comp, size, side = np.array(cls), np.array(comp), np.array(size, dtype=np.int64), np.array(side)
-        points = np.stack([unpack(p, np.int32) for p in raw])
         lone = not side.any()
-        left = np.flatnonzero(side == 0)
-        right = left if lone else np.flatnonzero(side == 1)
-        i, j, bound = tree_join(points, size, left, right, percent)
+        i, j, bound = join_by_groups([unpack(p, np.uint16) for p in raw], size, side, lone, percent)
         other = comp[i] != comp[j] if not lone else (comp[i] != comp[j]) & (i < j)
         i, j, bound = i[other], j[other], bound[other]
         if not all_pairs:
@@ -334,7 +366,7 @@ def link_documents(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
     d = take_columns(docs, "doc_id", "text")
     often = spark.sparkContext.broadcast(frequent_grams(d, k))
     routed = d.mapInArrow(_route(k, percent, n * BLOCKS_PER_PARTITION, often), ROUTED)
-    met = stage(routed.repartition(n, "block").mapInArrow(_meet, MET), "ngram-met")
+    met = stage(routed.repartition(n, "block").mapInArrow(_meet(percent), MET), "ngram-met")
 
     rows = met.where(F.col("kind") == CLASS).select("doc_id", "class", "n", "point")
     classes = rows.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.max("point").alias("point"))
@@ -347,8 +379,10 @@ def link_documents(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
     none = spark.createDataFrame([], "class bigint, comp bigint")
     first = stage(candidates(cells, none, percent, False), "ngram-pairs")
     text = d.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("rep"), "text")
-    sets = text.join(points.select("rep", "class"), "rep").select("class", "text").mapInArrow(_sets(k), "class bigint, grams binary")
-    sets = stage(sets.dropDuplicates(["class"]), "ngram-sets")
+    # a forest touches every class that has a survivor, so round two needs no other sets
+    paired = first.select(F.col("a").alias("class")).union(first.select("b")).distinct()
+    wanted = points.join(paired, "class").select("rep", "class")
+    sets = stage(text.join(wanted, "rep").select("class", "text").mapInArrow(_sets(k), "class bigint, grams binary"), "ngram-sets")
     links = stage(verify(first, sets, percent), "ngram-links")
     labels = components(links).withColumnRenamed("node", "class")
     second = candidates(cells, labels, percent, True).join(first, ["a", "b"], "left_anti")
