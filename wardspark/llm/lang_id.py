@@ -224,6 +224,5 @@ def keep_identified(docs: DataFrame, min_support: float = 0.05, **kw) -> DataFra
     ``min_support`` of one language's. All columns stay as they were."""
     d = take_columns(docs, "doc_id", "text", "lang")
     model = fit(d.where(fold(F.col("doc_id"), 4) != 2), **kw)
-    p = predict(docs, model, F.col("`text`"))
-    out = docs.withColumn("_lang_p", p)
-    return out.where((F.col("_lang_p.lang_pred") != UND) & (F.col("_lang_p.support") >= min_support)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), predict(docs, model, F.col("`text`")).alias("_p"))
+    return packed.where((F.col("_p.lang_pred") != UND) & (F.col("_p.support") >= min_support)).select("_doc.*")

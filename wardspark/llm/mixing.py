@@ -93,23 +93,12 @@ def mix_documents(docs: DataFrame, **kw) -> DataFrame:
 
 
 def mixed_corpus(docs: DataFrame, **kw) -> DataFrame:
-    """The mix as documents: each row as often as the mix takes it, the row at a cut once more if
-    at least half of it is inside. Rows are told apart by (doc_id, text), so repeated rows keep
-    the number that the mix gives each of them."""
-    cols = docs.columns
-    tag = F.xxhash64(F.col("`text`"))
-    sized = take_columns(docs, "doc_id", "source", "text").select(
-        "doc_id", "source", tag.alias("_tag"), word_count(F.col("text")).alias("size"))
-    light = stage(sized, "sizes")
-    taken = mix_sources(light, **kw)
-    copies = F.round(F.col("taken") / F.col("size")).cast("int")
-    per = taken.where(F.col("taken") > 0).groupBy("doc_id", "source", "size").agg(
-        F.sort_array(F.collect_list(copies)).alias("_copies"))
-    order = Window.partitionBy("doc_id", "source", "_size").orderBy("_tag")
-    rows = docs.withColumn("_tag", tag).withColumn("_size", word_count(F.col("`text`"))) \
-        .withColumn("_i", F.row_number().over(order))
-    p = per.select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("size").alias("_z"), "_copies")
-    j = rows.join(p, F.col("`doc_id`").eqNullSafe(p["_d"]) & F.col("`source`").eqNullSafe(p["_s"]) & (rows["_size"] == p["_z"]))
-    n = F.try_element_at("_copies", F.col("_i"))
-    return j.withColumn("_n", n).where(F.col("_n") > 0) \
-        .withColumn("_r", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(*[F.col(f"`{c}`") for c in cols])
+    """The mix as whole documents: each row as often as the mix takes it, the row at a source's cut
+    once more if at least half of it is inside. Rows that agree in doc_id and source share what the
+    mix takes of them evenly. All columns stay as they were."""
+    taken = mix_documents(docs, **kw)
+    per = taken.groupBy(F.col("doc_id").alias("_d"), F.col("source").alias("_s")).agg(
+        F.round(F.sum("taken") / F.sum("size")).cast("int").alias("_n")).where("_n > 0")
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), F.col("`doc_id`").alias("_id"), F.col("`source`").alias("_src"))
+    j = packed.join(per, F.col("_id").eqNullSafe(F.col("_d")) & F.col("_src").eqNullSafe(F.col("_s")))
+    return j.withColumn("_r", F.explode(F.sequence(F.lit(1), F.col("_n")))).select("_doc.*")

@@ -31,7 +31,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wardspark.llm.common import NULL_ID, ids_of, mix64, pack, parallelism, range_hash, slices, stage, take_columns, unpack, word_hashes, word_spans
@@ -396,3 +396,14 @@ def link_documents(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
     empty = rows.where("n = 0").select("doc_id", F.lit(0).cast("bigint").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(0).cast("bigint").alias("class"))
     out = out.unionByName(empty)
     return out.withColumns({c: F.when(F.col(c) != NULL_ID, F.col(c)) for c in ("doc_id", "component_id")})
+
+
+def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """One document of each group of linked ones, that of the smallest id; repeated rows stay once,
+    rows that share an id and differ in text are told apart. All columns stay as they were."""
+    kept = link_documents(docs, k, percent).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("_k")).distinct()
+    plain = [F.col(f"`{c}`") for c, t in docs.dtypes if "map<" not in t]
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), F.coalesce(F.col("`doc_id`"), F.lit(NULL_ID)).alias("_k"),
+                         F.xxhash64(F.col("`text`")).alias("_t"), F.xxhash64(*plain).alias("_o"))
+    w = Window.partitionBy("_k", "_t").orderBy("_o")
+    return packed.join(kept, "_k").withColumn("_i", F.row_number().over(w)).where("_i = 1").select("_doc.*")

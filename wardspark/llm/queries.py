@@ -87,3 +87,16 @@ def rlz_dedup(spark: SparkSession, d: str) -> DataFrame:
 def ngram_components(spark: SparkSession, d: str) -> DataFrame:
     from wardspark.llm.ngram_join import link_documents
     return link_documents(read(spark, d, "documents")).drop("class")
+
+
+@query("op4_string_tiling")
+def string_tiling(spark: SparkSession, d: str) -> DataFrame:
+    from wardspark.llm.tiling import contaminated_pairs
+    return contaminated_pairs(read(spark, d, "documents"), read(spark, d, "benchmark")).select(
+        "doc_id", "item_id", "covered", "n_tokens", F.round("coverage", 6).alias("coverage"), F.size("tiles").alias("n_tiles"))
+
+
+@query("op5_nearest_toxic")
+def nearest_toxic(spark: SparkSession, d: str) -> DataFrame:
+    from wardspark.llm.toxicity import score_documents
+    return score_documents(read(spark, d, "documents"), read(spark, d, "labels"))
