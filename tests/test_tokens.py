@@ -8,21 +8,15 @@ from wardspark.operators import tokens as K
 
 
 def budget_count(event_types, max_len):
-    """Procedural rule: flatten with CLS; if it overflows, cut at max_len and keep events
-    whose time token lies before the last slot (room for SEP)."""
-    flat = [1] + [t for ev in event_types for t in ev]
-    if len(flat) <= max_len - 1:
-        return len(event_types)
-    head = flat[:max_len]
-    times = [i for i, t in enumerate(head) if t == 4]
-    if not times:
-        return 0
-    cut = times[-1]
-    if cut == max_len - 1:
-        if len(times) < 2:
-            return 0
-        cut = times[-2]
-    return sum(1 for i in times if i <= cut)
+    """Contract: the start token, the first k events and one closing slot fit the limit."""
+    return max(k for k in range(len(event_types) + 1) if 1 + sum(map(len, event_types[:k])) <= max_len - 1)
+
+
+@pytest.mark.parametrize("lengths, limit, k", [([3, 3, 3], 8, 2), ([3, 3, 3], 7, 1), ([3, 3, 3], 11, 3), ([9], 10, 0), ([8], 10, 1), ([8, 1], 10, 1)])
+def test_budget_by_hand(spark, lengths, limit, k):
+    rows = [(1, i, [5] * (n - 1) + [4]) for i, n in enumerate(lengths)]
+    df = spark.createDataFrame(rows, "ID long, ORDER int, types array<int>")
+    assert {r[0] for r in K.with_budget(df, max_len=limit).select("n_budget").collect()} == {k}
 
 
 @pytest.mark.parametrize("seed", range(4))

@@ -18,7 +18,7 @@ from fractions import Fraction
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wardspark.operators.util import broadcast_if_small, rank_within
+from wardspark.operators.util import rank_within
 
 NUMERIC_RE = r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"
 
@@ -68,7 +68,7 @@ def qcut_by(df: DataFrame, key: str, value: str, out: str, q: int = 20) -> DataF
     """Bucket label of ``value`` within each ``key`` group (per-code edges, joined back)."""
     freq = df.where(F.col(value).isNotNull()).groupBy(key, value).agg(F.count(F.lit(1)).alias("n"))
     edges = quantile_edges(freq, value, q, [key])
-    j = df.join(broadcast_if_small(edges), key, "left")
+    j = df.join(edges, key, "left")
     return j.withColumn(out, F.when(F.col(value).isNotNull(),
                                     label_from_edges(F.col(value).cast("double"), F.col("edges")))).drop("edges")
 

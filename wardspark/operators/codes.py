@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wardspark.operators.util import broadcast_if_small, mode_smallest
+from wardspark.operators.util import mode_smallest
 from wardspark.sources.stage import cut
 
 
@@ -42,15 +42,14 @@ def dedupe_min(df: DataFrame, key: str, value: str) -> DataFrame:
 def map_codes(df: DataFrame, col: str, dictionary: DataFrame, key: str, value: str,
               out: str) -> DataFrame:
     """Left dictionary lookup; missing keys give NULL (the reference's string 'nan')."""
-    dct = broadcast_if_small(dedupe_min(dictionary, key, value).withColumnRenamed(key, "_k")
-                             .withColumnRenamed(value, out))
+    dct = dedupe_min(dictionary, key, value).withColumnRenamed(key, "_k").withColumnRenamed(value, out)
     return df.join(dct, df[col] == dct["_k"], "left").drop("_k")
 
 
 # ----------------------------------------------------------------------------- classes
 def class_sets(dx: DataFrame, ccs: DataFrame, key: str = "stay_id", code: str = "code") -> DataFrame:
     """Distinct sorted class list per key; unmapped codes are dropped."""
-    m = dx.join(broadcast_if_small(ccs.select(F.col("code").alias(code), "class")), code)
+    m = dx.join(ccs.select(F.col("code").alias(code), "class"), code)
     return m.groupBy(key).agg(F.array_sort(F.collect_set("class")).alias("classes"))
 
 
@@ -98,11 +97,11 @@ def prefix_fallback(codes: DataFrame, gem: DataFrame, code: str = "code") -> Dat
     ICD-9 of the rows containing it (ties: smallest). Codes with no match are absent."""
     pre = codes.select(code, F.explode(F.sequence(F.length(code), F.lit(1), F.lit(-1))).alias("plen"))
     pre = pre.select(code, "plen", F.substring(code, 1, F.col("plen")).alias("sub"))
-    hits = pre.join(substring_counts(gem), "sub")
-    best = hits.groupBy(code).agg(F.max("plen").alias("plen"))
-    top = hits.join(best, [code, "plen"])
-    pick = F.min(F.struct((-F.col("n")).alias("n"), F.col("icd9").alias("icd9")))
-    return top.groupBy(code).agg(pick.alias("_p")).select(code, F.col("_p.icd9").alias("icd9"))
+    # one modal row per substring first, so a prefix meets one row however many codes contain it
+    modal = substring_counts(gem).groupBy("sub").agg(
+        F.min(F.struct((-F.col("n")).alias("n"), F.col("icd9").alias("icd9"))).alias("_m"))
+    hits = pre.join(modal, "sub")
+    return hits.groupBy(code).agg(F.max_by("_m", "plen").alias("_p")).select(code, F.col("_p.icd9").alias("icd9"))
 
 
 def icd_convert(dx: DataFrame, gem: DataFrame, code: str = "code", ver: str = "ver",
@@ -171,7 +170,7 @@ def resolve_paths(wanted: DataFrame, known: DataFrame, ccs: DataFrame, gem: Data
     ``segment_prefix`` switches the prefix test from characters (the reference) to whole
     segments; ``ancestor_levels`` (4,) reproduces the reference, (1, 2, 3, 4) tries nearest first.
     """
-    ccs_b = broadcast_if_small(ccs.select(F.col("code").alias("_c"), "class"))
+    ccs_b = ccs.select(F.col("code").alias("_c"), "class")
     k = known.select("path", "codes", first_code(F.col("codes")).alias("_c"))
     direct = k.join(ccs_b, "_c").groupBy("path").agg(F.min("class").alias("class"))
     rest = (known.join(direct.select("path"), "path", "left_anti")
@@ -221,5 +220,5 @@ def resolve_paths(wanted: DataFrame, known: DataFrame, ccs: DataFrame, gem: Data
 
 def apply_path_map(stay_paths: DataFrame, resolved: DataFrame, key: str = "stay_id") -> DataFrame:
     """Per stay, the distinct sorted classes of its paths; unresolved paths are dropped."""
-    r = broadcast_if_small(resolved.where(F.col("class").isNotNull()).select("path", "class"))
+    r = resolved.where(F.col("class").isNotNull()).select("path", "class")
     return stay_paths.join(r, "path").groupBy(key).agg(F.array_sort(F.collect_set("class")).alias("classes"))

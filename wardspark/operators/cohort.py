@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from wardspark.functions.clinical import (age_from_anchor, age_from_dob, age_from_text, flag,
                                           plus_hours)
-from wardspark.operators.util import broadcast_if_small, first_nonnull_by, first_row_by
+from wardspark.operators.util import first_nonnull_by, first_row_by
 from wardspark.spec import ABSOLUTE, ANCHORED, RELATIVE, CohortSpec
 
 ICU_DEATH = "IN_ICU_MORTALITY"
@@ -130,7 +130,7 @@ def coded(df: DataFrame) -> DataFrame:
     for col, out in (("location", "final_acuity"), ("imminent", "imminent_discharge")):
         cats = pairs.select(F.col(col).alias("_v")).where(F.col("_v").isNotNull()).distinct()
         t = cats.select("_v", (F.row_number().over(Window.orderBy("_v")) - 1).cast("int").alias(out))
-        codes.append((col, out, broadcast_if_small(t)))
+        codes.append((col, out, t))
     for col, out, t in codes:
         df = df.join(t, df[col].eqNullSafe(t["_v"]), "left").drop("_v") \
             .withColumn(out, F.coalesce(F.col(out), F.lit(-1)))

@@ -128,7 +128,10 @@ def train(features: DataFrame, dims: int, rounds: int, lr: float = 0.5, local_st
         server = params.where(F.col(client) == "server").select("idx", "value")
         params = params.where(F.col(client) != "server")
     for r in range(start_round, start_round + rounds):
-        prox = server if (algorithm == "fedprox" and r > 0) else None
+        # the proximal term pulls towards the model the round started from
+        prox = None
+        if algorithm == "fedprox":
+            prox = server if server is not None else params.where(F.col(client) == names[0]).select("idx", "value")
         for _ in range(local_steps):
             params = local_step(feats, params, prox, lr, mu, client)
         if algorithm != "single":

@@ -54,7 +54,7 @@ def epoch_loss(df: DataFrame, keys: Sequence[str], batch: str = "batch", loss: s
 
 def early_stopping(metrics: DataFrame, client: str = "client", rnd: str = "round", score: str = "auprc",
                    patience: int = 10, higher_is_better: bool = True) -> DataFrame:
-    """Per (client, round): improved (ties count), counter since the last improvement,
+    """Per (client, round): improved (ties count), counter of checks since the last improvement,
     stopped (latched once the counter reaches ``patience``). Windows run over the small
     per-client round history."""
     s = F.col(score) if higher_is_better else -F.col(score)
@@ -62,10 +62,11 @@ def early_stopping(metrics: DataFrame, client: str = "client", rnd: str = "round
     w_upto = Window.partitionBy(client).orderBy(rnd).rowsBetween(Window.unboundedPreceding, 0)
     x = metrics.withColumn("_s", s).withColumn("_best_prev", F.max("_s").over(w_prev))
     x = x.withColumn("improved", F.col("_best_prev").isNull() | (F.col("_s") >= F.col("_best_prev")))
-    x = x.withColumn("_last", F.max(F.when(F.col("improved"), F.col(rnd))).over(w_upto))
-    x = x.withColumn("counter", (F.col(rnd) - F.col("_last")).cast("int"))
+    x = x.withColumn("_check", F.row_number().over(Window.partitionBy(client).orderBy(rnd)))
+    x = x.withColumn("_last", F.max(F.when(F.col("improved"), F.col("_check"))).over(w_upto))
+    x = x.withColumn("counter", (F.col("_check") - F.col("_last")).cast("int"))
     x = x.withColumn("stopped", F.max((F.col("counter") >= patience).cast("int")).over(w_upto) == 1)
-    return x.drop("_s", "_best_prev", "_last")
+    return x.drop("_s", "_best_prev", "_last", "_check")
 
 
 def first_stop(es: DataFrame, client: str = "client", rnd: str = "round") -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wardspark.functions import text as T
-from wardspark.operators.util import broadcast_if_small, global_rank, rank_within, running_sums
+from wardspark.operators.util import global_rank, rank_within, running_sums
 
 # Fixed values (must equal the reference's special ids and limits).
 PAD, UNK, CLS, SEP = 0, 100, 101, 102
@@ -53,7 +53,7 @@ def build_vocab(tokens: DataFrame, token: str = "token") -> DataFrame:
 def encode_tokens(df: DataFrame, key: str, tokens: str, vocab: DataFrame, out: str) -> DataFrame:
     """Replace the string array ``tokens`` by ids (OOV -> [UNK]); rows keyed by unique ``key``."""
     x = df.select(key, F.posexplode(tokens).alias("_pos", "_tok"))
-    v = broadcast_if_small(vocab.select(F.col("token").alias("_tok"), F.col("id").alias("_vid")))
+    v = vocab.select(F.col("token").alias("_tok"), F.col("id").alias("_vid"))
     x = x.join(v, "_tok", "left")
     idc = F.coalesce(fixed_id(F.col("_tok")), F.col("_vid"), F.lit(UNK))
     ids = x.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col("_pos"), idc.alias("i")))).alias("_s"))

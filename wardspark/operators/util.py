@@ -2,9 +2,8 @@
 
 All of them are skew-tolerant by construction: per-group picks use aggregate functions
 (partial aggregation runs map-side, so a hot key is reduced before the shuffle) instead
-of a window over the group; broadcasts are only requested for sides whose optimizer size
-estimate is under a bound, otherwise the join stays a shuffle join (and AQE may still
-turn it into a broadcast at runtime from real statistics).
+of a window over the group. Data-derived tables carry no broadcast hint: AQE turns a join into
+a broadcast at runtime from real sizes.
 """
 
 from __future__ import annotations
@@ -14,21 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BROADCAST_LIMIT_BYTES = 64 * 1024 * 1024
-
-
-def estimated_bytes(df: DataFrame) -> int:
-    """Optimizer size estimate of ``df`` (no job is run)."""
-    try:
-        return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
-    except Exception:  # noqa: BLE001 - estimate unavailable: treat as large
-        return 1 << 62
-
-
-def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_LIMIT_BYTES) -> DataFrame:
-    """Hint a broadcast only when the plan's size estimate is below ``limit``."""
-    return F.broadcast(df) if estimated_bytes(df) <= limit else df
-
+from wardspark.sources.stage import cut
 
 def first_row_by(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str],
                  cols: Sequence[str], desc: bool = False) -> DataFrame:
@@ -60,7 +45,7 @@ def category_codes(df: DataFrame, col: str, out: str) -> tuple[DataFrame, DataFr
     """
     cats = df.select(F.col(col).alias("_v")).where(F.col(col).isNotNull()).distinct()
     codes = cats.select("_v", (F.row_number().over(Window.orderBy("_v")) - 1).cast("int").alias(out))
-    j = df.join(broadcast_if_small(codes), df[col].eqNullSafe(codes["_v"]), "left").drop("_v")
+    j = df.join(codes, df[col].eqNullSafe(codes["_v"]), "left").drop("_v")
     return j.withColumn(out, F.coalesce(F.col(out), F.lit(-1))), codes.withColumnRenamed("_v", col)
 
 
@@ -84,6 +69,17 @@ def hash_bucket(col: Column, buckets: int) -> Column:
     return F.pmod(h, F.lit(buckets))
 
 
+def ranged(df: DataFrame, order: Sequence[Column], parts: int | None = None) -> DataFrame:
+    """``df`` with ``_pid``, the number of the row's range of ``order``, written to the shared folder.
+
+    Range bounds come from a sample that Spark takes anew for every exchange. Both users of the
+    ranges (rows and totals per range) therefore read one stored table: a row's range is a stored
+    value, the same in every branch whatever the optimizer prunes or reuses.
+    """
+    n = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return cut(df.repartitionByRange(n, *order).withColumn("_pid", F.spark_partition_id()))
+
+
 def global_rank(df: DataFrame, order: Sequence[Column], out: str, parts: int | None = None) -> DataFrame:
     """1-based rank of every row in ``order`` (a total order) without a one-partition sort.
 
@@ -91,8 +87,7 @@ def global_rank(df: DataFrame, order: Sequence[Column], out: str, parts: int | N
     the row counts of all earlier ranges. The offsets table has one row per partition,
     so broadcasting it is bounded by the partition count, not by the data.
     """
-    n = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    r = df.repartitionByRange(n, *order).withColumn("_pid", F.spark_partition_id())
+    r = ranged(df, order, parts)
     r = r.withColumn("_local", F.row_number().over(Window.partitionBy("_pid").orderBy(*order)))
     counts = r.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
@@ -112,16 +107,16 @@ def running_sums(df: DataFrame, keys: Sequence[str], order: Sequence[Column], va
     (a table of at most partitions x keys rows). A key holding a third of all rows is
     therefore spread over many tasks. Adds ``cum_<value>`` columns.
     """
-    n = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    r = df.repartitionByRange(n, *[F.col(k) for k in keys], *order).withColumn("_pid", F.spark_partition_id())
+    r = ranged(df, [*[F.col(k) for k in keys], *order], parts)
     piece = Window.partitionBy("_pid", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     for v in values:
         r = r.withColumn(f"_l_{v}", F.sum(v).over(piece))
     tot = r.groupBy("_pid", *keys).agg(*[F.sum(v).alias(f"_t_{v}") for v in values])
     before = Window.partitionBy(*keys).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offs = tot.select("_pid", *keys, *[F.coalesce(F.sum(f"_t_{v}").over(before), F.lit(0)).alias(f"_o_{v}")
-                                       for v in values])
-    j = r.join(broadcast_if_small(offs), ["_pid", *keys])
+    offs = tot.select(F.col("_pid").alias("_op"), *[F.col(k).alias(f"_ok{i}") for i, k in enumerate(keys)],
+                      *[F.coalesce(F.sum(f"_t_{v}").over(before), F.lit(0)).alias(f"_o_{v}") for v in values])
+    on = [r["_pid"] == offs["_op"], *[r[k].eqNullSafe(offs[f"_ok{i}"]) for i, k in enumerate(keys)]]
+    j = r.join(offs, on).drop("_op", *[f"_ok{i}" for i in range(len(keys))])
     for v in values:
         j = j.withColumn(f"cum_{v}", F.col(f"_o_{v}") + F.col(f"_l_{v}")).drop(f"_o_{v}", f"_l_{v}")
     return j.drop("_pid")
@@ -141,7 +136,7 @@ def rank_within(df: DataFrame, keys: Sequence[str], order: Sequence[Column], out
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_gn"))
     sizes = running_sums(sizes.withColumn("_one", F.lit(0)), ["_one"], kcols, ["_gn"]) \
         .withColumn("_off", F.col("cum__gn") - F.col("_gn")).drop("_one", "cum__gn")
-    sizes = broadcast_if_small(sizes.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_gn", "_off"))
+    sizes = sizes.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_gn", "_off")
     j = ranked.join(sizes, [ranked[k].eqNullSafe(sizes[f"_k{i}"]) for i, k in enumerate(keys)])
     j = j.drop(*[f"_k{i}" for i in range(len(keys))])
     return (j.withColumn(out, (F.col("_g") - F.col("_off")).cast("bigint"))

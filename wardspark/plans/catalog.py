@@ -1,7 +1,8 @@
 """Query catalog: key -> (Spark builder, DuckDB oracle text).
 
 Each ``q_*`` module registers its queries with ``@query(key, sql)``. A builder takes
-``(spark, sf_dir)`` and returns a lazy DataFrame; nothing in a builder triggers an action.
+``(spark, sf_dir)`` and returns a DataFrame. Builders run jobs where a stage is written (range-numbered
+tables, lineage cuts), for profiles of all-null columns and for training rounds; the rest is lazy.
 Outputs are flattened to scalars (arrays as joined text, doubles rounded to 6 places)
 so the value hash compares engines, not container types.
 """

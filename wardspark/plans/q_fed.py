@@ -12,7 +12,7 @@ from wardspark.plans import q_tokens  # noqa: F401  (registers the token CTE fra
 from wardspark.plans.catalog import query
 from wardspark.plans.oracle_fx import cte, with_ctes
 from wardspark.sources import fixtures as X
-from wardspark.sources.stage import ensure_checkpoint_dir
+from wardspark.sources.stage import config_hash, ensure_checkpoint_dir
 
 MU = 0.01
 LOGIT = "(score - 0.5) * 8.0"
@@ -255,10 +255,10 @@ def _round_out(p):
 
 @query("fed_round")
 def fed_round(spark, d):
-    """Three federated rounds (fedavg and fedprox) of the distributed logistic learner."""
+    """Three federated rounds of three local steps (fedavg and fedprox) of the distributed logistic learner."""
     f = X.fx_feature(spark, d)
-    a = FD.train(f, 64, rounds=3, algorithm="fedavg").withColumn("algorithm", F.lit("fedavg"))
-    b = FD.train(f, 64, rounds=3, algorithm="fedprox", mu=MU).withColumn("algorithm", F.lit("fedprox"))
+    a = FD.train(f, 64, rounds=3, local_steps=3, algorithm="fedavg").withColumn("algorithm", F.lit("fedavg"))
+    b = FD.train(f, 64, rounds=3, local_steps=3, algorithm="fedprox", mu=MU).withColumn("algorithm", F.lit("fedprox"))
     return a.unionByName(b).select("algorithm", "client", "idx", F.round("value", 6).alias("value"))
 
 
@@ -271,24 +271,36 @@ def single_train(spark, d):
 
 @query("round_resume")
 def round_resume(spark, d):
-    """Persist every round, restart from the last complete round, finish the run."""
-    root = ensure_checkpoint_dir(spark).rstrip("/") + f"/fed_rounds_{abs(hash(d)) % 10**8}"
+    """Persist every round, restart from the last complete round, finish the run. The folder is named
+    by the run's configuration, so another process finds the same rounds."""
+    cfg = {"input": d, "algorithm": "fedavg", "lr": 0.5, "local_steps": 1, "dims": 64}
+    root = ensure_checkpoint_dir(spark).rstrip("/") + f"/fed_rounds-{config_hash(cfg)}"
     f = X.fx_feature(spark, d)
 
     def save(r, p):
         p.write.mode("overwrite").parquet(f"{root}/round={r}")
 
-    FD.train(f, 64, rounds=2, algorithm="fedavg", on_round=save)
-    last = max(int(p.split("=")[-1]) for p in _list_rounds(spark, root))
-    start = spark.read.parquet(f"{root}/round={last}")
-    return _round_out(FD.train(f, 64, rounds=1, algorithm="fedavg", start=start, start_round=last + 1))
+    def resume(total):
+        last = max(_complete_rounds(spark, root), default=-1)
+        if last >= total - 1:
+            return spark.read.parquet(f"{root}/round={total - 1}").withColumn("round", F.lit(total - 1))
+        start = spark.read.parquet(f"{root}/round={last}") if last >= 0 else None
+        return FD.train(f, 64, rounds=total - 1 - last, algorithm="fedavg", start=start, start_round=last + 1, on_round=save)
 
+    resume(2)
+    return _round_out(resume(3))
 
-def _list_rounds(spark, root):
+
+def _complete_rounds(spark, root):
+    """Rounds under ``root`` whose write was finished."""
     jvm = spark.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path(root)
     fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return [s.getPath().getName() for s in fs.listStatus(path) if s.getPath().getName().startswith("round=")]
+    if not fs.exists(path):
+        return []
+    names = [s.getPath().getName() for s in fs.listStatus(path)]
+    done = [n for n in names if n.startswith("round=") and fs.exists(jvm.org.apache.hadoop.fs.Path(f"{root}/{n}/_SUCCESS"))]
+    return [int(n.split("=")[-1]) for n in done]
 
 
 @query("batch_pad", with_ctes("""
