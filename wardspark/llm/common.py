@@ -17,10 +17,18 @@ from pyspark.sql import functions as F
 
 from wardspark.sources.stage import shared_dir
 
-SLICE_BYTES = 1 << 20          # text bytes that one numpy step looks at
+SLICE_BYTES = 1 << 18          # text bytes that one numpy step looks at
+BATCH_BYTES = 8 << 20          # of an Arrow batch, so a task's memory doesn't follow the length of the rows
 NULL_ID = (1 << 63) - 1        # a null doc_id sorts after every other
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Lower Spark's bound on the bytes of an Arrow batch (64 MB unless set) to BATCH_BYTES."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, "67108864b").rstrip("b") == "67108864":
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -40,6 +48,7 @@ def parallelism(spark: SparkSession) -> int:
 
 def take_columns(df: DataFrame, *names: str) -> DataFrame:
     """Only the named input columns, so extra columns of any name can't clash."""
+    bound_batches(df.sparkSession)
     return df.select(*[F.col(f"`{n}`") for n in names])
 
 

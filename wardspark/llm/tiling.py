@@ -18,6 +18,7 @@ to the earliest place in the item, then in the document; extra columns pass thro
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -82,7 +83,7 @@ def tile(item: np.ndarray, doc: np.ndarray, min_match: int) -> list[tuple[int, i
     return out
 
 
-def blocks(benchmark: DataFrame) -> list[list[tuple[int, str]]]:
+def blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
     """The items in blocks of bounded size, one block at a time on the driver."""
     b = take_columns(benchmark, "item_id", "text").where(F.length("text") > 0)
     size = b.agg(F.sum(F.octet_length("text"))).first()[0] or 0
