@@ -2,7 +2,7 @@
 
 Features are words (runs of letters and digits, A-Z folded) and their first four and five bytes. The
 vectoriser keeps the features that are over-represented in the toxic examples (``min_z`` standard
-deviations above the base rate, in ``min_df`` examples or more), at most ``max_features`` of them, and
+deviations above the base rate, in ``min_df`` examples or more, ``min_share`` of them toxic), at most ``max_features`` of them, and
 weighs them by (1 + log tf) x idf, length 1. Examples with the same vector are one entry of the index
 with its number of examples and of toxic ones. Postings lie in blocks of ``BLOCK`` entries with the
 largest weight of each feature per block; a query takes blocks by descending upper bound until no bound
@@ -113,19 +113,24 @@ class Index:
     def nearest(self, f: np.ndarray, w: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """The k entries of highest cosine, above 0, and their cosines."""
         bound = (w[:, None] * self.most[f]).sum(axis=0) + 1e-6
+        order = np.argsort(-bound, kind="stable")
+        order = order[bound[order] > 2e-6]
         best, score, least = np.zeros(0, np.int64), np.zeros(0), 0.0
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 2e-6 or (len(best) >= k and bound[b] < least):
-                break
-            got = np.zeros(BLOCK)
-            for x, q in zip(f, w):
-                lo, hi = self.cut[x * self.blocks + b], self.cut[x * self.blocks + b + 1]
-                got[self.entry[lo:hi] - b * BLOCK] += q * self.weight[lo:hi]
-            at = np.flatnonzero(got > 0)
-            best, score = np.append(best, at + b * BLOCK), np.append(score, np.round(got[at], 9))
+        at, step = 0, 4
+        while at < len(order) and not (len(best) >= k and bound[order[at]] < least):
+            blocks = order[at:at + step]
+            if len(best) >= k:
+                blocks = blocks[bound[blocks] >= least]
+            at, step = at + step, step * 2
+            cell = (f[:, None] * self.blocks + blocks).ravel()
+            lo, n = self.cut[cell], self.cut[cell + 1] - self.cut[cell]
+            where = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            got = np.bincount(self.entry[where], weights=np.repeat(np.repeat(w, len(blocks)), n) * self.weight[where], minlength=len(self.ids))
+            new = np.flatnonzero(got > 0)
+            best, score = np.append(best, new), np.append(score, np.round(got[new], 9))
             top = np.lexsort((self.ids[best], -score))[:k]
             best, score = best[top], score[top]
-            least = score[-1]
+            least = score[-1] if len(score) else 0.0
         return best, score
 
 
@@ -158,7 +163,7 @@ def examples(docs: DataFrame, labels: DataFrame, max_examples: int = 40_000) ->
     return one.select("_r.doc_id", "text", "_r.toxic")
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_examples: int = 40_000, max_features: int = 4096, min_df: int = 5, min_z: float = 6.0, k: int = 10):
+def fit(docs: DataFrame, labels: DataFrame, max_examples: int = 40_000, max_features: int = 4096, min_df: int = 5, min_z: float = 6.0, min_share: float = 0.5, k: int = 10):
     """The model as plain arrays; what reaches the driver is bounded by ``max_examples`` and ``max_features``."""
     ex = stage(examples(docs, labels, max_examples), "toxic-examples")
     total, toxic = ex.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.col("toxic").cast("double")), F.lit(0.0))).first()
@@ -167,7 +172,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = 40_000, max_feat
         return np.zeros(0, np.uint64), np.zeros(0), ([], [], [], []), base, base, k
     z = (F.col("pos") - F.col("n") * base) / F.sqrt(F.col("n") * base * (1 - base))
     counts = ex.where(F.col("text").isNotNull()).select("text", "toxic").mapInArrow(_counts, "f bigint, n bigint, pos bigint") \
-        .groupBy("f").agg(F.sum("n").alias("n"), F.sum("pos").alias("pos")).where((F.col("n") >= min_df) & (z >= min_z))
+        .groupBy("f").agg(F.sum("n").alias("n"), F.sum("pos").alias("pos")).where((F.col("n") >= min_df) & (z >= min_z) & (F.col("pos") >= min_share * F.col("n")))
     kept = counts.orderBy(F.desc(z), "f").limit(max_features).toPandas()
     vocab = kept["f"].to_numpy(dtype=np.int64).view(np.uint64)
     order = np.argsort(vocab)
