@@ -208,7 +208,7 @@ def fingerprint_pairs(docs: DataFrame) -> DataFrame:
     d = take_columns(docs, "doc_id", "text").withColumn("_k", F.coalesce(-F.col("doc_id").cast("double"), F.lit(float(NULL_ID))))
     n = max(2, 2 * parallelism(spark))
     cuts = sorted(set(d.approxQuantile("_k", [i / n for i in range(1, n)], 0.25 / n)))
-    cuts = [c for c in cuts if abs(c) < NULL_ID]
+    cuts = [c for c in cuts if abs(c) < NULL_ID] or [0.0]
     d = Bucketizer(splits=[-float("inf"), *cuts, float("inf")], inputCol="_k", outputCol="_b").setHandleInvalid("error").transform(d) \
         .withColumn("_b", F.col("_b").cast("int"))
     first = sorted((r[0], r[1]) for r in d.groupBy("_b").agg(F.min("_k")).collect())

@@ -399,8 +399,8 @@ def link_documents(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """One document of each group of linked ones, that of the smallest id; repeated rows stay once,
-    rows that share an id and differ in text are told apart. All columns stay as they were."""
+    """One document of each group of linked ones, that of the smallest id; repeated rows stay once;
+    of rows that share an id and differ in text all stay where one does. All columns stay as they were."""
     kept = link_documents(docs, k, percent).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("_k")).distinct()
     plain = [F.col(f"`{c}`") for c, t in docs.dtypes if "map<" not in t]
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), F.coalesce(F.col("`doc_id`"), F.lit(NULL_ID)).alias("_k"),
