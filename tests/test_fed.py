@@ -72,3 +72,57 @@ def test_fedavg_round_is_weighted_mean_of_local_models(spark):
     la = [r["value"] for r in local.where(F.col("client") == "a").orderBy("idx").collect()]
     lb = [r["value"] for r in local.where(F.col("client") == "b").orderBy("idx").collect()]
     assert server == pytest.approx([0.25 * a + 0.75 * b for a, b in zip(la, lb)], abs=1e-12)
+
+
+def sites(seed=2):
+    rng = np.random.default_rng(seed)
+    return {c: (rng.normal(size=(n, 2)) + shift, (rng.random(n) < 0.5).astype(int)) for c, n, shift in (("a", 12, 0.0), ("b", 24, 1.0))}
+
+
+def frame(spark, data):
+    return spark.createDataFrame([(c, [float(v) for v in x], int(t)) for c, (xs, ys) in data.items() for x, t in zip(xs, ys)],
+                                 "client string, x array<double>, y int")
+
+
+def by_hand(data, rounds, steps, algorithm, lr, mu):
+    total = sum(len(y) for _, y in data.values())
+    models, server = {c: np.zeros(3) for c in data}, np.zeros(3)
+    for r in range(rounds):
+        for c, (x, y) in data.items():
+            xb = np.hstack([x, np.ones((len(x), 1))])
+            for _ in range(steps):
+                g = xb.T @ (1 / (1 + np.exp(-xb @ models[c])) - y) / len(y)
+                if r > 0 and algorithm in ("fedprox", "fedpxn"):
+                    pull = mu * (models[c] - server)
+                    if algorithm == "fedprox":
+                        pull[2] = 0
+                    g = g + pull
+                models[c] = models[c] - lr * g
+        mean = sum(models[c] * len(data[c][1]) / total for c in data)
+        kept = 2 if algorithm in ("fedbn", "fedpxn") else 3
+        server = np.concatenate([mean[:kept], server[kept:]])
+        models = {c: np.concatenate([mean[:kept], m[kept:]]) for c, m in models.items()}
+    return models | {"server": server}
+
+
+@pytest.mark.parametrize("algorithm", ["fedavg", "fedprox", "fedbn", "fedpxn"])
+def test_algorithms_match_numpy(spark, algorithm):
+    data = sites()
+    out = FD.train(frame(spark, data), 2, rounds=2, lr=0.5, local_steps=3, algorithm=algorithm, mu=0.5).orderBy("idx").collect()
+    want = by_hand(data, 2, 3, algorithm, 0.5, 0.5)
+    for c, w in want.items():
+        assert [r["value"] for r in out if r["client"] == c] == pytest.approx(list(w), abs=1e-9)
+
+
+def test_algorithms_differ():
+    got = [np.concatenate(list(by_hand(sites(), 2, 3, a, 0.5, 0.5).values())) for a in ("fedavg", "fedprox", "fedbn", "fedpxn")]
+    assert all(np.abs(got[i] - got[j]).max() > 1e-4 for i in range(4) for j in range(i))
+
+
+def test_resume_equals_one_run(spark):
+    f = frame(spark, sites())
+    half = FD.train(f, 2, rounds=1, local_steps=2, algorithm="fedpxn", mu=0.5)
+    got = FD.train(f, 2, rounds=1, local_steps=2, algorithm="fedpxn", mu=0.5, start=half, start_round=1)
+    want = FD.train(f, 2, rounds=2, local_steps=2, algorithm="fedpxn", mu=0.5)
+    key = lambda df: sorted((r["client"], r["idx"], round(r["value"], 12), r["round"]) for r in df.collect())
+    assert key(got) == key(want)

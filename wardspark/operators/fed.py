@@ -7,14 +7,17 @@ Merging, penalties and client weights are joins and aggregates over that table.
 The learner (re-aimed from the GPU network) is a logistic model trained by full-batch
 gradient steps for every client at once: one pass over the feature rows per step, with
 the per-client weight vector joined by broadcast (its size is clients x dims - the
-model, never the data) and the gradient summed map-side per (client, idx). The small
-parameter table is checkpointed every round so the lineage stays one round deep.
+model, never the data) and the mean gradient vector aggregated map-side per client. The
+bias (idx = dims) is the model's normalisation parameter. The small parameter table is
+checkpointed every step so the lineage stays one step deep.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +26,8 @@ from wardspark.sources.stage import cut
 
 COUNTER = "num_batches_tracked"
 NORM = "norm"
+LOCAL_NORM = ("fedbn", "fedpxn")    # norm parameters are not merged
+PROXIMAL = ("fedprox", "fedpxn")    # pulled towards the server after the first round
 
 
 def client_weights(samples: DataFrame, client: str = "client") -> DataFrame:
@@ -77,69 +82,81 @@ def to_vectors(params: DataFrame, client: str = "client") -> DataFrame:
     return g.select(client, F.transform("_s", lambda s: s["value"]).alias("w"))
 
 
-def init_params(features: DataFrame, dims: int, client: str = "client") -> DataFrame:
-    clients = features.select(client).distinct()
+def init_params(clients: DataFrame, dims: int, client: str = "client") -> DataFrame:
+    """Zeros for every row of ``clients`` (one per client)."""
     return clients.select(client, F.explode(F.sequence(F.lit(0), F.lit(dims))).alias("idx"),
                           F.lit(0.0).alias("value"))
 
 
+def linear(x: str, w: str):
+    """x . w plus the bias, the last entry of ``w``."""
+    coef = F.slice(F.col(w), 1, F.size(F.col(x)))
+    return F.aggregate(F.zip_with(F.col(x), coef, lambda a, b: a * b), F.lit(0.0), lambda acc, v: acc + v) \
+        + F.element_at(F.col(w), -1)
+
+
 def gradient(features: DataFrame, params: DataFrame, client: str = "client", x: str = "x",
              y: str = "y") -> DataFrame:
     """Mean logistic-loss gradient per (client, idx); idx = dims is the bias."""
-    w = F.broadcast(to_vectors(params, client))
-    j = features.join(w, client)
-    # w holds dims weights + the bias: zip x with the first size(x) weights only
-    coef = F.slice(F.col("w"), 1, F.size(F.col(x)))
-    z = F.aggregate(F.zip_with(F.col(x), coef, lambda a, b: a * b), F.lit(0.0), lambda acc, v: acc + v) \
-        + F.element_at(F.col("w"), -1)
-    j = j.withColumn("_r", sigmoid(z) - F.col(y).cast("double"))
-    g = j.select(client, F.posexplode(F.concat(F.transform(F.col(x), lambda v: v * F.col("_r")),
-                                               F.array(F.col("_r")))).alias("idx", "g"))
-    n = features.groupBy(client).agg(F.count(F.lit(1)).alias("_n"))
-    return g.groupBy(client, "idx").agg(F.sum("g").alias("_g")).join(F.broadcast(n), client) \
-        .select(client, "idx", (F.col("_g") / F.col("_n")).alias("grad"))
+    # one row per client: bounded by the model
+    j = features.join(F.broadcast(to_vectors(params, client)), client)
+    j = j.withColumn("_r", sigmoid(linear(x, "w")) - F.col(y).cast("double"))
+    row = F.concat(F.transform(F.col(x), lambda v: v * F.col("_r")), F.array(F.col("_r")))
+    g = j.select(client, array_to_vector(row).alias("_g")).groupBy(client).agg(Summarizer.mean(F.col("_g")).alias("_g"))
+    return g.select(client, F.posexplode(vector_to_array("_g")).alias("idx", "grad"))
 
 
 def local_step(features: DataFrame, params: DataFrame, server: DataFrame | None, lr: float, mu: float,
-               client: str = "client") -> DataFrame:
+               client: str = "client", skip: int | None = None) -> DataFrame:
     """One gradient step for every client; with ``server`` and mu > 0 the proximal term
-    mu * (w - w_server) is added (fedprox)."""
+    mu * (w - w_server) is added, but for parameter ``skip``."""
     g = gradient(features, params, client)
     p = params.join(g, [client, "idx"], "left").withColumn("grad", F.coalesce("grad", F.lit(0.0)))
     if server is not None and mu > 0:
         p = p.join(server.select("idx", F.col("value").alias("_s")), "idx")
-        p = p.withColumn("grad", F.col("grad") + F.lit(mu) * (F.col("value") - F.col("_s"))).drop("_s")
+        pull = F.lit(mu) * (F.col("value") - F.col("_s"))
+        if skip is not None:
+            pull = F.when(F.col("idx") == skip, F.lit(0.0)).otherwise(pull)
+        p = p.withColumn("grad", F.col("grad") + pull).drop("_s")
     return p.select(client, "idx", (F.col("value") - F.lit(lr) * F.col("grad")).alias("value"))
 
 
 def train(features: DataFrame, dims: int, rounds: int, lr: float = 0.5, local_steps: int = 1,
           algorithm: str = "fedavg", mu: float = 0.01, client: str = "client",
           start: DataFrame | None = None, start_round: int = 0, on_round=None) -> DataFrame:
-    """Rounds of local steps + merge. ``algorithm``: fedavg | fedprox | single (no merge).
+    """Rounds of local steps + merge. ``algorithm``: fedavg | fedprox | fedbn | fedpxn | single
+    (no merge; pooled training is one client that holds all rows). fedprox and fedpxn add the proximal term after
+    round 0, fedprox without the norm parameter; fedbn and fedpxn leave the norm parameter of clients and server as it is.
     Returns (round, client, idx, value) of the final round (client 'server' included when
     merging). ``on_round(round, params)`` lets callers persist each round (resume)."""
-    weights = client_weights(features, client)
+    if algorithm not in ("fedavg", "single", *LOCAL_NORM, *PROXIMAL):
+        raise ValueError(f"unknown algorithm {algorithm}")
     feats = cut(features.select(client, "x", "y"))
+    weights = cut(client_weights(feats, client))
     # site names: one per client, a handful of strings
     names = sorted(r[0] for r in weights.select(client).collect())
-    params = start if start is not None else cut(init_params(feats, dims, client))
     server = None
-    if start is not None and algorithm != "single":
-        server = params.where(F.col(client) == "server").select("idx", "value")
-        params = params.where(F.col(client) != "server")
+    if start is None:
+        params = cut(init_params(weights, dims, client))
+        if algorithm != "single":
+            server = params.where(F.col(client) == names[0]).select("idx", "value")
+    else:
+        params = start.where(F.col(client) != "server").select(client, "idx", "value")
+        if algorithm != "single":
+            server = start.where(F.col(client) == "server").select("idx", "value")
     for r in range(start_round, start_round + rounds):
-        # the proximal term pulls towards the model the round started from
-        prox = None
-        if algorithm == "fedprox":
-            prox = server if server is not None else params.where(F.col(client) == names[0]).select("idx", "value")
+        prox = server if algorithm in PROXIMAL and r > 0 else None
         for _ in range(local_steps):
-            params = local_step(feats, params, prox, lr, mu, client)
+            # a step reads the parameters twice: uncut, k steps would read the features 2^k times
+            params = cut(local_step(feats, params, prox, lr, mu, client, skip=dims if algorithm == "fedprox" else None))
         if algorithm != "single":
-            server = cut(_weighted(params, weights, client).groupBy("idx").agg(
+            own = (F.col("idx") == dims) if algorithm in LOCAL_NORM else F.lit(False)
+            merged = cut(_weighted(params.where(~own), weights, client).groupBy("idx").agg(
                 F.sum(F.col("w") * F.col("value")).alias("value")))
             # every client restarts from the merged model
-            params = server.select(F.explode(F.array(*[F.lit(n) for n in names])).alias(client), "idx", "value")
-        params = cut(params)
+            params = cut(merged.select(F.explode(F.array(*[F.lit(n) for n in names])).alias(client), "idx", "value")
+                         .unionByName(params.where(own)))
+            server = cut(merged.unionByName(server.where(own)))
         if on_round is not None:
             on_round(r, _with_server(params, server, client))
     return _with_server(params, server, client).withColumn("round", F.lit(start_round + rounds - 1))
@@ -149,3 +166,9 @@ def _with_server(params: DataFrame, server: DataFrame | None, client: str) -> Da
     if server is None:
         return params
     return params.unionByName(server.select(F.lit("server").alias(client), "idx", "value"))
+
+
+def score(features: DataFrame, params: DataFrame, client: str = "client") -> DataFrame:
+    """Logit ``z`` and ``score`` of every row under the model of its client."""
+    j = features.join(F.broadcast(to_vectors(params, client)), client).withColumn("z", F.round(linear("x", "w"), 9))
+    return j.drop("w").withColumn("score", sigmoid(F.col("z")))

@@ -249,31 +249,120 @@ def experiment_grid(spark, d):
 
 
 # ----------------------------------------------------------------------------- learner runs
+DIMS, LR = 64, 0.5
+ALGORITHMS = ("fedavg", "fedprox", "fedbn", "fedpxn")
+
+
+def learner_sql(src: str, algorithms, rounds: int, steps: int) -> tuple[str, list[str]]:
+    """DuckDB CTEs of the learner over ``src`` (pid, client, x, y): ``p<r>`` holds the clients'
+    parameters (algorithm, client, k, w) after round r, ``s<r>`` the server's."""
+    algos = ", ".join(f"'{a}'" for a in algorithms)
+    out = [f"""ft AS MATERIALIZED (SELECT pid, client, y, unnest(list_append(x, 1.0)) AS v, unnest(range(0, {DIMS + 1})) AS k FROM {src})""",
+           f"cn AS MATERIALIZED (SELECT client, count(*) AS n, count(*) / sum(count(*)) OVER () AS share FROM {src} GROUP BY client)",
+           f"""q0 AS MATERIALIZED (SELECT algorithm, client, k, 0.0::DOUBLE AS w FROM cn, range(0, {DIMS + 1}) r(k), (SELECT unnest([{algos}]) AS algorithm))""",
+           f"s_init AS (SELECT DISTINCT algorithm, k, w FROM q0)"]
+    last, server, i = "q0", "s_init", 0
+    for r in range(rounds):
+        pull = "0.0" if r == 0 else (f"CASE WHEN p.algorithm = 'fedpxn' OR (p.algorithm = 'fedprox' AND p.k < {DIMS}) THEN {MU}::DOUBLE * (p.w - s.w) ELSE 0.0 END")
+        for _ in range(steps):
+            i += 1
+            out.append(f"""z{i} AS MATERIALIZED (SELECT p.algorithm, f.pid, f.client, 1.0 / (1.0 + exp(-sum(f.v * p.w))) - any_value(f.y) AS e
+  FROM ft f JOIN {last} p ON f.client = p.client AND f.k = p.k GROUP BY p.algorithm, f.pid, f.client)""")
+            out.append(f"""g{i} AS MATERIALIZED (SELECT z.algorithm, z.client, f.k, sum(f.v * z.e) / any_value(c.n) AS g
+  FROM z{i} z JOIN ft f ON z.pid = f.pid AND z.client = f.client JOIN cn c ON c.client = z.client GROUP BY z.algorithm, z.client, f.k)""")
+            out.append(f"""q{i} AS MATERIALIZED (SELECT p.algorithm, p.client, p.k, p.w - {LR}::DOUBLE * (g.g + {pull}) AS w
+  FROM {last} p JOIN g{i} g USING (algorithm, client, k) LEFT JOIN {server} s ON s.algorithm = p.algorithm AND s.k = p.k)""")
+            last = f"q{i}"
+        own = f"(a.algorithm IN ('fedbn', 'fedpxn') AND a.k = {DIMS})"
+        out.append(f"""s{r} AS MATERIALIZED (SELECT a.algorithm, a.k, CASE WHEN {own} THEN any_value(o.w) ELSE sum(a.w * c.share) END AS w
+  FROM {last} a JOIN cn c ON a.client = c.client JOIN {server} o ON o.algorithm = a.algorithm AND o.k = a.k GROUP BY a.algorithm, a.k)""")
+        out.append(f"""p{r} AS MATERIALIZED (SELECT a.algorithm, a.client, a.k, CASE WHEN a.algorithm = 'single' OR {own} THEN a.w ELSE s.w END AS w
+  FROM {last} a JOIN s{r} s ON s.algorithm = a.algorithm AND s.k = a.k)""")
+        last, server = f"p{r}", f"s{r}"
+    return ",\n".join(out), [f"p{r}" for r in range(rounds)]
+
+
+def _fx(sql: str) -> str:
+    """``sql``, more WITH items and a body, after ``fx_feature``."""
+    return with_ctes(",\n" + sql, "fx_feature")
+
+
 def _round_out(p):
     return p.select("client", "idx", F.round("value", 6).alias("value"))
 
 
-@query("fed_round")
+@query("fed_round", _fx(learner_sql("fx_feature", ALGORITHMS, 3, 3)[0] + """
+SELECT algorithm, client, k::INTEGER AS idx, round(w, 6) AS value FROM p2
+UNION ALL SELECT algorithm, 'server', k::INTEGER, round(w, 6) FROM s2"""))
 def fed_round(spark, d):
-    """Three federated rounds of three local steps (fedavg and fedprox) of the distributed logistic learner."""
+    """Three federated rounds of three local steps of the distributed logistic learner, by each algorithm."""
     f = X.fx_feature(spark, d)
-    a = FD.train(f, 64, rounds=3, local_steps=3, algorithm="fedavg").withColumn("algorithm", F.lit("fedavg"))
-    b = FD.train(f, 64, rounds=3, local_steps=3, algorithm="fedprox", mu=MU).withColumn("algorithm", F.lit("fedprox"))
-    return a.unionByName(b).select("algorithm", "client", "idx", F.round("value", 6).alias("value"))
+    out = None
+    for a in ALGORITHMS:
+        p = FD.train(f, DIMS, rounds=3, lr=LR, local_steps=3, algorithm=a, mu=MU)
+        p = p.select(F.lit(a).alias("algorithm"), "client", "idx", F.round("value", 6).alias("value"))
+        out = p if out is None else out.unionByName(p)
+    return out
 
 
-@query("single_train")
+@query("single_train", _fx("one AS (SELECT * FROM fx_feature WHERE client = '0'),\n" + learner_sql("one", ["single"], 3, 1)[0] + """
+SELECT client, k::INTEGER AS idx, round(w, 6) AS value FROM p2"""))
 def single_train(spark, d):
     """One client trained alone (no merging)."""
     f = X.fx_feature(spark, d).where(F.col("client") == "0")
-    return _round_out(FD.train(f, 64, rounds=3, algorithm="single"))
-
-
-@query("round_resume")
+    return _round_out(FD.train(f, DIMS, rounds=3, lr=LR, algorithm="single"))
+
+
+@query("pooled_run", _fx("pool AS (SELECT pid, 'pooled' AS client, x, y FROM fx_feature),\n" + learner_sql("pool", ["single"], 3, 1)[0] + """
+SELECT client, k::INTEGER AS idx, round(w, 6) AS value FROM p2"""))
+def pooled_run(spark, d):
+    """All clients' rows trained as one pooled set."""
+    f = X.fx_feature(spark, d).withColumn("client", F.lit("pooled"))
+    return _round_out(FD.train(f, DIMS, rounds=3, lr=LR, algorithm="single"))
+
+
+SPLIT_SQL = """CASE CAST(('0x' || substr(md5(CAST(pid AS VARCHAR)), 1, 8)) AS BIGINT) % 10 WHEN 0 THEN 'test' WHEN 1 THEN 'valid' ELSE 'train' END"""
+
+
+def split_of(pid: str = "pid"):
+    b = hash_bucket(F.col(pid), 10)
+    return F.when(b == 0, F.lit("test")).when(b == 1, F.lit("valid")).otherwise(F.lit("train"))
+
+
+@query("fed_history", _fx(f"sp AS (SELECT *, {SPLIT_SQL} AS split FROM fx_feature),\ntr AS (SELECT * FROM sp WHERE split = 'train'),\n"
+                          + learner_sql("tr", ["fedavg"], 4, 1)[0] + ",\nhp AS ("
+                          + " UNION ALL ".join(f"SELECT {r}::INTEGER AS round, client, k, w FROM p{r}" for r in range(4)) + f"""),
+sc AS (SELECT round, pid, client, y, z, 1.0 / (1.0 + exp(-z)) AS score FROM (
+  SELECT h.round, f.pid, f.client, f.y, round(sum(f.v * h.w), 9) AS z
+  FROM (SELECT pid, client, y, unnest(list_append(x, 1.0)) AS v, unnest(range(0, {DIMS + 1})) AS k FROM sp WHERE split = 'valid') f
+  JOIN hp h ON h.client = f.client AND h.k = f.k GROUP BY h.round, f.pid, f.client, f.y) t),
+m AS (SELECT l.client, l.round, l.loss, a.auprc FROM
+ (SELECT client, round, round(avg({BCE_SQL.format(z='z', y='y')}), 6) AS loss FROM sc GROUP BY client, round) l
+ JOIN ({AP_SQL.format(k="client, round, ", p="client, round", src="sc", g="GROUP BY client, round")}) a USING (client, round)),
+im AS (SELECT *, coalesce(auprc >= max(auprc) OVER (PARTITION BY client ORDER BY round ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS improved FROM m)
+SELECT client, round, loss, auprc, improved FROM im"""))
+def fed_history(spark, d):
+    """Train on the train split; after every round score the clients' valid rows with the round's
+    model; loss, average precision and whether the round improved the client."""
+    f = X.fx_feature(spark, d).withColumn("split", split_of())
+    seen = []
+    FD.train(f.where("split = 'train'"), DIMS, rounds=4, lr=LR, on_round=lambda r, p: seen.append(
+        FD.score(f.where("split = 'valid'"), p.where("client <> 'server'")).withColumn("round", F.lit(r))))
+    s = seen[0]
+    for x in seen[1:]:
+        s = s.unionByName(x)
+    loss = M.mean_bce(s, ["client", "round"]).select("client", "round", r6("loss"))
+    m = loss.join(M.average_precision(s, ["client", "round"]).select("client", "round", r6("auprc")), ["client", "round"])
+    return M.early_stopping(m).select("client", "round", "loss", "auprc", "improved")
+
+
+@query("round_resume", _fx(learner_sql("fx_feature", ["fedavg"], 3, 1)[0] + """
+SELECT client, k::INTEGER AS idx, round(w, 6) AS value FROM p2
+UNION ALL SELECT 'server', k::INTEGER, round(w, 6) FROM s2"""))
 def round_resume(spark, d):
     """Persist every round, restart from the last complete round, finish the run. The folder is named
     by the run's configuration, so another process finds the same rounds."""
-    cfg = {"input": d, "algorithm": "fedavg", "lr": 0.5, "local_steps": 1, "dims": 64}
+    cfg = {"input": d, "algorithm": "fedavg", "lr": 0.5, "local_steps": 1, "dims": DIMS}
     root = ensure_checkpoint_dir(spark).rstrip("/") + f"/fed_rounds-{config_hash(cfg)}"
     f = X.fx_feature(spark, d)
 
@@ -285,7 +374,7 @@ def round_resume(spark, d):
         if last >= total - 1:
             return spark.read.parquet(f"{root}/round={total - 1}").withColumn("round", F.lit(total - 1))
         start = spark.read.parquet(f"{root}/round={last}") if last >= 0 else None
-        return FD.train(f, 64, rounds=total - 1 - last, algorithm="fedavg", start=start, start_round=last + 1, on_round=save)
+        return FD.train(f, DIMS, rounds=total - 1 - last, algorithm="fedavg", start=start, start_round=last + 1, on_round=save)
 
     resume(2)
     return _round_out(resume(3))
