@@ -1,4 +1,5 @@
 import datetime as dt
+from dataclasses import replace
 
 from pyspark.sql import functions as F
 
@@ -64,3 +65,12 @@ def test_entry_runs(spark):
     assert df.count() > 0
     assert df.columns == ["stay_id", "adm_id", "readmission", "mortality", "los_3day", "los_7day", "final_acuity",
                           "imminent_discharge"]
+
+
+def test_unit_settings_change_the_cohort(spark):
+    s = spark.createDataFrame([(1, "A", "A"), (2, "A", "B"), (3, "B", "B"), (4, None, None)], "stay_id long, first_unit string, last_unit string")
+    ids = lambda **kw: sorted(r["stay_id"] for r in C.unit_filter(s, replace(ABSOLUTE, **kw)).collect())
+    assert ids() == [1, 3]
+    assert ids(same_unit=False) == [1, 2, 3, 4]
+    assert ids(unit_type="B") == [3]
+    assert ids(same_unit=False, unit_type="B") == [2, 3]

@@ -52,3 +52,17 @@ def test_json_arrays_roundtrip(spark):
     assert sorted((r["pid"], tuple(r["dx"])) for r in back.collect()) == [(1, (3, 1)), (2, ())]
     small = io.to_smallint(spark.createDataFrame([([[1, 2]],)], "x array<array<int>>"), ["x"])
     assert dict(small.dtypes)["x"] == "array<array<smallint>>"
+
+
+def test_hot_client_is_written_by_several_tasks(spark):
+    path = tempfile.mkdtemp(prefix="wardspark-sink-") + "/hot"
+    df = spark.range(4000).select(F.col("id").alias("pid"), F.when(F.col("id") % 2 == 0, "hot").otherwise(F.concat(F.lit("c"), F.col("id") % 7)).alias("client"))
+    io.write_partitioned(df, path, "client", "pid", files=8)
+    assert len([f for f in os.listdir(path + "/client=hot") if f.endswith(".parquet")]) > 2
+    assert spark.read.parquet(path).where("client = 'hot'").count() == 2000
+    assert io.read_sample(spark, path, "client", "hot", "pid", 6).count() == 1
+
+
+def test_upper_columns(spark):
+    from wardspark.operators.events import upper_columns
+    assert upper_columns(spark.range(1).selectExpr("id AS itemId", "1 AS b")).columns == ["ITEMID", "B"]

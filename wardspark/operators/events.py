@@ -47,6 +47,14 @@ def null_profile(df: DataFrame) -> DataFrame:
     return row.selectExpr(stack)
 
 
+def upper_columns(df: DataFrame) -> DataFrame:
+    """All column names in upper case; two names that differ in case alone are an error."""
+    names = [c.upper() for c in df.columns]
+    if len(set(names)) < len(names):
+        raise ValueError(f"column names clash in upper case: {df.columns}")
+    return df.toDF(*names)
+
+
 def drop_all_null(df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """Drop columns that hold no value at all (one profile pass; returns a new plan)."""
     counts = null_profile(df).collect()  # one row per column: bounded by the schema width

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import functions as F
 
 from wardspark.operators import fed as FD
@@ -411,38 +413,59 @@ def batch_pad(spark, d):
     return b.select("ID", "client", "batch", "target_seq", "target_word", F.md5(txt).alias("ids_md5"))
 
 
-@query("embed_pool", with_ctes("""
+EMBED_TOK = ("(SELECT \"ID\", \"ORDER\" AS ev, unnest(ids) AS i, unnest(types) AS t, unnest(dpes) AS d, unnest(range(len(ids))) AS j, "
+             "(SELECT count(*) FROM embeddings) AS n FROM tk_budget WHERE in_budget AND \"ID\" IN "
+             "(SELECT \"ID\" FROM tk_nb WHERE n_budget <= 256)) tok")
+
+
+def embed_sql(tok: str) -> str:
+    return f"""
 SELECT "ID", string_agg(printf('%.6f', v), ',' ORDER BY k) AS pooled FROM (
   SELECT "ID", k, avg(v) AS v FROM (
     SELECT x."ID", x.ev, x.j, e.k, sum(e.v) AS v FROM (
-      SELECT "ID", ev, j, ((i % n) + n) % n AS vec_id FROM tok UNION ALL
-      SELECT "ID", ev, j, ((t % n) + n) % n FROM tok UNION ALL
-      SELECT "ID", ev, j, ((d + 100) % n + n) % n FROM tok) x
-    JOIN (SELECT vec_id, unnest(range(0, len(embedding))) AS k, unnest(embedding) AS v FROM embeddings) e
+      SELECT "ID", ev, j, ((i % n) + n) % n AS vec_id FROM {tok} UNION ALL
+      SELECT "ID", ev, j, ((t % n) + n) % n FROM {tok} UNION ALL
+      SELECT "ID", ev, j, ((d + 100) % n + n) % n FROM {tok}) x
+    JOIN (SELECT vec_id, unnest(range(0, len(embedding))) AS k, unnest(embedding)::DOUBLE AS v FROM embeddings) e
       ON x.vec_id = e.vec_id
     GROUP BY x."ID", x.ev, x.j, e.k) a
   GROUP BY "ID", k) b
-GROUP BY "ID" """.replace("FROM tok", "FROM (SELECT \"ID\", \"ORDER\" AS ev, unnest(ids) AS i, unnest(types) AS t, "
-                          "unnest(dpes) AS d, unnest(range(len(ids))) AS j, (SELECT count(*) FROM embeddings) AS n "
-                          "FROM tk_budget WHERE in_budget AND \"ID\" IN (SELECT \"ID\" FROM tk_nb WHERE n_budget <= 256)) tok"),
-    "tk_budget", "tk_nb"))
-def embed_pool(spark, d):
-    """Token + type + digit-place vector sum per token, mean-pooled per patient over the
-    non-padding tokens (vectors from the embeddings table)."""
+GROUP BY "ID" """
+
+
+def pooled_vectors(spark, d, first_only: bool = False):
+    """Token + type + digit-place vectors, mean over a patient's non-padding tokens (or its first token alone).
+
+    The sum is linear: (patient, vector id) is counted first, combining map-side, so a hot vector id meets the
+    vectors at most once a patient; one aggregate then adds whole vectors."""
     from wardspark.plans.q_tokens import sequence_stage
     s = sequence_stage(spark, d)
     flat = s.select("ID", F.posexplode(F.flatten(F.transform(
         F.arrays_zip(F.col("ids").alias("a"), F.col("types").alias("b"), F.col("dpes").alias("c")),
         lambda e: F.arrays_zip(e["a"].alias("i"), e["b"].alias("t"), e["c"].alias("d"))))).alias("pos", "tok"))
-    emb = X.read(spark, d, "embeddings")
-    n = emb.agg(F.count(F.lit(1)).alias("n"))
-    vec = emb.select("vec_id", F.posexplode("embedding").alias("k", "v"))
-    flat = flat.withColumn("_n", n.scalar())
-    keys = flat.select("ID", "pos", F.explode(F.array(
+    if first_only:
+        flat = flat.where("pos = 0")
+    emb = X.read(spark, d, "embeddings").select("vec_id", "embedding")
+    flat = flat.withColumn("_n", emb.agg(F.count(F.lit(1)).alias("n")).scalar())
+    keys = flat.select("ID", F.explode(F.array(
         F.pmod(F.col("tok.i"), F.col("_n")), F.pmod(F.col("tok.t"), F.col("_n")),
         F.pmod(F.col("tok.d") + 100, F.col("_n")))).alias("vec_id"))
-    summed = keys.join(vec, "vec_id").groupBy("ID", "pos", "k").agg(F.sum("v").alias("v"))
-    pooled = summed.groupBy("ID", "k").agg(F.avg("v").alias("v"))
-    out = pooled.groupBy("ID").agg(F.array_sort(F.collect_list(F.struct("k", "v"))).alias("_s"))
-    return out.select("ID", F.array_join(F.transform("_s", lambda e: F.format_string("%.6f", e["v"])), ",")
-                      .alias("pooled"))
+    counted = keys.groupBy("ID", "vec_id").agg(F.count(F.lit(1)).alias("c"))
+    tokens = flat.groupBy("ID").agg(F.count(F.lit(1)).alias("m"))
+    part = counted.join(emb, "vec_id").select("ID", array_to_vector(F.transform("embedding", lambda v: v.cast("double") * F.col("c"))).alias("_v"))
+    total = part.groupBy("ID").agg(Summarizer.sum(F.col("_v")).alias("_v"))
+    out = total.join(tokens, "ID")
+    return out.select("ID", F.array_join(F.transform(vector_to_array("_v"), lambda v: F.format_string("%.6f", v / F.col("m"))), ",").alias("pooled"))
+
+
+@query("embed_pool", with_ctes(embed_sql(EMBED_TOK), "tk_budget", "tk_nb"))
+def embed_pool(spark, d):
+    return pooled_vectors(spark, d)
+
+
+@query("embed_first", with_ctes(embed_sql(
+    f"(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY \"ID\" ORDER BY ev, j) AS rn FROM {EMBED_TOK}) q WHERE rn = 1) tok"),
+    "tk_budget", "tk_nb"))
+def embed_first(spark, d):
+    """First-row pooling: the vector of a patient's first token."""
+    return pooled_vectors(spark, d, first_only=True)

@@ -76,10 +76,12 @@ def to_smallint(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return out
 
 
-def write_partitioned(df: DataFrame, path: str, key: str, pid: str, mode: str = "overwrite") -> None:
-    """One dataset partitioned by ``key`` (client or source), pid-sorted inside each file."""
-    (df.repartition(key).sortWithinPartitions(key, pid)
-       .write.mode(mode).partitionBy(key).parquet(path))
+def write_partitioned(df: DataFrame, path: str, key: str, pid: str, mode: str = "overwrite", files: int | None = None) -> None:
+    """One dataset partitioned by ``key`` (client or source), pid-sorted inside each file. A key's rows
+    are dealt over up to ``files`` tasks by a hash of pid, so one client's size bounds no task."""
+    n = files or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    (df.withColumn("_deal", F.pmod(F.xxhash64(pid), F.lit(n))).repartition(n, key, "_deal").drop("_deal")
+       .sortWithinPartitions(key, pid).write.mode(mode).partitionBy(key).parquet(path))
 
 
 def read_sample(spark: SparkSession, path: str, key: str, value: str, pid: str, pid_value) -> DataFrame:

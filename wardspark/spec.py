@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 
 @dataclass(frozen=True)
@@ -10,9 +10,9 @@ class CohortSpec:
     """Cohort and label rules for one source flavour.
 
     Attributes mirror the knobs that differ between the three sources: label windows,
-    strictness of the stay-length labels, whether mortality also needs death before
-    the unit discharge, the stage at which readmission is counted and at which the
-    category codes of the final location are assigned.
+    strictness of the stay-length labels and whether mortality also needs death before the
+    unit discharge. The order of the stages is the flavour's own builder
+    (``operators/cohort.py``).
     """
 
     gap_hours: int = 12
@@ -24,8 +24,6 @@ class CohortSpec:
     los_inclusive: bool = False          # >= 3 / >= 7 instead of > 3 / > 7
     mortality_out_bound: bool = True     # death must also be <= unit discharge
     discharge_uses_gap: bool = False     # imminent discharge window includes the gap
-    readmit_stage: str = "after_age"     # after_age | after_los
-    acuity_stage: str = "after_los"      # after_los | before_los
     death_location: str = "DEAD/EXPIRED"
 
     @property
@@ -38,9 +36,9 @@ class CohortSpec:
 
 
 ABSOLUTE = CohortSpec()
-RELATIVE = CohortSpec(readmit_stage="after_age", acuity_stage="before_los")
+RELATIVE = CohortSpec()
 ANCHORED = CohortSpec(gap_hours=2, pred_hours=24, los_inclusive=True, mortality_out_bound=False,
-                      discharge_uses_gap=True, readmit_stage="after_los", death_location="DIED")
+                      discharge_uses_gap=True, death_location="DIED")
 
 
 @dataclass(frozen=True)
@@ -57,4 +55,3 @@ class TableSpec:
     category_columns: tuple[str, ...] = ()
     selected: tuple[str, ...] = ()
     dictionary: bool = False
-    extra: dict = field(default_factory=dict)
