@@ -42,6 +42,29 @@ def test_qcut_by_group_and_nulls(spark):
     assert [r["b"] for r in out if r["v"] is None] == [None]
 
 
+def test_continuous_values_over_many_ranges(spark):
+    rng = np.random.default_rng(7)
+    x = np.round(rng.normal(0, 1000, 20_000), 3)
+    df = spark.createDataFrame([(i, "hot" if i % 3 else f"g{i % 50}", float(v)) for i, v in enumerate(x)], "i long, g string, v double")
+    got = qcut_global(df, "v", "b")
+    assert "percentile" not in got._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert [r["b"] for r in got.orderBy("i").collect()] == pandas_labels(x)
+    out = {r["i"]: (r["g"], r["v"], r["b"]) for r in qcut_by(df, "g", "v", "b").collect()}
+    assert len(out) == len(x)
+    for g in ("hot", "g0", "g3"):
+        mine = [(v, b) for h, v, b in out.values() if h == g]
+        assert [b for _, b in mine] == pandas_labels([v for v, _ in mine])
+
+
+def test_quantiles_of_nothing_and_of_one_row(spark):
+    empty = spark.createDataFrame([], "g string, v double")
+    assert qcut_global(empty, "v", "b").count() == 0 and qcut_by(empty, "g", "v", "b").count() == 0
+    nulls = spark.createDataFrame([("a", None), (None, None)], "g string, v double")
+    assert {r["b"] for r in qcut_global(nulls, "v", "b").collect()} == {None}
+    one = spark.createDataFrame([("a", 4.0), ("a", None)], "g string, v double")
+    assert sorted(str(r["b"]) for r in qcut_by(one, "g", "v", "b").collect()) == ["1", "None"]
+
+
 def test_dense_rank(spark):
     df = spark.createDataFrame([("a", 3.0), ("a", 1.0), ("a", 3.0), ("b", 2.0)], "g string, v double")
     got = sorted((r["g"], r["v"], r["rk"]) for r in dense_rank_by(df, "g", "v", "rk").collect())

@@ -6,47 +6,59 @@ edges are the linear-interpolation quantiles at i/k (k = min(distinct, q)), roun
 number of edges strictly below it (at least 1, so the minimum lands in the first bin).
 
 Scale: values are first reduced to ``(value, freq)`` - a combinable aggregate - and the
-percentile is taken over that table with the frequency argument, so a hot group or a
-huge global column never buffers raw rows. The global edges are attached as a scalar
-subquery (one row), never through a cross join.
+edges are read off the running sums of that table, which range partitions compute, so no
+task holds the distinct values of a hot group or of a global column. The global edges are
+attached as a scalar subquery (one row), never through a cross join.
 """
 
 from __future__ import annotations
 
-from fractions import Fraction
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wardspark.operators.util import rank_within
+from wardspark.operators.util import rank_within, running_sums
 
 NUMERIC_RE = r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"
 
 
-def _fractions(q: int) -> list[Fraction]:
-    return sorted({Fraction(i, k) for k in range(1, q + 1) for i in range(k + 1)})
-
-
-def _edges_for_k(vals: Column, k: Column, q: int) -> Column:
-    """Pick the edges for the actual ``k`` out of the percentiles of every i/k fraction."""
-    fr = _fractions(q)
-    pos = {f: i + 1 for i, f in enumerate(fr)}
-    expr = None
-    for kk in range(q, 0, -1):
-        arr = F.array(*[F.element_at(vals, pos[Fraction(i, kk)]) for i in range(kk + 1)])
-        expr = arr if expr is None else F.when(k == kk, arr).otherwise(expr)
-    rounded = F.transform(expr, lambda v: F.round(v, 6))
-    return F.array_distinct(rounded)
-
-
 def quantile_edges(freq: DataFrame, value: str, q: int, keys: list[str] | None = None) -> DataFrame:
-    """``freq`` has (keys..., value, n). Returns (keys..., edges array<double>)."""
-    fr = [float(f) for f in _fractions(q)]
-    pct = F.percentile(F.col(value), F.array(*[F.lit(f) for f in fr]), F.col("n"))
-    aggs = [pct.alias("_vals"), F.count(F.lit(1)).alias("_nuniq")]
-    g = freq.groupBy(*keys).agg(*aggs) if keys else freq.agg(*aggs)
-    k = F.least(F.col("_nuniq"), F.lit(q))
-    return g.select(*(keys or []), _edges_for_k(F.col("_vals"), k, q).alias("edges"))
+    """``freq`` has (keys..., value, n), one row per distinct value. Returns (keys..., edges array<double>).
+
+    Edge i of k lies at the 0-based rank i (N - 1) / k, between the values at its floor and its
+    ceiling. A value holds the ranks from the count of smaller rows up to its running count, so each
+    row knows by itself which edges it takes part in; at most two rows an edge go on.
+    """
+    keys = keys or []
+    x = running_sums(freq, keys, [F.col(value)], ["n"])
+    total = x.groupBy(*keys).agg(F.sum("n").alias("_rows"), F.least(F.count(F.lit(1)), F.lit(q)).alias("_k"))
+    if keys:
+        total = total.withColumnsRenamed({c: f"_t{i}" for i, c in enumerate(keys)})
+        x = x.join(total, [x[c].eqNullSafe(total[f"_t{i}"]) for i, c in enumerate(keys)])
+    else:  # one row: a scalar subquery, projected before the lambdas use it
+        x = x.withColumn("_total", total.select(F.struct("_rows", "_k")).scalar())
+        x = x.withColumns({"_rows": F.col("_total._rows"), "_k": F.col("_total._k")})
+
+    def at(i: Column) -> Column:
+        return i * (F.col("_rows") - 1)
+
+    def holds(rank: Column) -> Column:
+        return (rank >= F.col("cum_n") - F.col("n")) & (rank < F.col("cum_n"))
+
+    def low(i: Column) -> Column:
+        return F.floor(at(i) / F.col("_k"))
+
+    def high(i: Column) -> Column:
+        return F.ceil(at(i) / F.col("_k"))
+
+    mine = F.filter(F.sequence(F.lit(0).cast("bigint"), F.col("_k")), lambda i: holds(low(i)) | holds(high(i)))
+    i, v = F.col("_i"), F.col(value).cast("double")
+    ends = x.withColumn("_i", F.explode(mine)).select(
+        *keys, "_i", F.when(holds(low(i)), v).alias("_lo"), F.when(holds(high(i)), v).alias("_hi"),
+        (F.pmod(at(i), F.col("_k")) / F.col("_k")).alias("_w"))
+    edges = ends.groupBy(*keys, "_i").agg(F.max("_lo").alias("_lo"), F.max("_hi").alias("_hi"), F.max("_w").alias("_w"))
+    edge = F.round(F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_w"), 6)
+    rows = F.array_sort(F.collect_list(F.struct("_i", edge.alias("e"))))
+    return edges.groupBy(*keys).agg(F.array_distinct(F.transform(rows, lambda r: r["e"])).alias("edges"))
 
 
 def label_from_edges(x: Column, edges: Column) -> Column:

@@ -141,35 +141,42 @@ def _prefix_rows(m: DataFrame, segment: bool) -> DataFrame:
     return x.select(F.expr("substring(path, 1, _l)").alias("prefix"), "class")
 
 
-def _single_class(todo: DataFrame, m: DataFrame, probe: Column, segment: bool) -> DataFrame:
-    """Paths whose probe prefix covers known paths of exactly one class."""
-    stats = _prefix_rows(m, segment).groupBy("prefix").agg(
-        F.countDistinct("class").alias("_k"), F.min("class").alias("class"))
-    t = todo.select("path", probe.alias("prefix"))
-    return t.join(stats, "prefix").where(F.col("_k") == 1).select("path", "class")
+def _prefix_counts(m: DataFrame, probes: DataFrame, segment: bool) -> DataFrame:
+    """(prefix, class, n): known paths of each class below each probed prefix."""
+    rows = _prefix_rows(m, segment).join(probes, "prefix", "left_semi")
+    return rows.groupBy("prefix", "class").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _modal_class(todo: DataFrame, m: DataFrame, probe: Column, segment: bool) -> DataFrame:
-    """Paths whose probe prefix covers more than one class: the most frequent (ties: smallest)."""
-    cnt = _prefix_rows(m, segment).groupBy("prefix", "class").agg(F.count(F.lit(1)).alias("n"))
-    stats = cnt.groupBy("prefix").agg(
+def _by_prefix(todo: DataFrame, counts: DataFrame, probe: Column, several: bool) -> DataFrame:
+    """Every path with the class of its probe prefix, or NULL: the prefix must cover known paths of
+    exactly one class or, if ``several``, of more than one (the most frequent; ties: smallest)."""
+    merged = counts.groupBy("prefix", "class").agg(F.sum("n").alias("n"))
+    stats = merged.groupBy("prefix").agg(
         F.count(F.lit(1)).alias("_k"),
         F.min(F.struct((-F.col("n")).alias("n"), F.col("class").alias("c"))).alias("_m"))
+    stats = stats.where(F.col("_k") > 1 if several else F.col("_k") == 1)
     t = todo.select("path", probe.alias("prefix"))
-    return t.join(stats, "prefix").where(F.col("_k") > 1).select("path", F.col("_m.c").alias("class"))
+    return t.join(stats, "prefix", "left").select("path", F.col("_m.c").alias("class"))
+
+
+STEPS = ("direct", "icd10", "override", "parent", "descendants", "siblings", "ancestor_mode")
 
 
 def resolve_paths(wanted: DataFrame, known: DataFrame, ccs: DataFrame, gem: DataFrame,
                   overrides: DataFrame, segment_prefix: bool = False,
-                  ancestor_levels: tuple[int, ...] = (4,)) -> DataFrame:
+                  ancestor_levels: tuple[int, ...] = (4,), until: str = STEPS[-1]) -> DataFrame:
     """Cascade ``(path) -> (path, class, resolved_by)``; every step sees only what the earlier
     steps left unresolved (an ordered coalesce). Unresolved wanted paths get class NULL.
 
     Steps: direct code, single ICD-10 code via the equivalence table, manual overrides,
-    parent, descendants (one class), siblings (one class), ancestor mode.
-    ``segment_prefix`` switches the prefix test from characters (the reference) to whole
-    segments; ``ancestor_levels`` (4,) reproduces the reference, (1, 2, 3, 4) tries nearest first.
+    parent, descendants (one class), siblings (one class), ancestor mode; those after ``until``
+    aren't computed. ``segment_prefix`` switches the prefix test from characters (the reference) to
+    whole segments; ``ancestor_levels`` (4,) reproduces the reference, (1, 2, 3, 4) tries nearest first.
+
+    Known paths are exploded into prefixes once, and only prefixes that some open path asks for
+    are kept; a step adds the prefixes of the paths that it resolved.
     """
+    last = STEPS.index(until)
     ccs_b = ccs.select(F.col("code").alias("_c"), "class")
     k = known.select("path", "codes", first_code(F.col("codes")).alias("_c"))
     direct = k.join(ccs_b, "_c").groupBy("path").agg(F.min("class").alias("class"))
@@ -182,40 +189,41 @@ def resolve_paths(wanted: DataFrame, known: DataFrame, ccs: DataFrame, gem: Data
                 .groupBy("path").agg(F.min("class").alias("class")))
     ovr = (rest.join(icd10.select("path"), "path", "left_anti").select("path")
                .join(overrides.groupBy("path").agg(F.min("class").alias("class")), "path"))
-    m0 = cut(direct.withColumn("resolved_by", F.lit("direct"))
-             .unionByName(icd10.withColumn("resolved_by", F.lit("icd10")))
-             .unionByName(ovr.withColumn("resolved_by", F.lit("override"))))
-
-    # Each step's output is dictionary-sized; cutting lineage after every step keeps the
-    # plan linear instead of re-deriving all earlier maps inside every later one.
-    todo = cut(wanted.select("path").distinct().join(m0.select("path"), "path", "left_anti"))
-    mp = m0.select("path", "class")
-
-    par = cut(todo.select("path", parent_path(F.col("path")).alias("_pp")).join(
-        mp.select(F.col("path").alias("_pp"), "class"), "_pp").select("path", "class"))
-    m1 = mp.unionByName(par)
-    todo = cut(todo.join(par.select("path"), "path", "left_anti"))
-
-    des = cut(_single_class(todo, m1, F.col("path"), segment_prefix))
-    m2 = m1.unionByName(des)
-    todo = cut(todo.join(des.select("path"), "path", "left_anti"))
-
-    sib = cut(_single_class(todo, m2, parent_path(F.col("path")), segment_prefix))
-    m3 = m2.unionByName(sib)
-    todo = cut(todo.join(sib.select("path"), "path", "left_anti"))
-
-    anc = None
-    for lv in ancestor_levels:
-        step = cut(_modal_class(todo, m3, parent_path(F.col("path"), lv), segment_prefix))
-        anc = step if anc is None else anc.unionByName(step)
-        todo = cut(todo.join(step.select("path"), "path", "left_anti"))
-    out = (m0.unionByName(par.withColumn("resolved_by", F.lit("parent")))
-             .unionByName(des.withColumn("resolved_by", F.lit("descendants")))
-             .unionByName(sib.withColumn("resolved_by", F.lit("siblings")))
-             .unionByName(anc.withColumn("resolved_by", F.lit("ancestor_mode")))
-             .unionByName(todo.select("path", F.lit(None).cast("int").alias("class"),
-                                      F.lit("unresolved").alias("resolved_by"))))
-    return out
+    out = direct.withColumn("resolved_by", F.lit(STEPS[0]))
+    for name, part in list(zip(STEPS[1:3], (icd10, ovr)))[:last]:
+        out = out.unionByName(part.withColumn("resolved_by", F.lit(name)))
+    if last > 2:
+        out = cut(out)
+    m = out.select("path", "class")
+    todo = wanted.select("path").distinct().join(m.select("path"), "path", "left_anti")
+
+    # A step's output is dictionary-sized: (path, class or NULL) of all paths open before it. Cutting
+    # it once keeps the plan linear, and both the resolved and the open paths are read from it.
+    path = F.col("path")
+    steps = [(3, None, False), (4, path, False), (5, parent_path(path), False),
+             *[(6, parent_path(path, lv), True) for lv in ancestor_levels]]
+    counts = probes = None
+    for at, probe, several in steps:
+        if at > last:
+            break
+        if probe is None:
+            up = m.select(F.col("path").alias("_pp"), "class")
+            tried = todo.select("path", parent_path(path).alias("_pp")).join(up, "_pp", "left").select("path", "class")
+        else:
+            if counts is None:
+                asked = F.array(*[p for _, p, _ in steps if p is not None])
+                probes = todo.select(F.explode(asked).alias("prefix")).distinct()
+                counts = cut(_prefix_counts(m, probes, segment_prefix))
+            tried = _by_prefix(todo, counts, probe, several)
+        tried = cut(tried)
+        got = tried.where(F.col("class").isNotNull())
+        todo = tried.where(F.col("class").isNull()).select("path")
+        out = out.unionByName(got.withColumn("resolved_by", F.lit(STEPS[at])))
+        if counts is None:
+            m = m.unionByName(got)
+        elif not several:
+            counts = counts.unionByName(_prefix_counts(got, probes, segment_prefix))
+    return out.unionByName(todo.select("path", F.lit(None).cast("int").alias("class"), F.lit("unresolved").alias("resolved_by")))
 
 
 def apply_path_map(stay_paths: DataFrame, resolved: DataFrame, key: str = "stay_id") -> DataFrame:

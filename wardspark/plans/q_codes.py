@@ -28,9 +28,14 @@ def stay_classes(spark, d):
     return K.with_empty_classes(abs_cohort(spark, d).select("stay_id"), sets)
 
 
-def resolved(spark, d):
+def resolved(spark, d, until=K.STEPS[-1]):
     return K.resolve_paths(X.fx_stay_path(spark, d), X.fx_known(spark, d), ccs(spark, d),
-                           X.fx_gem(spark, d), X.fx_override(spark, d))
+                           X.fx_gem(spark, d), X.fx_override(spark, d), until=until)
+
+
+def resolved_by(spark, d, step):
+    """Paths that one step of the cascade resolved; later steps aren't computed."""
+    return resolved(spark, d, step).where(F.col("resolved_by") == step).select("path", "class")
 
 
 # ============================================================================ DuckDB twins
@@ -166,37 +171,37 @@ def dx_multihot(spark, d):
 
 @query("dx_path_direct", with_ctes("SELECT path, class FROM path_direct", "path_direct"))
 def dx_path_direct(spark, d):
-    return resolved(spark, d).where(F.col("resolved_by") == "direct").select("path", "class")
+    return resolved_by(spark, d, "direct")
 
 
 @query("dx_path_icd10", with_ctes("SELECT path, class FROM path_icd10", "path_icd10"))
 def dx_path_icd10(spark, d):
-    return resolved(spark, d).where(F.col("resolved_by") == "icd10").select("path", "class")
+    return resolved_by(spark, d, "icd10")
 
 
 @query("dx_path_override", with_ctes("SELECT path, class FROM path_ovr", "path_ovr"))
 def dx_path_override(spark, d):
-    return resolved(spark, d).where(F.col("resolved_by") == "override").select("path", "class")
+    return resolved_by(spark, d, "override")
 
 
 @query("dx_path_parent", with_ctes("SELECT path, class FROM path_parent", "path_parent"))
 def dx_path_parent(spark, d):
-    return resolved(spark, d).where(F.col("resolved_by") == "parent").select("path", "class")
+    return resolved_by(spark, d, "parent")
 
 
 @query("dx_path_descend", with_ctes("SELECT path, class FROM path_desc", "path_desc"))
 def dx_path_descend(spark, d):
-    return resolved(spark, d).where(F.col("resolved_by") == "descendants").select("path", "class")
+    return resolved_by(spark, d, "descendants")
 
 
 @query("dx_path_sibling", with_ctes("SELECT path, class FROM path_sib", "path_sib"))
 def dx_path_sibling(spark, d):
-    return resolved(spark, d).where(F.col("resolved_by") == "siblings").select("path", "class")
+    return resolved_by(spark, d, "siblings")
 
 
 @query("dx_path_ancestor_mode", with_ctes("SELECT path, class FROM path_anc", "path_anc"))
 def dx_path_ancestor_mode(spark, d):
-    return resolved(spark, d).where(F.col("resolved_by") == "ancestor_mode").select("path", "class")
+    return resolved_by(spark, d, "ancestor_mode")
 
 
 @query("dx_path_coverage", with_ctes("""

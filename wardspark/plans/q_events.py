@@ -7,7 +7,7 @@ from fractions import Fraction
 from pyspark.sql import functions as F
 
 from wardspark.operators import events as V
-from wardspark.operators.buckets import _fractions, bucketize_values, dense_rank_by
+from wardspark.operators.buckets import bucketize_values, dense_rank_by
 from wardspark.plans.catalog import query
 from wardspark.plans.oracle_fx import cte, with_ctes
 from wardspark.sources import fixtures as X
@@ -55,7 +55,7 @@ def event_stage(spark, d, hour=False, bucket=True):
 # ============================================================================ DuckDB twins
 def qcut_edges_sql(src: str, value: str, q: int = 20, keys: str = "") -> str:
     """SELECT [keys,] edges FROM src -- exact qcut edges (all i/k fractions, pick k)."""
-    fr = _fractions(q)
+    fr = sorted({Fraction(i, k) for k in range(1, q + 1) for i in range(k + 1)})
     pos = {f: i + 1 for i, f in enumerate(fr)}
     lits = ", ".join(repr(float(f)) for f in fr)
     cases = " ".join(
