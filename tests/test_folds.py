@@ -59,3 +59,20 @@ def test_ratio_subset_is_deterministic(spark):
     a = K.ratio_subset(df, 10).count()
     assert 50 < a < 150 and a == K.ratio_subset(df, 10).count()
     assert K.ratio_subset(df, 100).count() == 1000
+
+
+def test_multilabel_shares_stay_near_the_whole(spark):
+    """Every class keeps its share in every fold, within two points and four standard errors."""
+    import numpy as np
+    rng = np.random.default_rng(11)
+    odds = [.5, .3, .2, .1, .05]
+    rows = [(i, [c + 1 for c, p in enumerate(odds) if rng.random() < p]) for i in range(4000)]
+    lab = spark.createDataFrame(rows, "pid long, dx array<int>")
+    out = {r["pid"]: r["fold"] for r in K.multilabel_folds(lab, seeds=(2020,)).collect()}
+    assert len(out) == len(rows)
+    for c in range(1, 6):
+        whole = sum(c in dx for _, dx in rows) / len(rows)
+        for fold in (K.TEST, K.TRAIN, K.VALID):
+            mine = [dx for i, dx in rows if out[i] == fold]
+            share = sum(c in dx for dx in mine) / len(mine)
+            assert abs(share - whole) <= .02 + 4 * math.sqrt(whole * (1 - whole) / len(mine))
