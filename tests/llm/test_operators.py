@@ -292,6 +292,32 @@ def test_url_rules(spark):
     assert got[9][2:] == (None, "block") and got[100][3] == "allow" and got[101][3] == "block"
 
 
+def test_url_rules_of_less_than_full_confidence_are_all_kept(spark):
+    sure = "/".join("alpha beta gamma delta epsilon zeta eta theta iota kappa lamda".split())
+    rows = [(i, f"http://w{i}.example.com/{sure}/{i}") for i in range(200)] + [(1000 + i, f"http://v{i}.shop.test/spam/{i}") for i in range(20)]
+    pages = spark.createDataFrame(rows + [(9, "http://new.shop.test/spam/x")], "page_id bigint, url string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(200)] + [(1000 + i, int(i >= 19), 0) for i in range(20)], "doc_id bigint, quality int, toxic int")
+    got = urlrules.judge(pages, labels, min_support=0.05).collect()
+    assert len(got) == 221 and {r.verdict for r in got if "/spam/" in r.path} == {"block"} and {r.verdict for r in got if "/alpha/" in r.path} == {"allow"}
+
+
+def test_url_rules_without_superfluous_ones(spark):
+    rng = np.random.default_rng(3)
+    rows = [([x for x in "abcdef" if rng.random() < 0.6], "block" if rng.random() < 0.7 else "allow") for _ in range(60)]
+    rows = [([f"p:{x}" for x in t], v) for t, v in rows]
+    got = urlrules.mine(spark.createDataFrame(rows, "tokens array<string>, verdict string"), 0.03, 0.6).collect()
+    subsets = [frozenset(f"p:{x}" for i, x in enumerate("abcdef") if m >> i & 1) for m in range(1, 64)]
+    n, both = Counter(), Counter()
+    for t, v in rows:
+        for s in subsets:
+            n[s] += s <= set(t)
+            both[s, v] += s <= set(t)
+    rules = {(s, v): c / n[s] for (s, v), c in both.items() if c >= 0.03 * 60 and c / n[s] >= 0.6}
+    want = {k for k, c in rules.items() if not any(v == k[1] and s < k[0] and d >= c for (s, v), d in rules.items())}
+    assert len(got) == len(want) and {(frozenset(r.tokens), r.verdict) for r in got} == want and len(want) < len(rules)
+    assert all(r.key in r.tokens and n[frozenset([r.key])] == min(n[frozenset([x])] for x in r.tokens) for r in got)
+
+
 def test_empty_tables(spark, none):
     labels = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
     assert rlz.dedup_substrings(none).count() == 0

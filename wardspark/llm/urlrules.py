@@ -3,12 +3,11 @@
 URLs with a label become transactions of tokens (host labels, path parts, query names) plus their
 label; Spark's FP-growth finds the frequent combinations, and the rules that end in a label and pass
 confidence and support are kept, without those that a shorter rule of the same label and no less
-confidence makes superfluous. Judging looks each token of a URL up in the inverted index (token ->
-rules) and a rule fires when all its tokens were met; the most confident firing rule decides, block
-before allow, then the default. Explicit host/path rules come first.
+confidence makes superfluous. A rule is indexed by its rarest token; judging joins each token of a
+URL with that index and a rule fires when all its tokens stand in the URL; the most confident firing
+rule decides, block before allow, then the default. Explicit host/path rules come first.
 
-The mined rules are a fitted classifier: at most ``max_rules`` of them, the most confident, then the
-best supported, are kept, so the index is a literal inside the plan and judging needs no shuffle.
+All rules that remain are kept, as a table in the shared folder; none of them reaches the driver.
 
 Cases: a null url, or one without ``://``, has an empty host and path, no tokens and the default
 verdict; repeated rows are judged each; without labelled rows no rule is mined; extra columns are
@@ -17,11 +16,13 @@ ignored.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wardspark.llm.common import take_columns
+from wardspark.llm.common import stage, take_columns
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 # (verdict, host, path)
@@ -54,36 +55,45 @@ def tokens() -> Column:
     return F.array_distinct(F.filter(F.concat(host, parts, names), lambda x: F.length(x) > 2))
 
 
-def mine(labelled: DataFrame, min_support: float = 0.002, min_confidence: float = 0.8, max_rules: int = 1000) -> list[tuple[list[str], str, float, float]]:
-    """(tokens, verdict) rows -> rules (tokens, verdict, confidence, support), best first."""
+def mine(labelled: DataFrame, min_support: float = 0.002, min_confidence: float = 0.8) -> DataFrame:
+    """(tokens, verdict) rows -> stored rules (tokens, verdict, confidence, freq, key); ``key`` is the
+    rule's rarest token.
+
+    Support falls as a set grows, so all subsets of a frequent set are frequent: the best confidence
+    below a rule comes level by level from the sets that are one token shorter.
+    """
     t = labelled.select(F.array_union("tokens", F.array(F.concat(F.lit("="), F.col("verdict")))).alias("items"))
     model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(t)
-    rules = model.associationRules.where(F.col("consequent")[0].startswith("=") & ~F.exists("antecedent", lambda x: x.startswith("=")))
-    rules = rules.orderBy(F.desc("confidence"), F.desc("support"), F.size("antecedent"), F.array_join(F.array_sort("antecedent"), " ")).limit(max_rules)
-    kept: list[tuple[list[str], str, float, float]] = []
-    rows = sorted(((sorted(r.antecedent), r.consequent[0][1:], r.confidence, r.support) for r in rules.collect()), key=lambda r: (len(r[0]), -r[2], -r[3], r[0]))
-    for ante, verdict, confidence, support in rows:
-        if not any(v == verdict and c >= confidence and set(a) <= set(ante) for a, v, c, _ in kept):
-            kept.append((ante, verdict, confidence, support))
-    return sorted(kept, key=lambda r: (-r[2], r[1] != "block", -r[3], r[0]))
-
-
-def with_mined(df: DataFrame, rules: list[tuple[list[str], str, float, float]]) -> DataFrame:
-    """Adds ``mined``: verdict of the first rule, in order, whose tokens all stand in column
-    ``tokens`` (null if none does)."""
-    if not rules:
-        return df.withColumn("mined", F.lit(None).cast("string"))
-    index: dict[str, list[int]] = {}
-    for i, (ante, *_) in enumerate(rules):
-        for x in ante:
-            index.setdefault(x, []).append(i)
-    lookup = F.create_map(*[c for x, ids in sorted(index.items()) for c in (F.lit(x), F.array(*[F.lit(i) for i in ids]))])
-    need = F.array(*[F.lit(len(r[0])) for r in rules])
-    verdicts = F.array(*[F.lit(r[1]) for r in rules])
-    met = F.flatten(F.transform("tokens", lambda t: F.coalesce(F.try_element_at(lookup, t), F.array().cast("array<int>"))))
-    fired = F.filter(F.array_distinct("_met"), lambda r: F.size(F.filter("_met", lambda m: m == r)) == F.get(need, r))
-    df = df.withColumn("_met", met).withColumn("_first", F.array_min(fired))
-    return df.withColumn("mined", F.get(verdicts, F.col("_first")))
+    sets = stage(model.freqItemsets.select(
+        F.array_sort(F.filter("items", lambda x: ~x.startswith("="))).alias("tokens"),
+        F.get(F.filter("items", lambda x: x.startswith("=")), F.lit(0)).alias("_v"), "freq"), "url-sets")
+    alone = sets.where("_v IS NULL").select("tokens", F.col("freq").alias("_n"))
+    scored = sets.where("_v IS NOT NULL AND size(tokens) > 0").join(alone, "tokens").select(
+        "tokens", F.substring("_v", 2, 1000).alias("verdict"), (F.col("freq") / F.col("_n")).alias("confidence"), "freq")
+    scored = stage(scored, "url-scored")
+    longest = scored.agg(F.max(F.size("tokens"))).first()[0] or 0
+    level = scored.where("size(tokens) = 1").withColumn("_below", F.lit(-1.0))
+    levels = [level]
+    for size in range(2, longest + 1):
+        below = level.select(F.col("tokens").alias("_sub"), "verdict", F.greatest("confidence", "_below").alias("_best"))
+        wider = scored.where(F.size("tokens") == size).withColumn("_sub", F.explode(F.transform("tokens", lambda x: F.array_remove("tokens", x))))
+        level = stage(wider.join(below, ["_sub", "verdict"]).groupBy("tokens", "verdict", "confidence", "freq").agg(F.max("_best").alias("_below")), "url-level")
+        levels.append(level)
+    rules = reduce(DataFrame.unionByName, levels).where((F.col("confidence") >= min_confidence) & (F.col("_below") < F.col("confidence"))).drop("_below")
+    single = alone.where("size(tokens) = 1").select(F.get("tokens", F.lit(0)).alias("_t"), "_n")
+    keyed = rules.withColumn("_t", F.explode("tokens")).join(single, "_t")
+    return stage(keyed.groupBy("tokens", "verdict", "confidence", "freq").agg(F.min(F.struct("_n", "_t"))["_t"].alias("key")), "url-rules")
+
+
+def with_mined(df: DataFrame, rules: DataFrame) -> DataFrame:
+    """Adds ``mined``: verdict of the most confident rule, block before allow, whose tokens all stand
+    in column ``tokens`` (null if none does)."""
+    r = rules.select("key", F.col("tokens").alias("_need"), "verdict", "confidence")
+    met = df.select("tokens", F.explode("tokens").alias("key"))
+    fired = met.join(r, (met["key"] == r["key"]) & (F.size(F.array_except("_need", "tokens")) == 0))
+    best = fired.groupBy(F.col("tokens").alias("_of")).agg(F.max(F.struct("confidence", F.col("verdict") == "block", "verdict"))["verdict"].alias("mined"))
+    best = stage(best, "url-best")  # apart from the aggregate, a hot token set's join can be split
+    return df.join(best, df["tokens"] == best["_of"], "left").drop("_of")
 
 
 def judge(pages: DataFrame, labels: DataFrame, explicit=None, default: str = "allow", **kw) -> DataFrame:
