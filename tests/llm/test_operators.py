@@ -279,6 +279,68 @@ def test_license_rules(spark):
     assert got == {1: ("2,1", "Apache-2.0,MIT"), 2: ("", ""), 3: ("", ""), 4: ("", "")}
 
 
+MIT = """MIT License
+
+Copyright (c) 2020 Some One
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+"""
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+BSD_NAME = "3. Neither the name of {} nor the names of its\n   contributors may be used to endorse or promote products derived from\n   this software without specific prior written permission.\n"
+GPL = """This {} is free software{} you can redistribute it and/or modify
+it under the terms of the GNU {}General Public License as published by
+the Free Software Foundation{} either version {} of the License, or
+(at your option) any later version.
+"""
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License.
+"""
+ISC = "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies.\n"
+MPL = "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with this\nfile, You can obtain one at https://mozilla.org/MPL/2.0/.\n"
+NOTICES = [
+    ("MIT", MIT), ("BSD-2-Clause", BSD), ("BSD-3-Clause", BSD + BSD_NAME.format("the copyright holder")), ("BSD-3-Clause", BSD + BSD_NAME.format("Example Inc.")),
+    ("BSD-3-Clause", BSD + BSD_NAME.format("the University of Somewhere")), ("GPL-3.0-or-later", GPL.format("program", ":", "", ",", 3)),
+    ("GPL-2.0-or-later", GPL.format("program", ";", "", ";", 2)), ("LGPL-2.1-or-later", GPL.format("library", ";", "Lesser ", ";", "2.1")),
+    ("AGPL-3.0-or-later", GPL.format("program", ":", "Affero ", ",", 3)), ("Apache-2.0", APACHE), ("ISC", ISC), ("MPL-2.0", MPL),
+]
+
+
+def test_licenses_in_wrapped_commented_and_one_line_notices(spark):
+    ways = [lambda t: t, lambda t: "Intro without an end\n" + t, lambda t: t.replace("\n", "\r\n"), lambda t: "code;\n" + "".join(f"# {x}".rstrip() + "\n" for x in t.split("\n")),
+            lambda t: "/*\n" + "".join(f" * {x}".rstrip() + "\n" for x in t.split("\n")) + " */\nint x;", lambda t: "\n\n".join(" ".join(x.split()) for x in t.split("\n\n"))]
+    rows = [(i * 100 + j, f(t)) for i, (_, t) in enumerate(NOTICES) for j, f in enumerate(ways)]
+    rows += [(9000 + i, " ".join(t.split())) for i, (name, t) in enumerate(NOTICES) if name != "MIT" and "Redist" not in t]
+    rows += [(9900, "// SPDX-License-Identifier: GPL-2.0-only\n"), (9901, "This is not licensed under\n\nthe MIT License, I think. " + GPL[:90]), (9902, "\n" * 50_000 + "Released under the MIT License.")]
+    got = {r.doc_id: r.licenses for r in licenses.scan(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    want = {i: NOTICES[i // 100 if i < 9000 else i - 9000][0] for i, _ in rows if i < 9900} | {9900: "GPL-2.0-only", 9901: "", 9902: "MIT"}
+    assert got == want
+
+
 def test_url_rules(spark):
     rows = [(1, "HTTP://A.Example.NET/en/1?x"), (2, "https://b.net/"), (3, "http://x.example.com/de/"), (4, "http://u.org/fr/2"), (5, None), (6, "nohost"),
             (7, "http://bnet/"), (8, "http://example.net"), (9, "http://x.example.com/en/bad-page"), (9, "http://x.example.com/en/bad-page")]
