@@ -140,21 +140,32 @@ def _count(batches):
                 pa.array(np.concatenate(grams).view(np.int64)), pa.array(np.concatenate([n for _, n in ids]))], ["lang", "gram", "n"])
 
 
+def _row_counts(labelled: DataFrame) -> list[tuple[str, int]]:
+    return sorted((r[0], r[1]) for r in labelled.groupBy("lang").agg(F.count(F.lit(1))).collect())
+
+
+def learned_rows(labelled: DataFrame, max_rows: int, counts: list[tuple[str, int]] | None = None) -> DataFrame:
+    """About ``max_rows`` rows of each language, by a hash of the id."""
+    counts = _row_counts(labelled) if counts is None else counts
+    if not counts:
+        return labelled
+    share = F.create_map(*[F.lit(v) for x, n in counts for v in (x, int(min(1.0, max_rows / n) * (1 << 20)))])
+    return labelled.where(F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("lang")), F.lit(1 << 20)) < F.element_at(share, F.col("lang")))
+
+
 def fit(labelled: DataFrame, max_rows: int = 4000, min_rate: float = 1e-5, min_ratio: float = 0.1, bits: int = 20) -> Filter:
     """(doc_id, text, lang) with non-null lang -> the filter.
 
     What reaches the driver is bounded: the languages, and the filter's set positions.
     """
     labelled = labelled.where(F.col("lang").isNotNull())
-    rows = sorted((r[0], r[1]) for r in labelled.groupBy("lang").agg(F.count(F.lit(1))).collect())
+    rows = _row_counts(labelled)
     langs = [x for x, _ in rows]
     planes, positions = (len(langs) + 7) // 8, 1 << bits
     table = np.zeros((planes, positions), dtype=np.uint8)
     if not langs:
         return Filter([], UND, table, np.zeros(0))
-    share = F.create_map(*[F.lit(v) for x, n in rows for v in (x, int(min(1.0, max_rows / n) * (1 << 20)))])
-    pick = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("lang")), F.lit(1 << 20)) < F.element_at(share, F.col("lang"))
-    counted = labelled.where(pick & F.col("text").isNotNull()).select("text", "lang") \
+    counted = learned_rows(labelled, max_rows, rows).where(F.col("text").isNotNull()).select("text", "lang") \
         .mapInArrow(_count, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     number = F.create_map(*[F.lit(v) for i, x in enumerate(langs) for v in (x, i)])
     per_gram = counted.groupBy("gram").agg(F.collect_list(F.struct(F.element_at(number, F.col("lang")).alias("i"), F.col("n"))).alias("in"))
@@ -219,10 +230,16 @@ def identify_documents(docs: DataFrame, **kw) -> DataFrame:
     return d.select("doc_id", held.alias("held_out"), predict(d, model, F.col("text")).alias("_p")).select("doc_id", "held_out", "_p.*")
 
 
-def keep_identified(docs: DataFrame, min_support: float = 0.05, **kw) -> DataFrame:
+def keep_identified(docs: DataFrame, min_support: float = 0.05, quantile: float = 0.001, share: float = 0.4, max_rows: int = 4000, **kw) -> DataFrame:
     """The documents in some learned language: those with a letter whose n-grams are at least
-    ``min_support`` of one language's. All columns stay as they were."""
+    ``min_support`` of one language's, and at least ``share`` of that language's ``quantile`` of the
+    supports of the labelled rows it was learned from. All columns stay as they were."""
     d = take_columns(docs, "doc_id", "text", "lang")
-    model = fit(d.where(fold(F.col("doc_id"), 4) != 2), **kw)
+    labelled = d.where(fold(F.col("doc_id"), 4) != 2)
+    model = fit(labelled, max_rows, **kw)
+    seen = learned_rows(labelled.where(F.col("lang").isNotNull()), max_rows).select("lang", predict(d, model, F.col("text")).alias("_p"))
+    low = seen.where((F.col("_p.lang_pred") == F.col("lang")) & (F.col("_p.support") > 0)).groupBy("lang").agg(F.percentile_approx("_p.support", quantile, 10_000))
+    least = [F.lit(v) for x, q in sorted(map(tuple, low.collect())) for v in (x, max(min_support, share * q))]
+    need = F.coalesce(F.try_element_at(F.create_map(*least), F.col("_p.lang_pred")), F.lit(min_support)) if least else F.lit(min_support)
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), predict(docs, model, F.col("`text`")).alias("_p"))
-    return packed.where((F.col("_p.lang_pred") != UND) & (F.col("_p.support") >= min_support)).select("_doc.*")
+    return packed.where((F.col("_p.lang_pred") != UND) & (F.col("_p.support") >= need)).select("_doc.*")
