@@ -323,6 +323,14 @@ def _sets(k: int):
     return run
 
 
+def class_of(k: int):
+    """Arrow function: the class key of each text."""
+    @F.arrow_udf("bigint")
+    def run(col: pa.Array) -> pa.Array:
+        return pa.array([class_key(x) for _, _, data, offs in slices(col) for x in shingle_sets(data, offs, k)], pa.int64())
+    return run
+
+
 def _verify(percent: int):
     def run(batches):
         for batch in batches:
@@ -361,6 +369,11 @@ def frequent_grams(d: DataFrame, k: int) -> np.ndarray:
 def link_documents(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
     """-> (doc_id, n_shingles, component_id, class): documents whose n-gram sets have a Jaccard
     similarity of ``percent`` or more are linked; the component is its smallest doc_id."""
+    return _linked(docs, k, percent).drop("comp")
+
+
+def _linked(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """link_documents with ``comp``, the smallest class of the component."""
     spark = docs.sparkSession
     n = parallelism(spark)
     d = take_columns(docs, "doc_id", "text")
@@ -382,7 +395,11 @@ def link_documents(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
     # a forest touches every class that has a survivor, so round two needs no other sets
     paired = first.select(F.col("a").alias("class")).union(first.select("b")).distinct()
     wanted = points.join(paired, "class").select("rep", "class")
-    sets = stage(text.join(wanted, "rep").select("class", "text").mapInArrow(_sets(k), "class bigint, grams binary"), "ngram-sets")
+    by_id = text.where(F.col("rep") != NULL_ID).join(wanted, "rep").select("class", "text")
+    # rows without an id share one key, so they are met by class
+    no_id = text.where(F.col("rep") == NULL_ID).select(class_of(k)("text").alias("class"), "text").dropDuplicates(["class"])
+    no_id = no_id.join(wanted.where(F.col("rep") == NULL_ID), "class").select("class", "text")
+    sets = stage(by_id.union(no_id).mapInArrow(_sets(k), "class bigint, grams binary"), "ngram-sets")
     links = stage(verify(first, sets, percent), "ngram-links")
     labels = components(links).withColumnRenamed("node", "class")
     second = candidates(cells, labels, percent, True).join(first, ["a", "b"], "left_anti")
@@ -392,18 +409,23 @@ def link_documents(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
     smallest = rows.where("n > 0").join(labels, "class", "left").withColumn("comp", F.coalesce("comp", "class"))
     per_class = classes.select("class", "rep").join(labels, "class", "left").withColumn("comp", F.coalesce("comp", "class"))
     per_comp = per_class.groupBy("comp").agg(F.min("rep").alias("component_id"))
-    out = smallest.join(per_comp, "comp").select("doc_id", F.col("n").cast("bigint").alias("n_shingles"), "component_id", "class")
-    empty = rows.where("n = 0").select("doc_id", F.lit(0).cast("bigint").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(0).cast("bigint").alias("class"))
+    out = smallest.join(per_comp, "comp").select("doc_id", F.col("n").cast("bigint").alias("n_shingles"), "component_id", "class", "comp")
+    empty = rows.where("n = 0").select("doc_id", F.lit(0).cast("bigint").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(0).cast("bigint").alias("class"), F.lit(0).cast("bigint").alias("comp"))
     out = out.unionByName(empty)
     return out.withColumns({c: F.when(F.col(c) != NULL_ID, F.col(c)) for c in ("doc_id", "component_id")})
 
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """One document of each group of linked ones, that of the smallest id; repeated rows stay once;
-    of rows that share an id and differ in text all stay where one does. All columns stay as they were."""
-    kept = link_documents(docs, k, percent).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("_k")).distinct()
+    of rows that share an id and differ in text all stay where one does. Of a group without any id
+    one row of its smallest class stays. All columns stay as they were."""
+    kept = _linked(docs, k, percent).where(F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("doc_id").isNotNull() | (F.col("class") == F.col("comp"))))
+    kept = kept.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("_k"), F.when(F.col("doc_id").isNull(), F.col("class")).otherwise(0).alias("_c")).distinct()
     plain = [F.col(f"`{c}`") for c, t in docs.dtypes if "map<" not in t]
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), F.coalesce(F.col("`doc_id`"), F.lit(NULL_ID)).alias("_k"),
                          F.xxhash64(F.col("`text`")).alias("_t"), F.xxhash64(*plain).alias("_o"))
-    w = Window.partitionBy("_k", "_t").orderBy("_o")
-    return packed.join(kept, "_k").withColumn("_i", F.row_number().over(w)).where("_i = 1").select("_doc.*")
+    # the class of a row without an id; the others' text isn't sent (an empty text is class 0)
+    packed = packed.withColumn("_c", class_of(k)(F.when(F.col("_k") == NULL_ID, F.col("_doc.text"))))
+    packed = packed.withColumn("_t", F.when(F.col("_c") == 0, F.col("_t")).otherwise(0))
+    w = Window.partitionBy("_k", "_c", "_t").orderBy("_o")
+    return packed.join(kept, ["_k", "_c"]).withColumn("_i", F.row_number().over(w)).where("_i = 1").select("_doc.*")
