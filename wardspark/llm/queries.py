@@ -22,7 +22,7 @@ def query(key: str, sql: str | None = None):
     return deco
 
 
-from wardspark.llm import licenses  # noqa: E402
+from wardspark.llm import licenses, manifest  # noqa: E402
 
 
 @query("op6_license_scan", licenses.oracle())
@@ -100,3 +100,8 @@ def string_tiling(spark: SparkSession, d: str) -> DataFrame:
 def nearest_toxic(spark: SparkSession, d: str) -> DataFrame:
     from wardspark.llm.toxicity import score_documents
     return score_documents(read(spark, d, "documents"), read(spark, d, "labels"))
+
+
+@query("op11_merkle_manifest", manifest.oracle())
+def merkle_manifest(spark: SparkSession, d: str) -> DataFrame:
+    return manifest.manifest(read(spark, d, "documents"))
