@@ -22,7 +22,7 @@ def query(key: str, sql: str | None = None):
     return deco
 
 
-from wardspark.llm import licenses, manifest  # noqa: E402
+from wardspark.llm import collocations, licenses, manifest  # noqa: E402
 
 
 @query("op6_license_scan", licenses.oracle())
@@ -105,3 +105,8 @@ def nearest_toxic(spark: SparkSession, d: str) -> DataFrame:
 @query("op11_merkle_manifest", manifest.oracle())
 def merkle_manifest(spark: SparkSession, d: str) -> DataFrame:
     return manifest.manifest(read(spark, d, "documents"))
+
+
+@query("op12_phrase_collocations", collocations.ORACLE)
+def phrase_collocations(spark: SparkSession, d: str) -> DataFrame:
+    return collocations.collocations(read(spark, d, "documents"))
