@@ -22,7 +22,7 @@ def query(key: str, sql: str | None = None):
     return deco
 
 
-from wardspark.llm import collocations, licenses, manifest  # noqa: E402
+from wardspark.llm import cells, collocations, licenses, manifest  # noqa: E402
 
 
 @query("op6_license_scan", licenses.oracle())
@@ -83,7 +83,7 @@ def rlz_dedup(spark: SparkSession, d: str) -> DataFrame:
     return dedup_substrings(read(spark, d, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256", F.size("factors").alias("n_factors"))
 
 
-@query("op9_ngram_components")
+@query("op9_ngram_components", cells.oracle(4, 85))
 def ngram_components(spark: SparkSession, d: str) -> DataFrame:
     from wardspark.llm.ngram_join import link_documents
     return link_documents(read(spark, d, "documents")).drop("class")
@@ -110,3 +110,9 @@ def merkle_manifest(spark: SparkSession, d: str) -> DataFrame:
 @query("op12_phrase_collocations", collocations.ORACLE)
 def phrase_collocations(spark: SparkSession, d: str) -> DataFrame:
     return collocations.collocations(read(spark, d, "documents"))
+
+
+@query("op13_fast_minhash", cells.oracle(3, 85, ", w.doc_id = coalesce(c.component_id, w.doc_id) AS kept"))
+def fast_minhash(spark: SparkSession, d: str) -> DataFrame:
+    from wardspark.llm.fast_minhash import near_duplicates
+    return near_duplicates(read(spark, d, "documents"))
