@@ -205,19 +205,20 @@ def fingerprint_pairs(docs: DataFrame) -> DataFrame:
     of the next one.
     """
     spark = docs.sparkSession
+    # the double only chooses a bucket; order inside one, and what it lends, are by the id itself
     d = take_columns(docs, "doc_id", "text").withColumn("_k", F.coalesce(-F.col("doc_id").cast("double"), F.lit(float(NULL_ID))))
     n = max(2, 2 * parallelism(spark))
     cuts = sorted(set(d.approxQuantile("_k", [i / n for i in range(1, n)], 0.25 / n)))
     cuts = [c for c in cuts if abs(c) < NULL_ID] or [0.0]
     d = Bucketizer(splits=[-float("inf"), *cuts, float("inf")], inputCol="_k", outputCol="_b").setHandleInvalid("error").transform(d) \
         .withColumn("_b", F.col("_b").cast("int"))
-    first = sorted((r[0], r[1]) for r in d.groupBy("_b").agg(F.min("_k")).collect())
+    first = sorted(((r[0], r[1]) for r in d.groupBy("_b").agg(F.max("doc_id")).collect()), key=lambda r: r[0])
     before = {b: first[i - 1][0] for i, (b, _) in enumerate(first)}
-    edge = spark.createDataFrame([(b, k, before[b]) for b, k in first], "_fb int, _fk double, _prev int")
+    edge = spark.createDataFrame([(b, k, before[b]) for b, k in first], "_fb int, _fid bigint, _prev int")
     d = d.join(F.broadcast(edge), F.col("_b") == F.col("_fb"))
     own = F.struct(F.col("_b").alias("b"), F.lit(0).alias("borrowed"))
     lent = F.struct(F.col("_prev").alias("b"), F.lit(1).alias("borrowed"))
-    d = d.select("doc_id", "text", "_k", F.explode(F.when(F.col("_k") == F.col("_fk"), F.array(own, lent)).otherwise(F.array(own))).alias("_to")) \
-        .select(F.col("_to.b").alias("b"), F.col("_to.borrowed").alias("borrowed"), "doc_id", "text", "_k")
-    placed = d.repartition(parallelism(spark), "b").sortWithinPartitions("b", "borrowed", "_k", F.col("text").asc_nulls_first()).drop("_k")
+    d = d.select("doc_id", "text", F.explode(F.when(F.col("doc_id").eqNullSafe(F.col("_fid")), F.array(own, lent)).otherwise(F.array(own))).alias("_to")) \
+        .select(F.col("_to.b").alias("b"), F.col("_to.borrowed").alias("borrowed"), "doc_id", "text")
+    placed = d.repartition(parallelism(spark), "b").sortWithinPartitions("b", "borrowed", F.col("doc_id").desc_nulls_last(), F.col("text").asc_nulls_first())
     return placed.mapInArrow(_walk, OUT)
