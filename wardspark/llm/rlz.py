@@ -20,7 +20,7 @@ Results are exact for windows of ``window`` words (64-bit hashes of words and wi
 Cases: a null text has no words; texts shorter than a window keep all words; a null doc_id sorts
 after all others; rows with equal doc_id and text get equal results, and neither counts as earlier
 than the other; rows with equal doc_id and different texts are told apart by a checksum of the
-text; an empty table gives no rows; extra columns are ignored.
+text; a doc_id of 2^63-1 is taken for null; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -259,7 +259,7 @@ def dedup_substrings(docs: DataFrame, window: int = 20, seed: int = 8) -> DataFr
     flags = stage(entries.repartition(n, "block").mapInArrow(_lookup, FLAG), "rlz-flags")
 
     hit = flags.where(F.col("kind") <= BOUNDARY).groupBy("doc_id", "tag").agg(
-        F.collect_list(F.struct("kind", "start", "n", "ref_doc", "ref_start")).alias("flags"))
+        F.collect_set(F.struct("kind", "start", "n", "ref_doc", "ref_start")).alias("flags"))  # repeated rows flag the same
     keyed = d.select(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("doc_id"), "tag", "text")
     found = stage(keyed.join(hit, ["doc_id", "tag"]).select("doc_id", "tag", "text", "flags"), "rlz-found")
 
