@@ -10,7 +10,8 @@ is contaminated by an item if tiles cover at least ``coverage`` of the item's wo
 The benchmark is the query set: it is read in blocks of at most ``BLOCK_BYTES`` of text, and every
 document is tiled against every block inside its task, so nothing is shuffled.
 
-Cases: null and empty documents match nothing; null and empty items are skipped; repeated items are
+Cases: null and empty documents match nothing; null and empty items are skipped; an item without an id is
+reported without one; repeated items are
 reported each, repeated documents each; an empty benchmark leaves all documents; ties between matches go
 to the earliest place in the item, then in the document; extra columns pass through.
 """
@@ -29,6 +30,7 @@ from wardspark.llm.common import range_hash, slices, take_columns, word_hashes,
 
 SEED = 4
 BLOCK_BYTES = 16 << 20
+PAIRS_HELD = 1 << 20           # equal runs of an item and a document listed at once
 
 _PLAIN = np.arange(256, dtype=np.uint8)
 _PLAIN[[i for i in range(128) if not chr(i).isalnum()]] = 0x20
@@ -47,17 +49,31 @@ def runs(words: np.ndarray, k: int) -> np.ndarray:
     return range_hash(words, at, at + k)
 
 
-def tile(item: np.ndarray, doc: np.ndarray, min_match: int) -> list[tuple[int, int, int]]:
-    """Greedy tiles (place in item, place in document, words), longest first."""
-    m = min(min_match, len(item))
-    if m == 0 or len(doc) < m:
-        return []
+def diagonals(item: np.ndarray, doc: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Matches (length, place in item, place in document) that can't be extended, of ``m`` words or more. Runs
+    grow along the diagonals, one word of the item after the other, so no list of all pairs of equal runs is held."""
+    out, run = [], np.zeros(len(doc) + 1, dtype=np.int64)  # run[j + 1]: words matched that end at item[i], doc[j]
+    for i, w in enumerate(item):
+        grown = np.zeros_like(run)
+        same = np.flatnonzero(doc == w)
+        grown[same + 1] = run[same] + 1
+        ends = np.append(grown[1:], 0) != run + 1
+        j = np.flatnonzero(ends & (run >= m))
+        out.append((run[j], i - run[j], j - run[j]))
+        run = grown
+    j = np.flatnonzero(run >= m)
+    out.append((run[j], len(item) - run[j], j - run[j]))
+    return tuple(np.concatenate(c) for c in zip(*out))
+
+
+def matches(item: np.ndarray, doc: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As ``diagonals``, by Karp-Rabin fingerprints where few runs are equal."""
     a, b = runs(item, m), runs(doc, m)
     order = np.argsort(a, kind="stable")
     lo, hi = np.searchsorted(a[order], b), np.searchsorted(a[order], b, side="right")
+    if (hi - lo).sum() > PAIRS_HELD:
+        return diagonals(item, doc, m)
     t = np.repeat(np.arange(len(b)), hi - lo)
-    if not len(t):
-        return []
     at = np.arange(len(t)) - np.repeat(np.cumsum(hi - lo) - (hi - lo), hi - lo) + np.repeat(lo, hi - lo)
     p = order[at]
     by = np.lexsort((p, t - p))
@@ -65,7 +81,15 @@ def tile(item: np.ndarray, doc: np.ndarray, min_match: int) -> list[tuple[int, i
     new = np.ones(len(p), dtype=bool)
     new[1:] = (p[1:] != p[:-1] + 1) | (t[1:] != t[:-1] + 1)
     lead = np.flatnonzero(new)
-    heap = [(-int(n + m - 1), int(p[i]), int(t[i])) for i, n in zip(lead, np.diff(np.append(lead, len(p))))]
+    return np.diff(np.append(lead, len(p))) + m - 1, p[lead], t[lead]
+
+
+def tile(item: np.ndarray, doc: np.ndarray, min_match: int) -> list[tuple[int, int, int]]:
+    """Greedy tiles (place in item, place in document, words), longest first."""
+    m = min(min_match, len(item))
+    if m == 0 or len(doc) < m:
+        return []
+    heap = [(-n, i, j) for n, i, j in zip(*(c.tolist() for c in matches(item, doc, m)))]
     heapq.heapify(heap)
     free_item, free_doc, out = np.ones(len(item), dtype=bool), np.ones(len(doc), dtype=bool), []
     while heap:
@@ -89,7 +113,7 @@ def blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
     size = b.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = -(-size // BLOCK_BYTES)
     for k in range(n):
-        yield sorted((r[0] if r[0] is not None else -1, r[1]) for r in b.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).collect())
+        yield sorted(((r[0], r[1]) for r in b.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
 
 
 def prepare(items: list[tuple[int, str]]):
