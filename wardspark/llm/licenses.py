@@ -100,7 +100,7 @@ ALL_RULES = [
     *RULES, *[(licence, (30 + i,)) for i, (licence, _) in enumerate(_NOTICES)],
 ]
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-HARD_END = r"[.!?]+(?:\s+|$)|\n[^a-z0-9]*\n"
+HARD_END = r"(?<![.!?])[.!?]++(?:\s++|$)|\n[^a-z0-9]*\n"  # anchored at the run's start and possessive: linear
 GAP = r"(?: |\n\n)"
 
 
@@ -108,7 +108,7 @@ def normalised(text: Column) -> Column:
     """Words with single spaces; two bars for the end of a sentence, two line feeds for a line break."""
     lines = F.translate(F.replace(text, F.lit("\r\n"), F.lit("\n")), UPPER + "\r|", LOWER + "\n ")
     words = F.regexp_replace(F.regexp_replace(lines, HARD_END, "|"), r"[^a-z0-9\n|]+", " ")
-    ends = F.regexp_replace(F.concat(F.lit("|"), words, F.lit("|")), r"[ \n]*\|[ \n|]*", "||")
+    ends = F.regexp_replace(F.concat(F.lit("|"), words, F.lit("|")), r"(?<![ \n])[ \n]*+\|[ \n|]*+", "||")
     return F.regexp_replace(ends, r" *\n *", "\n\n")
 
 
