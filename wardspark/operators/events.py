@@ -1,10 +1,10 @@
 """Canonical event tables, observation windows and per-patient ordering
 (A2, B1-B5, B10-B14, C5, C6, D6, E1, E2, F1, F3, F4, G5, G17, H6).
 
-Per-ID counts are aggregates joined back (combinable, skew-safe). The per-ID order is a
-running count over range partitions and the previous event is an equi-join on
-(ID, ORDER - 1), so no window is partitioned by patient; the sort key is a total order
-(ID, TIME, table rank, event key) so results never depend on file order.
+Per-ID counts are aggregates joined back (combinable, skew-safe). The per-ID order and the
+gap to the previous event come from one pass over ranges of the sort key, so no window is
+partitioned by patient; the sort key is a total order (ID, TIME, table rank, event key) so
+results never depend on file order.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from wardspark.functions.clinical import minutes_between
 from wardspark.operators.buckets import qcut_global
 from wardspark.operators.codes import map_codes
-from wardspark.operators.util import running_sums
+from wardspark.operators.util import along_ranges, range_number
 from wardspark.spec import TableSpec
 
 KEYS = ("ID", "TIME", "TABLE_NAME", "ORDER", "time_gap", "time_bucket")
@@ -69,17 +69,26 @@ def map_dictionary(df: DataFrame, col: str, dictionary: DataFrame, key: str = "I
     return out.where(F.col(col).isNotNull()) if drop_missing else out
 
 
-def window_absolute(events: DataFrame, stays: DataFrame, minutes: int) -> DataFrame:
+def window_absolute(events: DataFrame, stays: DataFrame, minutes: int, bin_minutes: int | None = None) -> DataFrame:
     """Keep events strictly inside (intime, intime + window); TIME becomes whole minutes.
 
-    Equi-join on ID bounds the fan-out; the range is a residual predicate, so the plan
-    is a hash/sort-merge join, not a nested loop.
+    An interval join by time bins: each stay is written into the bins of ``bin_minutes`` (the window's length unless
+    given) that its window touches, each event lies in one, and both meet on (ID, bin). The exact bounds are a residual
+    predicate. A patient with half of all events and many stays is spread over the bins, and an event meets the
+    stays around it alone.
     """
-    s = stays.select(F.col("id").alias("ID"), "intime")
-    j = events.join(s, "ID")
+    width = 60 * (bin_minutes or max(1, minutes))
     end = F.timestamp_add("MINUTE", F.lit(minutes), F.col("intime"))
-    j = j.where((F.col("TIME") > F.col("intime")) & (F.col("TIME") < end))
-    return j.withColumn("TIME", minutes_between(F.col("intime"), F.col("TIME"))).drop("intime")
+
+    def bin_of(t: Column) -> Column:
+        return F.floor(F.unix_timestamp(t) / width)
+
+    s = stays.select(F.col("id").alias("ID"), "intime").where(F.col("intime").isNotNull())
+    s = s.withColumn("_bin", F.explode(F.sequence(bin_of(F.col("intime")), bin_of(end))))
+    e = events.withColumn("_bin", bin_of(F.col("TIME")))
+    j = e.join(s, ["ID", "_bin"]).where((F.col("TIME") > F.col("intime")) & (F.col("TIME") < end))
+    return j.select(*[F.col(f"`{c}`") for c in events.columns], "intime") \
+        .withColumn("TIME", minutes_between(F.col("intime"), F.col("TIME"))).drop("intime")
 
 
 def window_relative(events: DataFrame, ids: DataFrame, minutes: int, t: str = "TIME") -> DataFrame:
@@ -94,31 +103,20 @@ def min_events(df: DataFrame, n: int = 10, key: str = "ID") -> DataFrame:
     return df.join(c, key)
 
 
-def order_key(table_rank: Column, row_key: str = "event_id") -> list[Column]:
-    return [F.col("TIME"), table_rank, F.col(row_key)]
-
-
-def with_order(df: DataFrame, tables: Sequence[str], row_key: str = "event_id") -> DataFrame:
-    """ORDER = position of the event inside its ID by (TIME, table rank, row key).
+def with_order(df: DataFrame, tables: Sequence[str], row_key: str = "event_id", time: str = "TIME") -> DataFrame:
+    """ORDER = position of the event inside its ID by (TIME, table rank, row key), and time_gap = TIME - TIME of the
+    event before (0 for the first), in one ordered pass.
 
-    A running count over range partitions of (ID, order) with per-range offsets - no window
-    is partitioned by ID, so one patient holding a third of all events is still split
-    over many tasks.
+    Events are cut into ranges of (ID, TIME, row key); a range's number is an expression of the row, so no column
+    is stored and no window is partitioned by ID: one patient holding a third of all events is split over many tasks.
+    Counts, and the last time, of the ranges before are carried into each by a small table.
     """
     rank = F.array_position(F.array(*[F.lit(t) for t in tables]), F.col("TABLE_NAME"))
-    x = running_sums(df.withColumn("_one", F.lit(1)), ["ID"], order_key(rank, row_key), ["_one"])
-    return x.withColumn("ORDER", F.col("cum__one").cast("int")).drop("_one", "cum__one")
-
-
-def with_gap(df: DataFrame, time: str = "TIME") -> DataFrame:
-    """time_gap = TIME - previous TIME in the ID's order (0 for the first event).
-
-    The previous event is found by an equi-join on (ID, ORDER) = (ID, ORDER - 1); the
-    composite key hashes a hot patient's events over all partitions.
-    """
-    prev = df.select("ID", (F.col("ORDER") + 1).alias("ORDER"), F.col(time).alias("_prev"))
-    j = df.join(prev, ["ID", "ORDER"], "left")
-    return j.withColumn("time_gap", F.coalesce(F.col(time) - F.col("_prev"), F.lit(0)).cast("bigint")).drop("_prev")
+    x = df.withColumns({"_one": F.lit(1), "_rank": rank})
+    x = x.withColumn("_pid", range_number(x, ["ID", "TIME", "_rank", row_key]))
+    x = along_ranges(x, ["ID"], [F.col("TIME"), F.col("_rank"), F.col(row_key)], ["_one"], [time])
+    gap = F.coalesce(F.col(time) - F.col(f"prev_{time}"), F.lit(0)).cast("bigint")
+    return x.withColumns({"ORDER": F.col("cum__one").cast("int"), "time_gap": gap}).drop("_one", "_rank", "cum__one", f"prev_{time}")
 
 
 def with_time_bucket(df: DataFrame, q: int = 20) -> DataFrame:

@@ -5,9 +5,9 @@ itself is not reproducible; counts and balance are): inside each stratum, rows a
 by md5(pid || '_' || seed); the first ceil(n/10) are test (0), the next ceil((n - test)/9)
 are valid (2), the rest train (1).
 
-Scale: the rank inside a stratum is a global rank over (stratum..., key) minus the number
-of rows in earlier strata - no window is partitioned by a label, so a class holding half
-of all rows is still spread over every task.
+Scale: the digest is uniform, so it is cut into equal cells by an expression; ranks are taken inside
+(stratum, cell) and shifted by the counts of earlier cells. Nothing is stored, and a class holding half of
+all rows is still spread over every task.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wardspark.operators.util import hash_bucket, rank_within
+from wardspark.operators.util import hash_bucket, rank_by_hash
 
 TEST, TRAIN, VALID = 0, 1, 2
 SEEDS = (2020, 2021, 2022, 2023, 2024)
@@ -30,8 +30,7 @@ def split_key(pid: Column, seed: Column) -> Column:
 
 def rank_in_strata(df: DataFrame, strata: Sequence[str], key: Column, pid: str) -> DataFrame:
     """Adds ``_r`` (1-based rank inside the stratum) and ``_n`` (stratum size)."""
-    x = rank_within(df.withColumn("_key", key), list(strata), [F.col("_key"), F.col(pid)], "_r")
-    return x.withColumnRenamed("_r_n", "_n").drop("_key")
+    return rank_by_hash(df, list(strata), key, [F.col(pid)], "_r").withColumnRenamed("_r_n", "_n")
 
 
 def fold_of(r: Column, n: Column, test_split: int = 10, val_split: int = 9) -> Column:

@@ -74,12 +74,46 @@ def ranged(df: DataFrame, order: Sequence[Column], parts: int | None = None) ->
 
     Range bounds come from a sample that Spark takes anew for every exchange. Both users of the
     ranges (rows and totals per range) therefore read one stored table: a row's range is a stored
-    value, the same in every branch whatever the optimizer prunes or reuses.
+    value, the same in every branch whatever the optimizer prunes or reuses. Give it the columns that
+    the ranks need and no payload; wide tables take ``range_number`` instead.
     """
     n = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return cut(df.repartitionByRange(n, *order).withColumn("_pid", F.spark_partition_id()))
 
 
+def range_number(df: DataFrame, cols: Sequence[str], parts: int | None = None, per_range: int = 40) -> Column:
+    """The number of the row's range of ``cols`` (ascending, nulls first), as an expression of the row.
+
+    Bounds are read once from a sample of ``per_range`` rows a range, so the number is the same in every
+    branch and on every retry, and nothing is stored. They only steer the sizes of ranges. A row finds
+    its range in two steps: among the first bounds of groups of bounds, then inside its group.
+    """
+    n = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = df.select(*cols)
+    total = keys.count()
+    rows = keys.sample(min(1.0, per_range * n / max(1, total)), seed=17).collect()  # bounded by the ranges
+    rows.sort(key=lambda r: [(v is not None, v) if v is not None else (False,) for v in r])
+    cuts = sorted({i * len(rows) // n for i in range(1, n)}) if rows else []
+    types = [df.schema[c].dataType for c in cols]
+    bounds = [F.struct(*[F.lit(v).cast(t).alias(c) for v, t, c in zip(rows[i], types, cols)]) for i in cuts]
+    if not bounds:
+        return F.lit(0)
+    mine = F.struct(*[F.col(c).alias(c) for c in cols])
+    width = max(1, round(len(bounds) ** 0.5))
+    groups = [bounds[i:i + width] for i in range(0, len(bounds), width)]
+
+    def passed(some: Sequence[Column]) -> Column:
+        return F.size(F.filter(F.array(*some), lambda b: b <= mine))
+
+    group = passed([g[0] for g in groups])
+    inside = F.array(F.array().cast(f"array<{_ddl(cols, types)}>"), *[F.array(*g) for g in groups])
+    return ((F.greatest(group - 1, F.lit(0)) * width) + F.size(F.filter(F.get(inside, group), lambda b: b <= mine))).cast("int")
+
+
+def _ddl(cols: Sequence[str], types) -> str:
+    return "struct<" + ",".join(f"`{c}`:{t.simpleString()}" for c, t in zip(cols, types)) + ">"
+
+
 def global_rank(df: DataFrame, order: Sequence[Column], out: str, parts: int | None = None) -> DataFrame:
     """1-based rank of every row in ``order`` (a total order) without a one-partition sort.
 
@@ -105,28 +139,47 @@ def running_sums(df: DataFrame, keys: Sequence[str], order: Sequence[Column], va
     Rows are range-partitioned on (keys, order); sums are taken inside each (range, key)
     piece, and each piece is shifted by the totals of the same key in earlier ranges
     (a table of at most partitions x keys rows). A key holding a third of all rows is
-    therefore spread over many tasks. Adds ``cum_<value>`` columns.
+    therefore spread over many tasks. Adds ``cum_<value>`` columns. Every column of ``df`` is stored with
+    its range number: give it keys, order and values alone.
     """
-    r = ranged(df, [*[F.col(k) for k in keys], *order], parts)
-    piece = Window.partitionBy("_pid", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    for v in values:
-        r = r.withColumn(f"_l_{v}", F.sum(v).over(piece))
-    tot = r.groupBy("_pid", *keys).agg(*[F.sum(v).alias(f"_t_{v}") for v in values])
-    before = Window.partitionBy(*keys).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    return along_ranges(ranged(df, [*[F.col(k) for k in keys], *order], parts), keys, order, values)
+
+
+def along_ranges(r: DataFrame, keys: Sequence[str], order: Sequence[Column], values: Sequence[str] = (),
+                 previous: Sequence[str] = ()) -> DataFrame:
+    """Running sums (``cum_<value>``) and the values of the row before (``prev_<column>``, null for a key's first row)
+    within ``keys`` along ``order``, for rows whose range of (keys, order) is ``_pid``; drops ``_pid``.
+
+    Both are windows inside one (range, key) piece; a small table of pieces carries the totals of earlier ranges,
+    and the last row of the nearest one, into the next. The rows themselves meet in one exchange. With ``previous``,
+    ``order`` is plain ascending columns.
+    """
+    piece = Window.partitionBy("_pid", *keys).orderBy(*order)
+    so_far = piece.rowsBetween(Window.unboundedPreceding, 0)
+    new = {f"_l_{v}": F.sum(v).over(so_far) for v in values}
+    new |= {f"_b_{c}": F.lag(F.struct(c)).over(piece) for c in previous}
+    x = r.withColumns(new)
+    last = [F.max(F.struct(*[o.alias(f"_s{i}") for i, o in enumerate(order)], F.struct(c).alias("_v")))["_v"].alias(f"_e_{c}") for c in previous]
+    tot = r.groupBy("_pid", *keys).agg(*[F.sum(v).alias(f"_t_{v}") for v in values], *last)
+    by_key = Window.partitionBy(*keys).orderBy("_pid")
+    before = by_key.rowsBetween(Window.unboundedPreceding, -1)
     offs = tot.select(F.col("_pid").alias("_op"), *[F.col(k).alias(f"_ok{i}") for i, k in enumerate(keys)],
-                      *[F.coalesce(F.sum(f"_t_{v}").over(before), F.lit(0)).alias(f"_o_{v}") for v in values])
-    on = [r["_pid"] == offs["_op"], *[r[k].eqNullSafe(offs[f"_ok{i}"]) for i, k in enumerate(keys)]]
-    j = r.join(offs, on).drop("_op", *[f"_ok{i}" for i in range(len(keys))])
-    for v in values:
-        j = j.withColumn(f"cum_{v}", F.col(f"_o_{v}") + F.col(f"_l_{v}")).drop(f"_o_{v}", f"_l_{v}")
-    return j.drop("_pid")
+                      *[F.coalesce(F.sum(f"_t_{v}").over(before), F.lit(0)).alias(f"_o_{v}") for v in values],
+                      *[F.lag(f"_e_{c}").over(by_key).alias(f"_c_{c}") for c in previous])
+    on = [x["_pid"] == offs["_op"], *[x[k].eqNullSafe(offs[f"_ok{i}"]) for i, k in enumerate(keys)]]
+    j = x.join(offs, on)
+    j = j.withColumns({f"cum_{v}": F.col(f"_o_{v}") + F.col(f"_l_{v}") for v in values}
+                      | {f"prev_{c}": F.coalesce(f"_b_{c}", f"_c_{c}")[c] for c in previous})
+    return j.drop("_pid", "_op", *[f"_ok{i}" for i in range(len(keys))], *[f"_{p}_{v}" for v in values for p in "lo"],
+                  *[f"_{p}_{c}" for c in previous for p in "bc"])
 
 
 def rank_within(df: DataFrame, keys: Sequence[str], order: Sequence[Column], out: str) -> DataFrame:
     """1-based rank inside each ``keys`` group along ``order`` (a total order), plus the
     group size ``<out>_n``, without a window partitioned by the key: a global rank over
     (keys, order) minus the number of rows in all earlier groups. The per-group table
-    (one row per key) gets cumulative offsets from ``running_sums`` and is joined back.
+    (one row per key) gets cumulative offsets from ``running_sums`` and is joined back. Every column of ``df`` is
+    stored: give it keys and order alone.
     """
     kcols = [F.col(k).asc_nulls_first() for k in keys]
     ranked = global_rank(df, [*kcols, *order], "_g")
@@ -141,3 +194,26 @@ def rank_within(df: DataFrame, keys: Sequence[str], order: Sequence[Column], out
     j = j.drop(*[f"_k{i}" for i in range(len(keys))])
     return (j.withColumn(out, (F.col("_g") - F.col("_off")).cast("bigint"))
              .withColumnRenamed("_gn", f"{out}_n").drop("_g", "_off"))
+
+
+def rank_by_hash(df: DataFrame, keys: Sequence[str], key: Column, more: Sequence[Column], out: str,
+                 parts: int | None = None) -> DataFrame:
+    """1-based rank inside each ``keys`` group along (``key``, ``more``), where ``key`` is a uniform hex digest, plus
+    the group size ``<out>_n``.
+
+    The digest is uniform, so equal cells of its range need no sampled bounds: a row's cell is an expression of the
+    row and nothing is stored. Ranks are taken inside (group, cell) and shifted by the earlier cells' counts,
+    a table of at most groups x cells rows.
+    """
+    n = max(16, parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    x = df.withColumn("_h", key)
+    x = x.withColumn("_cell", F.floor(F.conv(F.substring("_h", 1, 6), 16, 10).cast("bigint") * n / F.lit(1 << 24)).cast("int"))
+    group = Window.partitionBy(*keys)
+    cells = x.groupBy(*keys, "_cell").agg(F.count(F.lit(1)).alias("_n"))
+    cells = cells.select(F.col("_cell").alias("_c"), *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)],
+                         F.sum("_n").over(group).alias(f"{out}_n"),
+                         F.coalesce(F.sum("_n").over(group.orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    x = x.withColumn("_local", F.row_number().over(Window.partitionBy(*keys, "_cell").orderBy("_h", *more)))
+    j = x.join(cells, [x["_cell"] == cells["_c"], *[x[k].eqNullSafe(cells[f"_k{i}"]) for i, k in enumerate(keys)]])
+    j = j.withColumn(out, (F.col("_local") + F.col("_before")).cast("bigint"))
+    return j.drop("_h", "_cell", "_c", "_local", "_before", *[f"_k{i}" for i in range(len(keys))])

@@ -48,7 +48,7 @@ def event_stage(spark, d, hour=False, bucket=True):
         u = u.withColumn("TIME", (F.floor(F.col("TIME") / 60) * 60).cast("bigint"))
     # canonical event table: a stage output; ordering samples it and the gap joins it twice
     u = cut(V.min_events(u, 10))
-    u = V.with_gap(V.with_order(u, TABLES))
+    u = V.with_order(u, TABLES)
     return V.with_time_bucket(u) if bucket else u
 
 
