@@ -5,14 +5,18 @@ point 119, time buckets 4 + k; every other token gets 1000 + its frequency rank.
 1 CLS, 2 SEP, 4 time, 5 table, 6 column, 7 value, 0 PAD.
 
 Work split: the per-event arrays (tokens, types, digit places) are pure array SQL; the
-vocabulary lookup is one explode -> join -> regroup keyed by event; a patient's events are
-collected only after the token budget has cut them to at most ``max_events``.
+vocabulary lookup resolves fixed ids and frequent words in place and shuffles each row's other
+distinct words; a patient's events are collected only after the token budget has cut them
+to at most ``max_events``.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,6 +30,8 @@ TIME_BASE = 4               # TB_0 -> 4, TB_k -> 4 + k
 WORD_BASE = 1000            # first id of corpus words
 MAX_LEN, MAX_EVENTS, MAX_WORDS = 8192, 256, 128
 
+TOP_TOKENS, TOP_CHARS = 65_536, 64   # words, and characters of a word, that are resolved without a shuffle
+
 PUNCT = r"!-/:-@\[-`{-~"
 TOKEN_RE = f"[0-9]|[{PUNCT}]|[^0-9{PUNCT}{T.WS_CHARS}]+"
 
@@ -50,16 +56,75 @@ def build_vocab(tokens: DataFrame, token: str = "token") -> DataFrame:
     return ranked.select(token, "freq", (F.col("_rk") + (WORD_BASE - 1)).cast("int").alias("id"))
 
 
-def encode_tokens(df: DataFrame, key: str, tokens: str, vocab: DataFrame, out: str) -> DataFrame:
-    """Replace the string array ``tokens`` by ids (OOV -> [UNK]); rows keyed by unique ``key``."""
-    x = df.select(key, F.posexplode(tokens).alias("_pos", "_tok"))
-    v = vocab.select(F.col("token").alias("_tok"), F.col("id").alias("_vid"))
-    x = x.join(v, "_tok", "left")
-    idc = F.coalesce(fixed_id(F.col("_tok")), F.col("_vid"), F.lit(UNK))
-    ids = x.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col("_pos"), idc.alias("i")))).alias("_s"))
-    ids = ids.select(key, F.transform("_s", lambda s: s["i"]).alias(out))
-    out_df = df.join(ids, key, "left")
-    return out_df.withColumn(out, F.coalesce(F.col(out), F.array().cast("array<int>")))
+def words_of(tokens: Column) -> Column:
+    """The tokens without fixed ids: digits and points are left out before anything is exploded."""
+    return F.filter(tokens, lambda t: ~t.rlike("^[0-9.]$"))
+
+
+class Known:
+    """Tokens resolved where the rows lie: fixed ids and the most frequent words of a vocabulary."""
+
+    def __init__(self, tokens: list[str], ids: list[int]):
+        fixed = [*(str(d) for d in range(10)), "."]
+        self.tokens = pa.array([*fixed, *tokens], pa.string())
+        self.ids = np.array([*range(121, 131), 119, *ids], dtype=np.int32)
+
+    def resolve(self, col: pa.Array) -> pa.Array:
+        """Lists of tokens -> struct of ids and of the row's other distinct tokens; an id below 0 stands for the
+        other token at place -id - 1."""
+        size = pc.fill_null(pc.list_value_length(col), 0).to_numpy().astype(np.int64)
+        flat = col.flatten()
+        at = pc.index_in(flat, value_set=self.tokens)
+        known = pc.is_valid(at).to_numpy(zero_copy_only=False)
+        ids = np.empty(len(flat), dtype=np.int32)
+        ids[known] = self.ids[pc.drop_null(at).to_numpy()]
+        lost = np.flatnonzero(~known)
+        words = pc.dictionary_encode(flat.take(pa.array(lost)))
+        width = max(1, len(words.dictionary))
+        key, inverse = np.unique(np.repeat(np.arange(len(size)), size)[lost] * width + words.indices.to_numpy(), return_inverse=True)
+        row = key // width
+        first = np.searchsorted(row, np.arange(len(size) + 1))
+        ids[lost] = -(np.arange(len(key)) - first[row] + 1)[inverse]
+        rest = words.dictionary.take(pa.array(key % width))
+        offsets = np.append(0, np.cumsum(size))
+        return pa.StructArray.from_arrays([pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids)),
+                                           pa.ListArray.from_arrays(pa.array(first, pa.int32()), rest)], ["ids", "rest"])
+
+
+def known_tokens(vocab: DataFrame, top: int = TOP_TOKENS) -> Known:
+    """Fixed ids and the ``top`` first words of at most TOP_CHARS characters: a map of bounded size."""
+    rows = vocab.where((F.col("id") < WORD_BASE + top) & (F.length("token") <= TOP_CHARS)).select("token", "id").collect()
+    return Known([r["token"] for r in rows], [r["id"] for r in rows])
+
+
+def encode_tokens(df: DataFrame, key: str, tokens: str, vocab: DataFrame, out: str, top: int = TOP_TOKENS,
+                  others: DataFrame | None = None) -> DataFrame:
+    """Replace the string array ``tokens`` by ids (OOV -> [UNK]); rows keyed by unique ``key``.
+
+    Digits, the point and the ``top`` most frequent words are resolved where the rows lie, by a map of bounded
+    size. Each row's other distinct words, and only these, are shuffled to the vocabulary. ``others`` (token, ids) gives
+    the ids of these words (several a word) in place of the vocabulary.
+    """
+    sent = df.sparkSession.sparkContext.broadcast(known_tokens(vocab, top))
+
+    @F.arrow_udf("struct<ids:array<int>,rest:array<string>>")
+    def resolve(col: pa.Array) -> pa.Array:
+        return sent.value.resolve(col)
+
+    many = others is not None
+    table = (others.select(F.col("token").alias("_tok"), F.col("ids").alias("_vid")) if many
+             else vocab.select(F.col("token").alias("_tok"), F.col("id").alias("_vid")))
+    x = df.withColumn("_r", resolve(F.col(tokens)))
+    rest = df.select(key, F.posexplode(resolve(F.col(tokens))["rest"]).alias("_j", "_tok")).join(table, "_tok", "left")
+    unknown = F.array(F.lit(UNK)) if many else F.lit(UNK)
+    got = rest.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_j", F.coalesce("_vid", unknown).alias("i")))).alias("_s"))
+    got = got.select(key, F.transform("_s", lambda s: s["i"]).alias("_o"))
+    x = x.join(got, key, "left")
+    if many:
+        ids = F.flatten(F.transform("_r.ids", lambda i: F.when(i >= 0, F.array(i)).otherwise(F.get("_o", -i - 1))))
+    else:
+        ids = F.transform("_r.ids", lambda i: F.when(i >= 0, i).otherwise(F.get("_o", -i - 1)))
+    return x.withColumn(out, ids).drop("_r", "_o")
 
 
 # ----------------------------------------------------------------------------- events
@@ -110,13 +175,17 @@ def event_corpus(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 
 # ----------------------------------------------------------------------------- budget
+def budget(lengths: DataFrame, max_len: int = MAX_LEN, key: str = "ID", order: str = "ORDER") -> DataFrame:
+    """(key, order, _len: tokens of the event, its time token counted) -> (key, order, in_budget, n_budget): whether the
+    running count per patient still leaves room for [CLS] and [SEP] inside ``max_len``, and the events that do."""
+    x = running_sums(lengths.select(key, order, "_len"), [key], [F.col(order)], ["_len"])
+    x = x.select(key, order, (F.col("cum__len") <= max_len - 2).alias("in_budget"))
+    return x.join(x.groupBy(key).agg(F.count_if(F.col("in_budget")).alias("n_budget")), key)
+
+
 def with_budget(df: DataFrame, max_len: int = MAX_LEN, key: str = "ID", order: str = "ORDER") -> DataFrame:
-    """Running token count per patient (CLS counted); ``in_budget`` when the event's time
-    token still leaves room for [SEP] inside ``max_len``; ``n_budget`` events per patient."""
-    x = running_sums(df.withColumn("_len", F.size("types")), [key], [F.col(order)], ["_len"])
-    x = x.withColumn("in_budget", F.col("cum__len") <= max_len - 2).drop("_len", "cum__len")
-    n = x.groupBy(key).agg(F.count_if(F.col("in_budget")).alias("n_budget"))
-    return x.join(n, key)
+    """``df`` (with ``types``) and its ``budget``; (key, order) names a row. Only lengths are stored and summed."""
+    return df.join(budget(df.select(key, order, F.size("types").alias("_len")), max_len, key, order), [key, order])
 
 
 def sequences(df: DataFrame, max_events: int = MAX_EVENTS, key: str = "ID", order: str = "ORDER") -> DataFrame:
@@ -192,10 +261,11 @@ def count_nonempty_rows(hi: Column) -> Column:
 def batch_sizes(samples: DataFrame, client: str, pid: str, batch_size: int = 64,
                 max_seq: int = MAX_EVENTS, max_word: int = MAX_WORDS) -> DataFrame:
     """Collator shapes: batch = (rank of pid within client) / batch_size; target sizes are the
-    batch maxima capped by the limits. The rank inside a client is a global rank minus
-    client offsets (no window per client); the batch maxima are windows over 64 rows."""
-    x = rank_within(samples, [client], [F.col(pid)], "_rk").drop("_rk_n")
-    x = x.withColumn("batch", F.floor((F.col("_rk") - 1) / batch_size)).drop("_rk")
+    batch maxima capped by the limits. The rank inside a client is a global rank of (client, pid) minus
+    client offsets (no window per client; no sample is stored); the batch maxima are windows over 64 rows."""
+    ranks = rank_within(samples.select(client, pid), [client], [F.col(pid)], "_rk")
+    ranks = ranks.select(F.col(client).alias("_c"), F.col(pid).alias("_p"), F.floor((F.col("_rk") - 1) / batch_size).alias("batch"))
+    x = samples.join(ranks, samples[client].eqNullSafe(F.col("_c")) & (samples[pid] == F.col("_p"))).drop("_c", "_p")
     x = x.withColumn("_seq", F.size("ids")).withColumn("_word", F.array_max(F.transform("ids", lambda e: F.size(e))))
     wb = Window.partitionBy(client, "batch")
     return (x.withColumn("target_seq", F.least(F.max("_seq").over(wb), F.lit(max_seq)))

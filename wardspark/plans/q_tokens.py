@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from wardspark.functions import text as T
+from wardspark.operators import subword as S
 from wardspark.operators import tokens as K
 from wardspark.plans.catalog import query
 from wardspark.plans.oracle_fx import cte, with_ctes
@@ -30,21 +31,30 @@ def doc_tokens(spark, d):
 
 def doc_vocab(spark, d, toks=None):
     toks = doc_tokens(spark, d) if toks is None else toks
-    return K.build_vocab(toks.select(F.explode("toks").alias("token")))
+    return K.build_vocab(toks.select(F.explode(K.words_of(F.col("toks"))).alias("token")))
+
+
+def events_and_vocab(spark, d):
+    """The canonical event table, a stage output, and the vocabulary of all its events."""
+    ev = cut(event_stage(spark, d))
+    return ev, K.build_vocab(K.event_corpus(ev, VALUE_COLS))
 
 
 def event_token_stage(spark, d):
-    ev = cut(event_stage(spark, d))  # the canonical event table is a stage output
-    vocab = K.build_vocab(K.event_corpus(ev, VALUE_COLS))
+    ev, vocab = events_and_vocab(spark, d)
     return K.event_tokens(ev, VALUE_COLS, vocab)
 
 
-def budget_stage(spark, d):
-    return K.with_budget(event_token_stage(spark, d))
+def event_budget(ev):
+    """Budget from the lengths of the events' parts; no token is looked up for it."""
+    return K.budget(K.event_parts(ev, VALUE_COLS).select("ID", "ORDER", (F.size("_tok") + 1).alias("_len")))
 
 
 def sequence_stage(spark, d):
-    return K.sequences(budget_stage(spark, d))
+    """Sequences: only events inside the budget of patients that are kept are encoded."""
+    ev, vocab = events_and_vocab(spark, d)
+    fits = event_budget(ev).where(F.col("in_budget") & (F.col("n_budget") <= K.MAX_EVENTS))
+    return K.sequences(K.event_tokens(ev.join(fits, ["ID", "ORDER"]), VALUE_COLS, vocab))
 
 
 # ============================================================================ DuckDB twins
@@ -168,6 +178,46 @@ def vocab_encode(spark, d):
     return enc.select("doc_id", F.size("toks").alias("n_tokens"), F.md5(ints_text(F.col("ids"))).alias("ids_md5"))
 
 
+MAX_WORDS = 5000
+cte("sw_words", ("doc_vocab",), f"SELECT token, id FROM doc_vocab WHERE id < {K.WORD_BASE + MAX_WORDS} AND length(token) <= {K.TOP_CHARS}")
+cte("sw_chars", ("doc_vocab", "sw_words"), f"""
+SELECT c AS piece, {K.WORD_BASE + 2 * MAX_WORDS} + 2 * (row_number() OVER (ORDER BY c) - 1) AS id
+FROM (SELECT DISTINCT unnest(string_split(token, '')) AS c FROM doc_vocab) x
+WHERE c <> '' AND c NOT IN (SELECT token FROM sw_words)""")
+cte("sw_pieces", ("sw_words", "sw_chars"), f"""
+SELECT token AS piece, false AS inner_, id FROM sw_words UNION ALL SELECT token, true, id + {MAX_WORDS} FROM sw_words
+UNION ALL SELECT piece, false, id FROM sw_chars UNION ALL SELECT piece, true, id + 1 FROM sw_chars""")
+cte("sw_split", ("doc_vocab", "sw_words", "sw_pieces"), f"""
+WITH RECURSIVE cut AS (SELECT token, 0 AS pos, []::BIGINT[] AS ids, false AS lost FROM doc_vocab WHERE token NOT IN (SELECT token FROM sw_words)
+  UNION ALL
+  SELECT token, pos + coalesce(n, length(token)), CASE WHEN n IS NULL THEN [100] ELSE list_append(ids, id) END, n IS NULL FROM (
+    SELECT c.token, c.pos, c.ids, length(p.piece) AS n, p.id,
+           row_number() OVER (PARTITION BY c.token ORDER BY length(p.piece) DESC NULLS LAST) AS r
+    FROM (SELECT cut.*, unnest(range(1, least(length(token) - pos, {K.TOP_CHARS}) + 1)) AS m FROM cut WHERE pos < length(token)) c
+    LEFT JOIN sw_pieces p ON p.piece = substr(c.token, c.pos + 1, c.m) AND p.inner_ = (c.pos > 0)) x WHERE r = 1)
+SELECT token, ids FROM cut WHERE pos >= length(token)""")
+
+
+@query("subword_encode", with_ctes(f"""
+SELECT t.doc_id, CAST(len(t.toks) AS INTEGER) AS n_tokens, CAST(len(coalesce(e.ids, [])) AS INTEGER) AS n_ids,
+       CAST(len(list_filter(coalesce(e.ids, []), lambda i: i = 100)) AS INTEGER) AS n_unk, md5(coalesce(array_to_string(e.ids, ','), '')) AS ids_md5
+FROM doc_tok t LEFT JOIN (
+  SELECT doc_id, flatten(list(CASE WHEN regexp_matches(tok, '^[0-9]$') THEN [121 + CAST(tok AS BIGINT)] WHEN tok = '.' THEN [119]
+           WHEN w.id IS NOT NULL THEN [w.id] ELSE coalesce(s.ids, [100]) END ORDER BY i)) AS ids
+  FROM (SELECT doc_id, unnest(toks) AS tok, unnest(range(1, len(toks) + 1)) AS i FROM doc_tok) p
+  LEFT JOIN sw_words w ON p.tok = w.token LEFT JOIN sw_split s ON p.tok = s.token GROUP BY doc_id) e ON t.doc_id = e.doc_id""",
+                                 "doc_tok", "sw_words", "sw_split"))
+def subword_encode(spark, d):
+    """Documents as ids of whole words and, for words beyond the most frequent, of their longest known pieces."""
+    toks = doc_tokens(spark, d)
+    vocab = doc_vocab(spark, d, toks)
+    pieces = S.piece_table(vocab, MAX_WORDS)
+    unseen = vocab.where((F.col("id") >= K.WORD_BASE + MAX_WORDS) | (F.length("token") > K.TOP_CHARS))
+    enc = K.encode_tokens(toks, "doc_id", "toks", vocab, "ids", top=MAX_WORDS, others=S.split_words(unseen, pieces))
+    unk = F.size(F.filter("ids", lambda i: i == K.UNK))
+    return enc.select("doc_id", F.size("toks").alias("n_tokens"), F.size("ids").alias("n_ids"), unk.alias("n_unk"), F.md5(ints_text(F.col("ids"))).alias("ids_md5"))
+
+
 @query("event_tokens", with_ctes("""
 SELECT event_id, array_to_string(ids, ',') AS ids, array_to_string(types, ',') AS types,
        array_to_string(dpes, ',') AS dpes FROM tk_event""", "tk_event"))
@@ -179,7 +229,7 @@ def event_tokens(spark, d):
 
 @query("token_budget", with_ctes('SELECT "ID", n_budget, n_events FROM tk_nb', "tk_nb"))
 def token_budget(spark, d):
-    b = budget_stage(spark, d)
+    b = event_budget(cut(event_stage(spark, d)))
     return b.groupBy("ID").agg(F.first("n_budget").alias("n_budget"), F.count(F.lit(1)).alias("n_events"))
 
 
