@@ -1,3 +1,6 @@
+import random
+
+import pytest
 import math
 
 from pyspark.sql import functions as F
@@ -76,3 +79,51 @@ def test_multilabel_shares_stay_near_the_whole(spark):
             mine = [dx for i, dx in rows if out[i] == fold]
             share = sum(c in dx for dx in mine) / len(mine)
             assert abs(share - whole) <= .02 + 4 * math.sqrt(whole * (1 - whole) / len(mine))
+
+
+def _worst(rows, folds):
+    """Largest distance, in rows, of any class's test and validation rows from a tenth of the class."""
+    worst = 0
+    for c in {c for _, dx in rows for c in dx}:
+        n = sum(c in dx for _, dx in rows)
+        for fold in (K.TEST, K.VALID):
+            worst = max(worst, abs(sum(c in dx and folds[p] == fold for p, dx in rows) - n / 10))
+    return worst
+
+
+def test_iterative_stratification_meets_every_class(spark):
+    rng = random.Random(8)
+    share = [0.5, 0.3, 0.2, 0.1, 0.05, 0.02, 0.01, 0.004]
+    rows = [(i, sorted(c + 1 for c, s in enumerate(share) if rng.random() < s)) for i in range(6000)]
+    lab = spark.createDataFrame(rows, "pid int, dx array<int>").repartition(4)
+    out = K.multilabel_folds(lab, seeds=(1, 2)).collect()
+    again = K.multilabel_folds(lab.repartition(2), seeds=(1, 2)).collect()
+    assert sorted(map(tuple, out)) == sorted(map(tuple, again)) and len(out) == 12000
+    stand_in = {}  # stratified by the rarest class alone
+    groups = {}
+    for p, dx in rows:
+        groups.setdefault(max(dx, default=0), []).append(p)
+    for g in groups.values():
+        for r, p in enumerate(g):
+            stand_in[p] = K.TEST if r < -(-len(g) // 10) else K.VALID if r < 2 * -(-len(g) // 10) else K.TRAIN
+    for seed in (1, 2):
+        folds = {r["pid"]: r["fold"] for r in out if r["seed"] == seed}
+        assert _worst(rows, folds) <= 2 < _worst(rows, stand_in)
+        sizes = [sum(f == x for f in folds.values()) for x in (K.TEST, K.VALID)]
+        assert all(abs(n - 600) <= 4 for n in sizes)
+    assert {r["pid"] for r in out if r["seed"] == 1 and r["fold"] == K.TEST} != {r["pid"] for r in out if r["seed"] == 2 and r["fold"] == K.TEST}
+
+
+def test_iterative_stratification_per_client_and_of_few_rows(spark):
+    rows = [(i, "a" if i % 3 else "b", [1, 2] if i % 5 == 0 else [2] if i % 2 else []) for i in range(300)] + [(900, None, [18])]
+    lab = spark.createDataFrame(rows, "pid int, client string, dx array<int>")
+    out = K.multilabel_folds(lab, seeds=(7,), group=["client"]).collect()
+    assert len(out) == 301
+    for client in "ab":
+        mine = [(p, dx) for p, c, dx in rows if c == client]
+        folds = {r["pid"]: r["fold"] for r in out if r["client"] == client}
+        assert _worst(mine, folds) <= 2
+    assert K.multilabel_folds(lab.limit(0)).count() == 0
+    many = spark.createDataFrame([(i, [i]) for i in range(30)], "pid int, dx array<int>")
+    with pytest.raises(ValueError):
+        K.multilabel_folds(many)

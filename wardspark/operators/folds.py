@@ -64,36 +64,98 @@ def stratified_folds(labels: DataFrame, tasks: Sequence[str] = BINARY_TASKS, pid
     return assign(x, pid, [*group, "task", "seed", "label"])
 
 
-def rarest_label(labels: DataFrame, pid: str = "pid", col: str = "dx", out: str = "stratum") -> DataFrame:
-    """Stratum for multi-label rows: the globally rarest class the row holds (ties: smaller
-    class); rows without classes -> 0. Class frequencies are a small aggregate."""
-    ex = labels.select(pid, F.explode(col).alias("_c"))
-    freq = ex.groupBy("_c").agg(F.count(F.lit(1)).alias("_f"))
-    pick = (ex.join(F.broadcast(freq), "_c")
-              .groupBy(pid).agg(F.min(F.struct("_f", "_c")).alias("_m"))
-              .select(pid, F.col("_m._c").alias(out)))
-    return labels.join(pick, pid, "left").withColumn(out, F.coalesce(F.col(out), F.lit(0)))
+MAX_CLASSES = 18   # label sets are counted on the driver: at most 2 ** MAX_CLASSES of them a group
+
+
+def label_set(col: str) -> Column:
+    """A row's set of classes as text, the stratum of multi-label splits."""
+    return F.array_join(F.array_sort(F.array_distinct(F.col(col))), ",")
+
+
+def iterative_counts(sets: dict[str, int], parts: int) -> dict[str, int]:
+    """How many rows of each label set go into one of ``parts`` equal folds.
+
+    Iterative stratification on counts: again and again the class with the fewest rows left (ties: the smaller class)
+    is dealt. Of its rows, laid out by label set, every so many-th goes into the fold, at the rate that still meets the
+    class's demand, total / parts less what earlier classes have put there. Rows without a class come last and meet
+    the demand in rows. Demands are kept in ``parts``-ths, so everything is integer.
+    """
+    labels = {s: {int(x) for x in s.split(",") if x} for s in sets}
+    total: dict[int, int] = {}
+    for s, n in sets.items():
+        for c in labels[s]:
+            total[c] = total.get(c, 0) + n
+    given: dict[str, int] = {}
+
+    def deal(mine: list[str], demand: int) -> None:
+        rows = sum(sets[s] for s in mine)
+        demand, before = min(max(demand, 0), parts * rows), 0
+        for s in sorted(mine):
+            given[s] = (before + sets[s]) * demand // (parts * rows) - before * demand // (parts * rows)
+            before += sets[s]
+
+    while True:
+        left: dict[int, int] = {}
+        for s in sets.keys() - given.keys():
+            for c in labels[s]:
+                left[c] = left.get(c, 0) + sets[s]
+        if not left:
+            break
+        pick = min(left, key=lambda c: (left[c], c))
+        deal([s for s in sets.keys() - given.keys() if pick in labels[s]], total[pick] - parts * sum(n for s, n in given.items() if pick in labels[s]))
+    if rest := [s for s in sets if s not in given and sets[s]]:
+        deal(rest, sum(sets.values()) - parts * sum(given.values()))
+    return {s: given.get(s, 0) for s in sets}
+
+
+def iterative_quotas(rows: DataFrame, group: Sequence[str] = (), test_split: int = 10, val_split: int = 9) -> DataFrame:
+    """(group..., stratum) rows -> (group..., stratum, n_test, n_valid); what reaches the driver is one count for each
+    label set of a group, bounded by 2 ** MAX_CLASSES."""
+    spark = rows.sparkSession
+    classes = rows.select(F.explode(F.split("stratum", ",")).alias("c")).where("c != ''").agg(F.count_distinct("c")).first()[0]
+    if classes > MAX_CLASSES:
+        raise ValueError(f"{classes} classes; label sets are counted for {MAX_CLASSES} at most")
+    counts: dict[tuple, dict[str, int]] = {}
+    for r in rows.groupBy(*group, "stratum").count().collect():
+        counts.setdefault(tuple(r[:-2]), {})[r["stratum"]] = r["count"]
+    out = []
+    for g, sets in sorted(counts.items(), key=str):
+        test = iterative_counts(sets, test_split)
+        valid = iterative_counts({s: n - test[s] for s, n in sets.items()}, val_split)
+        out += [(*g, s, test[s], valid[s]) for s in sorted(sets)]
+    schema = [*[f"{c} {rows.schema[c].dataType.simpleString()}" for c in group], "stratum string", "n_test bigint", "n_valid bigint"]
+    return spark.createDataFrame(out, ", ".join(schema))
+
+
+def _quota_folds(x: DataFrame, quotas: DataFrame, pid: str, group: Sequence[str] = ()) -> DataFrame:
+    """Folds of rows (pid, group..., stratum, seed): inside a label set the first ranks are test, the next valid."""
+    x = rank_in_strata(x, [*group, "stratum", "seed"], split_key(F.col(pid), F.col("seed")), pid)
+    q = quotas.select(*[F.col(c).alias(f"_q{i}") for i, c in enumerate([*group, "stratum"])], "n_test", "n_valid")
+    x = x.join(q, [x[c].eqNullSafe(F.col(f"_q{i}")) for i, c in enumerate([*group, "stratum"])])
+    fold = F.when(F.col("_r") <= F.col("n_test"), F.lit(TEST)).when(F.col("_r") <= F.col("n_test") + F.col("n_valid"), F.lit(VALID)).otherwise(F.lit(TRAIN))
+    return x.withColumn("fold", fold.cast("int")).drop("_r", "_n", "n_test", "n_valid", *[f"_q{i}" for i in range(len(group) + 1)])
 
 
 def multilabel_folds(labels: DataFrame, pid: str = "pid", col: str = "dx", seeds: Sequence[int] = SEEDS,
                      group: Sequence[str] = ()) -> DataFrame:
-    """Approximate iterative stratification: stratify on the rarest class held."""
-    x = with_seeds(rarest_label(labels.select(pid, *group, col), pid, col).drop(col), seeds)
-    return assign(x, pid, [*group, "stratum", "seed"])
+    """Iterative multi-label stratification: (pid, [group], stratum, seed, fold). Counts of label sets are dealt to the
+    folds class by class; the seed only chooses the rows. Every class's share of a fold is within one row of its
+    demand, or as near as the label sets that hold it allow."""
+    x = labels.select(pid, *group, label_set(col).alias("stratum"))
+    return _quota_folds(with_seeds(x, seeds), iterative_quotas(x, group), pid, group)
 
 
 def fold_grid(labels: DataFrame, pid: str = "pid", seeds: Sequence[int] = SEEDS,
               group: Sequence[str] = ()) -> DataFrame:
-    """Long fold table (pid, [group], task, seed, scheme, fold): stratified per binary task,
-    rarest-class stratified for dx, random for 'all' - ranked in one pass over the union."""
-    base = rarest_label(labels.select(pid, *group, *BINARY_TASKS, "dx"), pid, "dx")
+    """Long fold table (pid, [group], task, seed, scheme, fold): stratified per binary task and random for 'all', ranked
+    in one pass over the union; dx iteratively stratified."""
     items = [F.struct(F.lit(t).alias("task"), F.lit("strat").alias("scheme"), F.col(t).cast("int").alias("st"))
              for t in BINARY_TASKS]
-    items += [F.struct(F.lit("dx").alias("task"), F.lit("strat").alias("scheme"), F.col("stratum").alias("st")),
-              F.struct(F.lit("all").alias("task"), F.lit("rand").alias("scheme"), F.lit(0).alias("st"))]
-    x = with_seeds(base.select(pid, *group, F.explode(F.array(*items)).alias("_i")), seeds)
+    items += [F.struct(F.lit("all").alias("task"), F.lit("rand").alias("scheme"), F.lit(0).alias("st"))]
+    x = with_seeds(labels.select(pid, *group, F.explode(F.array(*items)).alias("_i")), seeds)
     x = x.select(pid, *group, "seed", "_i.task", "_i.scheme", "_i.st")
-    return assign(x, pid, [*group, "task", "scheme", "seed", "st"]).drop("st")
+    dx = multilabel_folds(labels, pid, "dx", seeds, group).drop("stratum").withColumns({"task": F.lit("dx"), "scheme": F.lit("strat")})
+    return assign(x, pid, [*group, "task", "scheme", "seed", "st"]).drop("st").unionByName(dx)
 
 
 def label_share(folds: DataFrame) -> DataFrame:

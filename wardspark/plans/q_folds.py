@@ -52,12 +52,38 @@ TASKS_SQL = " UNION ALL ".join(f"SELECT pid, {{g}}'{t}' AS task, CAST({t} AS INT
 cte("fold_strat", ("fold_labels", "seeds"), f"""
 SELECT pid, task, seed, label, {FOLD} AS fold FROM ({ranked_sql(
     "(SELECT * FROM (" + TASKS_SQL.format(g="", src="fold_labels") + ") u, seeds) a", "task, seed, label")}) t""")
-cte("fold_ml", ("fold_labels", "seeds"), f"""
-SELECT pid, seed, stratum, {FOLD} AS fold FROM ({ranked_sql('''(SELECT l.pid, coalesce(m.stratum, 0) AS stratum, s.seed
-    FROM fold_labels l LEFT JOIN (
-      SELECT pid, arg_min(c, (f, c)) AS stratum FROM (SELECT pid, unnest(dx) AS c FROM fold_labels) e
-      JOIN (SELECT c, count(*) AS f FROM (SELECT unnest(dx) AS c FROM fold_labels) z GROUP BY c) q USING (c)
-      GROUP BY pid) m ON l.pid = m.pid, seeds s) a''', "stratum, seed")}) t""")
+def iterative_sql(src: str, parts: int, name: str) -> None:
+    """CTEs of iterative stratification over the label sets of ``src`` (stratum, ls, n): ``<name>`` has what one of
+    ``parts`` folds gets of each. One step a class."""
+    cte(f"{name}_0", (src,), f"SELECT stratum, ls, n, NULL::BIGINT AS a FROM {src}")
+    for i in range(1, K.MAX_CLASSES + 2):
+        last = f"{name}_{i - 1}"
+        if i <= K.MAX_CLASSES:
+            pick = f"""SELECT c, t, greatest(0, least({parts} * t, (SELECT sum(n) FROM {last} WHERE list_contains(ls, c)) - {parts} *
+    coalesce((SELECT sum(a) FROM {last} WHERE list_contains(ls, c)), 0))) AS demand
+  FROM (SELECT c, sum(n) AS t FROM (SELECT unnest(ls) AS c, n FROM {last} WHERE a IS NULL) u GROUP BY c ORDER BY t, c LIMIT 1) p"""
+            mine = "x.a IS NULL AND list_contains(x.ls, (SELECT c FROM pick))"
+        else:
+            pick = f"""SELECT 0 AS c, t, greatest(0, least({parts} * t, (SELECT sum(n) FROM {last}) - {parts} * coalesce((SELECT sum(a) FROM {last}), 0))) AS demand
+  FROM (SELECT sum(n) AS t FROM {last} WHERE a IS NULL) p"""
+            mine = "x.a IS NULL AND (SELECT t FROM pick) > 0"
+        cte(f"{name}_{i}", (last,), f"""
+WITH pick AS ({pick}),
+run AS (SELECT x.stratum, x.n, sum(x.n) OVER (ORDER BY x.stratum COLLATE C ROWS UNBOUNDED PRECEDING) AS upto FROM {last} x WHERE {mine})
+SELECT x.stratum, x.ls, x.n, coalesce(x.a, (SELECT (upto * demand) // ({parts} * t) - ((upto - run.n) * demand) // ({parts} * t)
+  FROM run, pick WHERE run.stratum = x.stratum))::BIGINT AS a FROM {last} x""")
+    cte(name, (f"{name}_{K.MAX_CLASSES + 1}",), f"SELECT stratum, ls, n, coalesce(a, 0) AS a FROM {name}_{K.MAX_CLASSES + 1}")
+
+
+cte("ml_rows", ("fold_labels",), "SELECT pid, array_to_string(list_sort(list_distinct(dx)), ',') AS stratum, list_distinct(dx) AS ls FROM fold_labels")
+cte("ml_sets", ("ml_rows",), "SELECT stratum, any_value(ls) AS ls, count(*)::BIGINT AS n FROM ml_rows GROUP BY stratum")
+iterative_sql("ml_sets", 10, "ml_test")
+cte("ml_rest", ("ml_test",), "SELECT stratum, ls, n - a AS n FROM ml_test")
+iterative_sql("ml_rest", 9, "ml_valid")
+cte("fold_ml", ("ml_rows", "ml_test", "ml_valid", "seeds"), f"""
+SELECT pid, seed, t.stratum, CAST(CASE WHEN r <= q.a THEN 0 WHEN r <= q.a + v.a THEN 2 ELSE 1 END AS INTEGER) AS fold
+FROM ({ranked_sql("(SELECT pid, stratum, seed FROM ml_rows, seeds) a", "stratum, seed")}) t
+JOIN ml_test q ON q.stratum = t.stratum JOIN ml_valid v ON v.stratum = t.stratum""")
 cte("client_src", ("abs_cohort", "fx_stay"), """
 SELECT adm_id, CASE dbsource WHEN 'metavision' THEN 'mimic3_mv' ELSE 'mimic3_cv' END AS client
 FROM (SELECT c.adm_id, arg_min(s.dbsource, s.stay_id) FILTER (WHERE s.dbsource IS NOT NULL) AS dbsource
