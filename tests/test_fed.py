@@ -126,3 +126,59 @@ def test_resume_equals_one_run(spark):
     want = FD.train(f, 2, rounds=2, local_steps=2, algorithm="fedpxn", mu=0.5)
     key = lambda df: sorted((r["client"], r["idx"], round(r["value"], 12), r["round"]) for r in df.collect())
     assert key(got) == key(want)
+
+
+def _adam_numpy(rows, dims, rounds, batches, epochs, lr, algorithm, mu):
+    """The loop in plain numpy: clients one after the other, batches in the order of the hash."""
+    import hashlib
+    clients = sorted({c for _, c, _, _ in rows})
+    share = {c: sum(r[1] == c for r in rows) / len(rows) for c in clients}
+    w, server = {c: np.zeros(dims + 1) for c in clients}, np.zeros(dims + 1)
+    for r in range(rounds):
+        for c in clients:
+            m, v, t = np.zeros(dims + 1), np.zeros(dims + 1), 0
+            for e in range(epochs):
+                mine = sorted((hashlib.md5(f"{p}_{r}_{e}".encode()).hexdigest(), p, x, y) for p, k, x, y in rows if k == c)
+                for b in range(batches):
+                    part = [z for i, z in enumerate(mine) if i * batches // len(mine) == b]
+                    if not part:
+                        continue
+                    x = np.array([[*z[2], 1.0] for z in part])
+                    g = x.T @ (1 / (1 + np.exp(-x @ w[c])) - np.array([z[3] for z in part])) / len(part)
+                    if algorithm in ("fedprox", "fedpxn") and r > 0 and b > 0:
+                        pull = mu * (w[c] - server)
+                        if algorithm == "fedprox":
+                            pull[dims] = 0
+                        g = g + pull
+                    t += 1
+                    m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+                    w[c] = w[c] - lr * (m / (1 - 0.9 ** t)) / (np.sqrt(v / (1 - 0.999 ** t)) + 1e-8)
+        if algorithm != "single":
+            new = sum(share[c] * w[c] for c in clients)
+            if algorithm in ("fedbn", "fedpxn"):
+                new[dims] = server[dims]
+            for c in clients:
+                bias = w[c][dims]
+                w[c] = new.copy()
+                if algorithm in ("fedbn", "fedpxn"):
+                    w[c][dims] = bias
+            server = new
+    return w, server
+
+
+@pytest.mark.parametrize("algorithm", ["fedavg", "fedprox", "fedbn", "fedpxn", "single"])
+def test_minibatch_adam_matches_numpy(spark, algorithm):
+    rng = np.random.default_rng(3)
+    rows = [(i, "abc"[i % 3] if i != 5 else "d", [float(x) for x in rng.normal(size=3)], int(rng.random() < 0.4)) for i in range(50)]
+    feats = spark.createDataFrame(rows, "pid int, client string, x array<double>, y int").repartition(3)
+    seen = []
+    out = FD.train_minibatch(feats, 3, rounds=2, batches=4, epochs=2, lr=0.05, algorithm=algorithm, mu=0.5, on_round=lambda r, p: seen.append(r))
+    got = {}
+    for r in out.orderBy("client", "idx").collect():
+        got.setdefault(r["client"], []).append(r["value"])
+    w, server = _adam_numpy(rows, 3, 2, 4, 2, 0.05, algorithm, 0.5)
+    assert seen == [0, 1] and set(got) == {*w, *(["server"] if algorithm != "single" else [])}
+    for c in w:
+        assert got[c] == pytest.approx(list(w[c]), abs=1e-9)
+    if algorithm != "single":
+        assert got["server"] == pytest.approx(list(server), abs=1e-9)

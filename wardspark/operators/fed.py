@@ -10,6 +10,11 @@ the per-client weight vector joined by broadcast (its size is clients x dims - t
 model, never the data) and the mean gradient vector aggregated map-side per client. The
 bias (idx = dims) is the model's normalisation parameter. The small parameter table is
 checkpointed every step so the lineage stays one step deep.
+
+``train_minibatch`` trains as the reference's loop does: local epochs of batches in a random order that a hash gives,
+Adam with moment tables per client that are fresh in each round. An epoch's rows are stored by batch once, so a step
+reads one batch, and every step advances all clients at once. The number of batches is a parameter, so the
+number of Spark steps doesn't grow with the data; a client's batch holds its rows / batches.
 """
 
 from __future__ import annotations
@@ -22,7 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wardspark.operators.metrics import sigmoid
-from wardspark.sources.stage import cut
+from wardspark.operators.util import rank_by_hash
+from wardspark.sources.stage import cut, store
 
 COUNTER = "num_batches_tracked"
 NORM = "norm"
@@ -150,25 +156,87 @@ def train(features: DataFrame, dims: int, rounds: int, lr: float = 0.5, local_st
             # a step reads the parameters twice: uncut, k steps would read the features 2^k times
             params = cut(local_step(feats, params, prox, lr, mu, client, skip=dims if algorithm == "fedprox" else None))
         if algorithm != "single":
-            own = (F.col("idx") == dims) if algorithm in LOCAL_NORM else F.lit(False)
-            merged = cut(_weighted(params.where(~own), weights, client).groupBy("idx").agg(
-                F.sum(F.col("w") * F.col("value")).alias("value")))
-            # every client restarts from the merged model
-            params = cut(merged.select(F.explode(F.array(*[F.lit(n) for n in names])).alias(client), "idx", "value")
-                         .unionByName(params.where(own)))
-            server = cut(merged.unionByName(server.where(own)))
+            params, server = _merge(params, server, weights, names, dims, algorithm, client)
         if on_round is not None:
             on_round(r, _with_server(params, server, client))
     return _with_server(params, server, client).withColumn("round", F.lit(start_round + rounds - 1))
 
 
+def _merge(params: DataFrame, server: DataFrame, weights: DataFrame, names: Sequence[str], dims: int, algorithm: str,
+           client: str = "client") -> tuple[DataFrame, DataFrame]:
+    """Weighted mean of the clients' parameters; every client restarts from it, but for its own norm parameter where
+    the algorithm leaves that local. Returns the clients' and the server's parameters."""
+    own = (F.col("idx") == dims) if algorithm in LOCAL_NORM else F.lit(False)
+    merged = cut(_weighted(params.where(~own), weights, client).groupBy("idx").agg(
+        F.sum(F.col("w") * F.col("value")).alias("value")))
+    params = cut(merged.select(F.explode(F.array(*[F.lit(n) for n in names])).alias(client), "idx", "value")
+                 .unionByName(params.where(own)))
+    return params, cut(merged.unionByName(server.where(own)))
+
+
+# ------------------------------------------------------------------------ mini-batches
+def with_batches(features: DataFrame, batches: int, order: str, client: str = "client", pid: str = "pid") -> DataFrame:
+    """Adds ``batch`` 0 .. ``batches`` - 1: a client's rows in the order of md5(pid_<order>), cut into equal runs (a client
+    of fewer rows has rows in some batches only)."""
+    key = F.md5(F.concat_ws("_", F.col(pid).cast("string"), F.lit(order)))
+    x = rank_by_hash(features, [client], key, [F.col(pid)], "_k")
+    return x.withColumn("batch", F.floor((F.col("_k") - 1) * batches / F.col("_k_n")).cast("int")).drop("_k", "_k_n")
+
+
+def adam_step(state: DataFrame, g: DataFrame, lr: float, client: str = "client", betas: tuple[float, float] = (0.9, 0.999),
+              eps: float = 1e-8) -> DataFrame:
+    """One Adam update of (client, idx, value, m, v, t) by (client, idx, grad); clients without a gradient stay."""
+    b1, b2 = betas
+    x = state.join(g, [client, "idx"], "left")
+    x = x.withColumns({"t": F.col("t") + F.col("grad").isNotNull().cast("int"),
+                       "m": F.when(F.col("grad").isNull(), F.col("m")).otherwise(b1 * F.col("m") + (1 - b1) * F.col("grad")),
+                       "v": F.when(F.col("grad").isNull(), F.col("v")).otherwise(b2 * F.col("v") + (1 - b2) * F.col("grad") * F.col("grad"))})
+    size = F.col("m") / (1 - F.pow(F.lit(b1), F.col("t")))
+    step = F.lit(lr) * size / (F.sqrt(F.col("v") / (1 - F.pow(F.lit(b2), F.col("t")))) + eps)
+    return x.select(client, "idx", F.when(F.col("grad").isNull(), F.col("value")).otherwise(F.col("value") - step).alias("value"), "m", "v", "t")
+
+
+def train_minibatch(features: DataFrame, dims: int, rounds: int, batches: int, epochs: int = 1, lr: float = 0.01,
+                    algorithm: str = "fedavg", mu: float = 0.01, client: str = "client", pid: str = "pid", on_round=None) -> DataFrame:
+    """Rounds of local epochs of mini-batch Adam + merge, over (pid, client, x, y). The optimiser is fresh for every
+    client and round. fedprox and fedpxn pull towards the server after round 0, from an epoch's second batch on.
+    Returns (round, client, idx, value) as ``train`` does."""
+    if algorithm not in ("fedavg", "single", *LOCAL_NORM, *PROXIMAL):
+        raise ValueError(f"unknown algorithm {algorithm}")
+    feats = features.select(pid, client, "x", "y")
+    weights = cut(client_weights(feats, client))
+    names = sorted(r[0] for r in weights.select(client).collect())  # site names, a handful
+    params, server = cut(init_params(weights, dims, client)), None
+    if algorithm != "single":
+        server = params.where(F.col(client) == names[0]).select("idx", "value")
+    for r in range(rounds):
+        state = params.select(client, "idx", "value", F.lit(0.0).alias("m"), F.lit(0.0).alias("v"), F.lit(0).alias("t"))
+        for e in range(epochs):
+            dealt = store(with_batches(feats, batches, f"{r}_{e}", client, pid), "batches", ["batch"])
+            for b in range(batches):
+                g = gradient(dealt.where(F.col("batch") == b), state, client)
+                if algorithm in PROXIMAL and r > 0 and b > 0:
+                    pull = F.lit(mu) * (F.col("value") - F.col("_s"))
+                    if algorithm == "fedprox":
+                        pull = F.when(F.col("idx") == dims, F.lit(0.0)).otherwise(pull)
+                    g = g.join(state.select(client, "idx", "value"), [client, "idx"]).join(server.select("idx", F.col("value").alias("_s")), "idx")
+                    g = g.select(client, "idx", (F.col("grad") + pull).alias("grad"))
+                state = cut(adam_step(state, g, lr, client))
+        params = state.select(client, "idx", "value")
+        if algorithm != "single":
+            params, server = _merge(params, server, weights, names, dims, algorithm, client)
+        if on_round is not None:
+            on_round(r, _with_server(params, server, client))
+    return _with_server(params, server, client).withColumn("round", F.lit(rounds - 1))
+
+
 def _with_server(params: DataFrame, server: DataFrame | None, client: str) -> DataFrame:
     if server is None:
         return params
     return params.unionByName(server.select(F.lit("server").alias(client), "idx", "value"))
 
 
-def score(features: DataFrame, params: DataFrame, client: str = "client") -> DataFrame:
+def score(features: DataFrame, params: DataFrame, client: str = "client", digits: int = 9) -> DataFrame:
     """Logit ``z`` and ``score`` of every row under the model of its client."""
-    j = features.join(F.broadcast(to_vectors(params, client)), client).withColumn("z", F.round(linear("x", "w"), 9))
+    j = features.join(F.broadcast(to_vectors(params, client)), client).withColumn("z", F.round(linear("x", "w"), digits))
     return j.drop("w").withColumn("score", sigmoid(F.col("z")))

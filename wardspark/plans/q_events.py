@@ -11,7 +11,7 @@ from wardspark.operators.buckets import bucketize_values, dense_rank_by
 from wardspark.plans.catalog import query
 from wardspark.plans.oracle_fx import cte, with_ctes
 from wardspark.sources import fixtures as X
-from wardspark.sources.stage import cut
+from wardspark.sources.stage import store
 from wardspark.spec import TableSpec
 
 WINDOW_MIN = 7200  # observation window of the fixture (12 h would leave ~1 event per id)
@@ -46,8 +46,8 @@ def event_stage(spark, d, hour=False, bucket=True):
     u = V.union_outer([windowed_table(spark, d, s) for s in SPECS])
     if hour:
         u = u.withColumn("TIME", (F.floor(F.col("TIME") / 60) * 60).cast("bigint"))
-    # canonical event table: a stage output; ordering samples it and the gap joins it twice
-    u = cut(V.min_events(u, 10))
+    # canonical event table: a stage output; ordering samples its keys and reads it once
+    u = store(V.min_events(u, 10), "canonical")
     u = V.with_order(u, TABLES)
     return V.with_time_bucket(u) if bucket else u
 

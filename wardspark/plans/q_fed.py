@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wardspark.operators import fed as FD
@@ -14,7 +17,7 @@ from wardspark.plans import q_tokens  # noqa: F401  (registers the token CTE fra
 from wardspark.plans.catalog import query
 from wardspark.plans.oracle_fx import cte, with_ctes
 from wardspark.sources import fixtures as X
-from wardspark.sources.stage import config_hash, ensure_checkpoint_dir
+from wardspark.sources.stage import children, config_hash, cut, exists, fingerprint, remove, shared_dir
 
 MU = 0.01
 LOGIT = "(score - 0.5) * 8.0"
@@ -85,15 +88,24 @@ def fed_avg_counters(spark, d):
     return s.where(F.col("name").contains(FD.COUNTER)).select("name", "idx", r6("value"))
 
 
-@query("fed_bn", with_ctes("""
-SELECT a.client, a.name, a.idx, round(CASE WHEN a.name LIKE '%norm%' THEN a.value ELSE s.v END, 6) AS value
-FROM (SELECT client, name, idx, value FROM fx_param) a
-LEFT JOIN (SELECT name, idx, sum(w * value) AS v FROM pc JOIN cw USING (client)
-           WHERE name NOT LIKE '%norm%' GROUP BY name, idx) s ON a.name = s.name AND a.idx = s.idx""",
-                          "fx_param", "pc", "cw"))
+FED_BN_OUT = """client, name, count(*) AS n, round(sum(v), 4) AS total, round(sum(v * (idx % 97)), 3) AS weighted,
+  round(min(v), 6) AS least, round(max(v), 6) AS most"""
+
+
+@query("fed_bn", with_ctes(f"""
+SELECT {FED_BN_OUT} FROM (
+  SELECT a.client, a.name, a.idx, CASE WHEN a.name LIKE '%norm%' THEN a.value ELSE s.v END AS v
+  FROM fx_param a LEFT JOIN (SELECT name, idx, sum(w * value) AS v FROM pc JOIN cw USING (client)
+    WHERE name NOT LIKE '%norm%' GROUP BY name, idx) s ON a.name = s.name AND a.idx = s.idx) t
+GROUP BY client, name""", "fx_param", "pc", "cw"))
 def fed_bn(spark, d):
+    """Merge that leaves norm parameters local; per client and name the count, sums and range of all parameters."""
     p, s = params_clients(spark, d)
-    return FD.fed_bn(p, s, weights(spark, d)).select("client", "name", "idx", r6("value"))
+    out = FD.fed_bn(p, s, weights(spark, d))
+    v = F.col("value")
+    return out.groupBy("client", "name").agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.sum(v), 4).alias("total"), F.round(F.sum(v * (F.col("idx") % 97)), 3).alias("weighted"),
+        F.round(F.min(v), 6).alias("least"), F.round(F.max(v), 6).alias("most"))
 
 
 @query("prox_penalty", with_ctes(f"""
@@ -362,10 +374,11 @@ def fed_history(spark, d):
 SELECT client, k::INTEGER AS idx, round(w, 6) AS value FROM p2
 UNION ALL SELECT 'server', k::INTEGER, round(w, 6) FROM s2"""))
 def round_resume(spark, d):
-    """Persist every round, restart from the last complete round, finish the run. The folder is named
-    by the run's configuration, so another process finds the same rounds."""
-    cfg = {"input": d, "algorithm": "fedavg", "lr": 0.5, "local_steps": 1, "dims": DIMS}
-    root = ensure_checkpoint_dir(spark).rstrip("/") + f"/fed_rounds-{config_hash(cfg)}"
+    """Persist every round, restart from the last complete round, finish the run. The folder is named by the run's
+    configuration and a fingerprint of its input, so another process finds the same rounds and changed input
+    none; a finished run removes it."""
+    cfg = {"input": d, "state": fingerprint(spark, [f"{d}/embeddings.parquet"]), "algorithm": "fedavg", "lr": 0.5, "local_steps": 1, "dims": DIMS}
+    root = f"{shared_dir(spark)}/fed_rounds-{config_hash(cfg)}"
     f = X.fx_feature(spark, d)
 
     def save(r, p):
@@ -379,19 +392,104 @@ def round_resume(spark, d):
         return FD.train(f, DIMS, rounds=total - 1 - last, algorithm="fedavg", start=start, start_round=last + 1, on_round=save)
 
     resume(2)
-    return _round_out(resume(3))
+    out = cut(_round_out(resume(3)))
+    remove(spark, root)
+    return out
 
 
 def _complete_rounds(spark, root):
     """Rounds under ``root`` whose write was finished."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(root)
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(path):
-        return []
-    names = [s.getPath().getName() for s in fs.listStatus(path)]
-    done = [n for n in names if n.startswith("round=") and fs.exists(jvm.org.apache.hadoop.fs.Path(f"{root}/{n}/_SUCCESS"))]
-    return [int(n.split("=")[-1]) for n in done]
+    names = [c.rsplit("/", 1)[-1] for c in children(spark, root)]
+    return [int(n.split("=")[-1]) for n in names if n.startswith("round=") and exists(spark, f"{root}/{n}/_SUCCESS")]
+
+
+# --------------------------------------------------------------------------- mini-batches
+ADAM_LR, ADAM_BATCHES = 0.05, 3
+ADAM_ALGORITHMS = ("fedavg", "fedpxn")
+
+
+def adam_sql(src: str, algorithms, rounds: int, epochs: int, batches: int) -> str:
+    """DuckDB CTEs of the mini-batch learner over ``src`` (pid, client, x, y): ``ap<r>`` and ``as<r>`` as in learner_sql."""
+    algos = ", ".join(f"'{a}'" for a in algorithms)
+    out = [f"""aft AS MATERIALIZED (SELECT pid, client, y, unnest(list_append(x, 1.0)) AS v, unnest(range(0, {DIMS + 1})) AS k FROM {src})""",
+           f"acn AS MATERIALIZED (SELECT client, count(*) AS n, count(*) / sum(count(*)) OVER () AS share FROM {src} GROUP BY client)",
+           f"""aq0 AS MATERIALIZED (SELECT algorithm, client, k, 0.0::DOUBLE AS w, 0.0::DOUBLE AS m, 0.0::DOUBLE AS v, 0 AS t
+  FROM acn, range(0, {DIMS + 1}) r(k), (SELECT unnest([{algos}]) AS algorithm))""",
+           "as_init AS (SELECT DISTINCT algorithm, k, w FROM aq0)"]
+    last, server, i = "aq0", "as_init", 0
+    for r in range(rounds):
+        if r:
+            out.append(f"af{r} AS MATERIALIZED (SELECT algorithm, client, k, w, 0.0::DOUBLE AS m, 0.0::DOUBLE AS v, 0 AS t FROM {last})")
+            last = f"af{r}"
+        for e in range(epochs):
+            key = f"md5(CAST(pid AS VARCHAR) || '_{r}_{e}')"
+            out.append(f"""ab{r}_{e} AS MATERIALIZED (SELECT pid, client, (row_number() OVER (PARTITION BY client ORDER BY {key}, pid) - 1) * {batches}
+    // count(*) OVER (PARTITION BY client) AS b FROM {src})""")
+            for b in range(batches):
+                i += 1
+                pull = "0.0" if r == 0 or b == 0 else (f"CASE WHEN p.algorithm = 'fedpxn' OR (p.algorithm = 'fedprox' AND p.k < {DIMS}) THEN {MU}::DOUBLE * (p.w - s.w) ELSE 0.0 END")
+                out.append(f"""az{i} AS MATERIALIZED (SELECT p.algorithm, f.pid, f.client, 1.0 / (1.0 + exp(-sum(f.v * p.w))) - any_value(f.y) AS e
+  FROM aft f JOIN ab{r}_{e} o ON o.pid = f.pid AND o.client = f.client AND o.b = {b} JOIN {last} p ON f.client = p.client AND f.k = p.k GROUP BY p.algorithm, f.pid, f.client)""")
+                out.append(f"""ag{i} AS MATERIALIZED (SELECT z.algorithm, z.client, f.k, avg(f.v * z.e) AS g
+  FROM az{i} z JOIN aft f ON z.pid = f.pid AND z.client = f.client GROUP BY z.algorithm, z.client, f.k)""")
+                out.append(f"""aq{i} AS MATERIALIZED (SELECT algorithm, client, k, CASE WHEN g IS NULL THEN w ELSE
+    w - {ADAM_LR}::DOUBLE * (m / (1 - power(0.9::DOUBLE, t))) / (sqrt(v / (1 - power(0.999::DOUBLE, t))) + 1e-8::DOUBLE) END AS w, m, v, t FROM (
+  SELECT algorithm, client, k, w, g, t + CASE WHEN g IS NULL THEN 0 ELSE 1 END AS t, CASE WHEN g IS NULL THEN m ELSE 0.9::DOUBLE * m + (1 - 0.9::DOUBLE) * g END AS m,
+    CASE WHEN g IS NULL THEN v ELSE 0.999::DOUBLE * v + (1 - 0.999::DOUBLE) * g * g END AS v FROM (
+  SELECT p.algorithm, p.client, p.k, p.w, p.m, p.v, p.t, g.g + {pull} AS g
+  FROM {last} p LEFT JOIN ag{i} g USING (algorithm, client, k) LEFT JOIN {server} s ON s.algorithm = p.algorithm AND s.k = p.k) x) y)""")
+                last = f"aq{i}"
+        own = f"(a.algorithm IN ('fedbn', 'fedpxn') AND a.k = {DIMS})"
+        out.append(f"""as{r} AS MATERIALIZED (SELECT a.algorithm, a.k, CASE WHEN {own} THEN any_value(o.w) ELSE sum(a.w * c.share) END AS w
+  FROM {last} a JOIN acn c ON a.client = c.client JOIN {server} o ON o.algorithm = a.algorithm AND o.k = a.k GROUP BY a.algorithm, a.k)""")
+        out.append(f"""ap{r} AS MATERIALIZED (SELECT a.algorithm, a.client, a.k, CASE WHEN a.algorithm = 'single' OR {own} THEN a.w ELSE s.w END AS w
+  FROM {last} a JOIN as{r} s ON s.algorithm = a.algorithm AND s.k = a.k)""")
+        last, server = f"ap{r}", f"as{r}"
+    return ",\n".join(out)
+
+
+@query("fed_minibatch", _fx(adam_sql("fx_feature", ADAM_ALGORITHMS, 2, 1, ADAM_BATCHES) + """
+SELECT algorithm, client, k::INTEGER AS idx, round(w, 5) AS value FROM ap1
+UNION ALL SELECT algorithm, 'server', k::INTEGER, round(w, 5) FROM as1"""))
+def fed_minibatch(spark, d):
+    """Two rounds of one local epoch of mini-batch Adam, by each algorithm."""
+    out = None
+    for a in ADAM_ALGORITHMS:
+        p = FD.train_minibatch(X.fx_feature(spark, d), DIMS, rounds=2, batches=ADAM_BATCHES, lr=ADAM_LR, algorithm=a, mu=MU)
+        p = p.select(F.lit(a).alias("algorithm"), "client", "idx", F.round("value", 5).alias("value"))
+        out = p if out is None else out.unionByName(p)
+    return out
+
+
+@query("fed_test", _fx(f"sp AS (SELECT *, {SPLIT_SQL} AS split FROM fx_feature),\ntr AS (SELECT * FROM sp WHERE split = 'train'),\n"
+                       + adam_sql("tr", ["fedavg"], 3, 1, 2) + ",\nhp AS ("
+                       + " UNION ALL ".join(f"SELECT {r}::INTEGER AS round, client, k, w FROM ap{r}" for r in range(3)) + f"""),
+sc AS (SELECT split, round, pid, client, y, z, 1.0 / (1.0 + exp(-z)) AS score FROM (
+  SELECT f.split, h.round, f.pid, f.client, f.y, round(sum(f.v * h.w), 6) AS z
+  FROM (SELECT split, pid, client, y, unnest(list_append(x, 1.0)) AS v, unnest(range(0, {DIMS + 1})) AS k FROM sp WHERE split <> 'train') f
+  JOIN hp h ON h.client = f.client AND h.k = f.k GROUP BY f.split, h.round, f.pid, f.client, f.y) t),
+va AS (SELECT * FROM sc WHERE split = 'valid'),
+m AS ({AP_SQL.format(k="client, round, ", p="client, round", src="va", g="GROUP BY client, round")}),
+im AS (SELECT *, coalesce(auprc >= max(auprc) OVER (PARTITION BY client ORDER BY round ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS improved FROM m),
+br AS (SELECT client, max(round) FILTER (WHERE improved) AS best FROM im GROUP BY client),
+te AS (SELECT sc.* FROM sc JOIN br ON br.client = sc.client AND br.best = sc.round WHERE split = 'test')
+SELECT l.client, best AS best_round, l.loss, a.auprc FROM br JOIN
+ (SELECT client, round(avg({BCE_SQL.format(z='z', y='y')}), 6) AS loss FROM te GROUP BY client) l USING (client)
+ JOIN ({AP_SQL.format(k="client, ", p="client", src="te", g="GROUP BY client")}) a ON l.client = a.client"""))
+def fed_test(spark, d):
+    """Train on the train split, keep every round's model, and score each client's test rows once, with the
+    model of its best validated round."""
+    f = X.fx_feature(spark, d).withColumn("split", split_of())
+    rounds = []
+    FD.train_minibatch(f.where("split = 'train'"), DIMS, rounds=3, batches=2, lr=ADAM_LR,
+                       on_round=lambda r, p: rounds.append(p.where("client <> 'server'").withColumn("round", F.lit(r))))
+    valid = [FD.score(f.where("split = 'valid'"), p.drop("round"), digits=6).withColumn("round", F.lit(r)) for r, p in enumerate(rounds)]
+    m = M.average_precision(reduce(DataFrame.unionByName, valid), ["client", "round"])
+    best = cut(M.best_round(M.early_stopping(m)))
+    params = reduce(DataFrame.unionByName, rounds).join(best, "client").where("round = best_round")
+    s = FD.score(f.where("split = 'test'"), params.select("client", "idx", "value"), digits=6)
+    loss = M.mean_bce(s, ["client"]).select("client", r6("loss"))
+    return loss.join(M.average_precision(s, ["client"]).select("client", r6("auprc")), "client").join(best, "client").select("client", "best_round", "loss", "auprc")
 
 
 @query("batch_pad", with_ctes("""

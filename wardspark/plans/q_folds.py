@@ -11,7 +11,7 @@ from wardspark.plans.oracle_fx import cte, with_ctes
 from wardspark.plans.q_codes import stay_classes
 from wardspark.plans.q_cohort import abs_cohort
 from wardspark.sources import fixtures as X
-from wardspark.sources.stage import cut
+from wardspark.sources.stage import store
 
 
 def fold_labels(spark, d):
@@ -20,7 +20,7 @@ def fold_labels(spark, d):
         F.col("los_7day").alias("los7"), F.col("readmission").alias("readm"))
     dx = stay_classes(spark, d).select(F.col("stay_id").alias("pid"), F.col("classes").alias("dx"))
     # the label table is a stage output (one row per patient) read by every split
-    return cut(c.join(dx, "pid"))
+    return store(c.join(dx, "pid"), "labels")
 
 
 def client_labels(spark, d):

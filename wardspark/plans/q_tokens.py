@@ -12,7 +12,7 @@ from wardspark.plans.oracle_fx import cte, with_ctes
 from wardspark.plans.q_events import VALUE_COLS, event_stage
 from wardspark.plans.q_text import digit_split_sql, float_text_sql, spell_sql
 from wardspark.sources import fixtures as X
-from wardspark.sources.stage import cut
+from wardspark.sources.stage import store
 
 RE = K.TOKEN_RE.replace("'", "''")
 DOUBLE_COLS = {"valuenum", "dose_val", "rate"}
@@ -26,7 +26,7 @@ def ints_text(c, sep=","):
 def doc_tokens(spark, d):
     """Tokenised corpus: a stage output (vocabulary build and encoding both read it)."""
     t = X.fx_text(spark, d)
-    return cut(t.select("doc_id", K.pretokenize(T.digit_split_text(F.col("text"))).alias("toks")))
+    return store(t.select("doc_id", K.pretokenize(T.digit_split_text(F.col("text"))).alias("toks")), "doc-tokens")
 
 
 def doc_vocab(spark, d, toks=None):
@@ -36,7 +36,7 @@ def doc_vocab(spark, d, toks=None):
 
 def events_and_vocab(spark, d):
     """The canonical event table, a stage output, and the vocabulary of all its events."""
-    ev = cut(event_stage(spark, d))
+    ev = store(event_stage(spark, d), "events")
     return ev, K.build_vocab(K.event_corpus(ev, VALUE_COLS))
 
 
@@ -229,7 +229,7 @@ def event_tokens(spark, d):
 
 @query("token_budget", with_ctes('SELECT "ID", n_budget, n_events FROM tk_nb', "tk_nb"))
 def token_budget(spark, d):
-    b = event_budget(cut(event_stage(spark, d)))
+    b = event_budget(store(event_stage(spark, d), "events"))
     return b.groupBy("ID").agg(F.first("n_budget").alias("n_budget"), F.count(F.lit(1)).alias("n_events"))
 
 

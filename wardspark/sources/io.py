@@ -17,7 +17,7 @@ from pyspark.sql.types import StructType
 
 from wardspark.operators.codes import parse_whitespace_table
 from wardspark.operators.events import union_outer
-from wardspark.sources.stage import config_hash
+from wardspark.sources.stage import stage  # noqa: F401  (stage outputs under a manifest)
 
 
 def read_csv(spark: SparkSession, path: str, schema: StructType | str, header: bool = True) -> DataFrame:
@@ -38,24 +38,6 @@ def read_whitespace_table(spark: SparkSession, path: str, names: list[str]) -> D
     return parse_whitespace_table(spark.read.text(path), names)
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
-
-
-def stage(spark: SparkSession, root: str, name: str, cfg: dict, build: Callable[[], DataFrame],
-          partition_by: Sequence[str] = ()) -> DataFrame:
-    """Materialise ``build()`` once per configuration and return the stored table."""
-    path = f"{root.rstrip('/')}/{name}-{config_hash(cfg)}"
-    if not _exists(spark, f"{path}/_SUCCESS"):
-        w = build().write.mode("overwrite")
-        if partition_by:
-            w = w.partitionBy(*partition_by)
-        w.parquet(path)
-    return spark.read.parquet(path)
-
-
 def arrays_to_json(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Text export of array columns (JSON, not Python literals)."""
     return df.select(*[F.to_json(F.col(c)).alias(c) if c in cols else F.col(c) for c in df.columns])
@@ -76,14 +58,20 @@ def to_smallint(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return out
 
 
-def write_partitioned(df: DataFrame, path: str, key: str, pid: str, mode: str = "overwrite", files: int | None = None) -> None:
-    """One dataset partitioned by ``key`` (client or source), pid-sorted inside each file. A key's rows
-    are dealt over up to ``files`` tasks by a hash of pid, so one client's size bounds no task."""
+def write_partitioned(df: DataFrame, path: str, key: str, pid: str, mode: str = "overwrite", files: int | None = None,
+                      group_bytes: int = 8 << 20) -> None:
+    """One dataset partitioned by ``key`` (client or source), laid out for access by pid.
+
+    Rows are dealt over up to ``files`` ranges of (key, pid), so one client's size bounds no task, a file of a client
+    holds one range of its pids, and a row group of ``group_bytes`` one part of that range. The groups' statistics, and a
+    Bloom filter on pid for texts and hashes whose ranges overlap, let a read of one pid skip all groups but its own.
+    """
     n = files or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    (df.withColumn("_deal", F.pmod(F.xxhash64(pid), F.lit(n))).repartition(n, key, "_deal").drop("_deal")
-       .sortWithinPartitions(key, pid).write.mode(mode).partitionBy(key).parquet(path))
+    (df.repartitionByRange(n, key, pid).sortWithinPartitions(key, pid).write.mode(mode).partitionBy(key)
+       .option(f"parquet.bloom.filter.enabled#{pid}", "true").option("parquet.block.size", str(group_bytes)).parquet(path))
 
 
 def read_sample(spark: SparkSession, path: str, key: str, value: str, pid: str, pid_value) -> DataFrame:
-    """Random access to one sample: partition pruning on ``key`` + pushed filter on pid."""
+    """Random access to one sample: partition pruning on ``key``, then row groups by their statistics and
+    Bloom filters on pid."""
     return spark.read.parquet(path).where((F.col(key) == value) & (F.col(pid) == pid_value))
