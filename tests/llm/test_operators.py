@@ -74,7 +74,9 @@ def shingles(text, k):
     return frozenset(tuple(w[a:a + k]) for a in range(len(w) - k + 1)) if len(w) >= k else frozenset([tuple(w)] if w else [])
 
 
-def groups(rows, k, percent):
+def groups(rows, k, percent, by_row=False):
+    """Shingle sets, and the smallest doc_id of each row's group (``by_row``: the first row's index; equal rows
+    without a word are one)."""
     sets = [shingles(t, k) for _, t in rows]
     up = list(range(len(rows)))
 
@@ -89,6 +91,8 @@ def groups(rows, k, percent):
             if sets[a] and 100 * same >= percent * (len(sets[a]) + len(sets[b]) - same):
                 x, y = sorted((root(a), root(b)))
                 up[y] = x
+    if by_row:
+        return sets, [root(a) if sets[a] else rows.index(rows[a]) for a in range(len(rows))]
     return sets, [rows[root(a)][0] for a in range(len(rows))]
 
 
@@ -396,3 +400,57 @@ def test_empty_tables(spark, none):
 def test_every_operator_is_registered():
     assert sorted(int(re.match(r"op(\d+)_", k)[1]) for k in QUERIES) == list(range(1, 11))
     assert set(ORACLE) <= set(QUERIES)
+
+
+def test_merkle_next_of_large_ids(spark):
+    rows = [((1 << 53) + i, f"text number {i} of several. And more.") for i in range(12)] + [(-(1 << 63), "least"), (None, "none"), ((1 << 63) - 1, "greatest")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    order = sorted((r for r in rows if r[0] is not None), key=lambda r: -r[0]) + [(None, "none")]
+    want = {i: hashlib.sha256(merkle.edited(t, order[(a + 1) % len(order)][1]).encode()).hexdigest() for a, (i, t) in enumerate(order)}
+    assert {r.doc_id: r.edited_sha256 for r in merkle.fingerprint_pairs(docs).collect()} == want
+
+
+def test_rlz_of_many_equal_rows(spark):
+    spark.conf.set("spark.sql.shuffle.partitions", 4)
+    text = " ".join(f"w{i % 50}" for i in range(400))
+    for ids in ([5] * 2000, [None] * 2000):
+        docs = spark.createDataFrame([(i, text) for i in ids] + [(9, "x " + text)], "doc_id bigint, text string").repartition(4)
+        got = Counter((r.doc_id, r.n_words, r.n_removed) for r in rlz.dedup_substrings(docs).select("doc_id", "n_words", "n_removed").collect())
+        assert sum(got.values()) == 2001 and got[(ids[0], 400, 350 if ids[0] else 400)] == 2000
+
+
+def test_tiles_of_repeated_words_are_found_along_diagonals(monkeypatch):
+    rng = np.random.default_rng(6)
+    for _ in range(60):
+        a, b = rng.integers(0, 3, rng.integers(3, 30)).astype(np.uint64), rng.integers(0, 3, rng.integers(3, 60)).astype(np.uint64)
+        listed = tiling.tile(a, b, 3)
+        monkeypatch.setattr(tiling, "PAIRS_HELD", -1)
+        assert tiling.tile(a, b, 3) == listed
+        monkeypatch.undo()
+    same = np.zeros(1_000_000, dtype=np.uint64)
+    assert tiling.tile(same[:200], same, 4) == [(0, 0, 200)]
+
+
+def test_tiling_of_items_without_an_id(spark):
+    item = " ".join(f"item{i}" for i in range(30))
+    bench = spark.createDataFrame([(None, item), (-1, item)], "item_id bigint, text string")
+    docs = spark.createDataFrame([(1, "before " + item, 3, "x"), (2, None, 3, "x")], "doc_id bigint, text string, item_id int, tiles string")
+    assert {(r.doc_id, r.item_id) for r in tiling.contaminated_pairs(docs, bench).collect()} == {(1, None), (1, -1)}
+    none = docs.limit(0)
+    assert tiling.contaminated_pairs(none, bench).count() == 0 and tiling.clean_documents(none, bench).columns == docs.columns
+
+
+def test_license_scan_of_long_runs(spark):
+    rows = [(1, "." * 1_000_000 + "x"), (2, "\n" * 1_000_000 + "x"), (3, " \n" * 500_000 + "x"), (4, "a. " * 300_000 + "\nReleased under the MIT License.\n"), (5, "!?" * 400_000)]
+    got = {r.doc_id: r.licenses for r in licenses.scan(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == {1: "", 2: "", 3: "", 4: "MIT", 5: ""}
+
+
+def test_toxicity_of_repeated_rows_and_clashing_columns(spark):
+    rows = [(i, f"plain words number{i} " + ("vile" if i % 4 == 0 else "kind"), 1, "x", 2) for i in range(400)] * 2 + [(7, "another text of that id", 1, "x", 2)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, toxic int, _t string, f int")
+    labels = spark.createDataFrame([(i, int(i % 4 == 0), "x") for i in range(400)] * 2, "doc_id bigint, toxic int, text string")
+    ex = toxicity.examples(docs, labels).collect()
+    assert len(ex) == len({r.doc_id for r in ex}) == len({r.text for r in ex})
+    got = toxicity.score_documents(docs, labels).collect()
+    assert len(got) == 801 and all(r.predicted == int(r.doc_id % 4 == 0) for r in got if r.doc_id != 7)

@@ -8,15 +8,9 @@ points of an R-tree node, at most the sum of minima with the node's upper corner
 One R-tree over everything would have to open nearly all nodes for every query (random texts of like
 length have like counts in every group), so the tree has an exact routing level above it: n-grams are
 put in one global order, rare ones first, and two sets that reach the threshold share one of the first
-n - ceil(t n) + 1 n-grams of each. Classes meet in the cells of those n-grams only; cells with the same
-members are one cell. In each cell an R-tree (sorted by size, packed bottom up) is joined with itself:
-node pairs and then point pairs whose bound is below the need are skipped, survivors are verified on
-the full sets.
-
-Round one verifies a spanning forest of each cell's survivors, strongest bound first, and joins what
-links; round two verifies every survivor whose ends are still in different components. After it every
-pair above the threshold is linked or inside one component, and no round emits all pairs of a group
-of near copies. Cells of more than ``CELL`` members are joined in pairs of blocks.
+n - ceil(t n) + 1 n-grams of each. Classes meet in the cells of those n-grams only (``cells``). In each cell an
+R-tree (sorted by size, packed bottom up) is joined with itself: node pairs and then point pairs whose bound is
+below the need are skipped; survivors are verified on the full sets, as ``cells`` says.
 
 The order of n-grams only steers the amount of work: it is fitted on a bounded sample of about
 ``SAMPLE`` documents, whose n-grams found ``FREQUENT`` times or more count as frequent (at most
@@ -34,35 +28,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wardspark.llm.common import NULL_ID, ids_of, mix64, pack, parallelism, range_hash, slices, stage, take_columns, unpack, word_hashes, word_spans
-from wardspark.llm.components import components
+from wardspark.llm.cells import class_of, linked, need, shingle_sets
+from wardspark.llm.common import mix64, pack, slices, take_columns, unpack
 
 GROUPS = 128                   # at least; larger sets get more, so that a group holds four to eight n-grams
 NODE = 16
-CELL = 2048
 SAMPLE, FREQUENT, MAX_FREQUENT = 20_000, 3, 500_000
-BLOCKS_PER_PARTITION = 4
-CLASS, ENTRIES = 0, 1
-
-
-def shingle_sets(data: np.ndarray, offs: np.ndarray, k: int) -> list[np.ndarray]:
-    """Sorted distinct n-gram hashes of each row."""
-    starts, ends, first = word_spans(data, offs)
-    words = word_hashes(data, starts, ends, fold=True)
-    n = np.diff(first)
-    count = np.where(n >= k, n - k + 1, np.minimum(n, 1))
-    at = np.repeat(first[:-1] - (np.cumsum(count) - count), count) + np.arange(count.sum())
-    h = range_hash(words, at, at + np.repeat(np.minimum(n, k), count))
-    cut = np.cumsum(count)
-    return [np.unique(x) for x in np.split(h, cut[:-1])]
-
-
-def class_key(s: np.ndarray) -> int:
-    """One 64-bit key of a set, from two independent sums over its members and its size."""
-    if len(s) == 0:
-        return 0
-    a, b = (np.array([mix64(x).sum(dtype=np.uint64)]) for x in (s, s ^ np.uint64(0xA0761D6478BD642F)))
-    return int(mix64(a ^ (b * np.uint64(0x9E3779B97F4A7C15) + np.uint64(len(s)))).view(np.int64)[0])
 
 
 def groups(n: int) -> int:
@@ -90,107 +61,6 @@ def _rare_first(s: np.ndarray, frequent: np.ndarray) -> np.ndarray:
     return np.concatenate([s[~often], s[often]])
 
 
-ROUTE = [("e_gram", np.uint64), ("e_class", np.int64), ("e_n", np.uint32)]
-ROUTED = "kind int, block int, doc_id bigint, class bigint, n int, point binary, e_gram binary, e_class binary, e_n binary"
-
-
-def _route(k: int, percent: int, blocks: int, frequent):
-    def run(batches):
-        often = frequent.value
-        for batch in batches:
-            ids = ids_of(batch.column(0))
-            keys, sizes, points, grams, owners, counts, seen = [], [], [], [], [], [], set()
-            for _, _, data, offs in slices(batch.column(1)):
-                for s in shingle_sets(data, offs, k):
-                    key = class_key(s)
-                    keys.append(key)
-                    sizes.append(len(s))
-                    if len(s) == 0 or key in seen:
-                        points.append(None)
-                        continue
-                    seen.add(key)
-                    points.append(pack(point(s)))
-                    g = _rare_first(s, often)[:prefix_length(len(s), percent)]
-                    grams.append(g)
-                    owners.append(np.full(len(g), key, dtype=np.int64))
-                    counts.append(np.full(len(g), len(s), dtype=np.uint32))
-            n = len(keys)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(n, CLASS, np.int32)), pa.array(np.arange(n, dtype=np.int32) % blocks), pa.array(ids), pa.array(keys, pa.int64()),
-                 pa.array(sizes, pa.int32()), pa.array(points, pa.binary()), *[pa.nulls(n, pa.binary())] * 3],
-                [x.split()[0] for x in ROUTED.split(", ")])
-            if not grams:
-                continue
-            gram, owner, size = np.concatenate(grams), np.concatenate(owners), np.concatenate(counts)
-            block = (gram % np.uint64(blocks)).astype(np.int32)
-            by = np.argsort(block, kind="stable")
-            gram, owner, size, block = gram[by], owner[by], size[by], block[by]
-            cuts = np.flatnonzero(np.diff(block, prepend=-1, append=blocks + 1))
-            rows = [(block[a], pack(gram[a:b]), pack(owner[a:b]), pack(size[a:b])) for a, b in zip(cuts[:-1], cuts[1:])]
-            m = len(rows)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(m, ENTRIES, np.int32)), pa.array([r[0] for r in rows], pa.int32()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()),
-                 pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary()), *[pa.array([r[c] for r in rows], pa.binary()) for c in (1, 2, 3)]],
-                [x.split()[0] for x in ROUTED.split(", ")])
-    return run
-
-
-MET = "kind int, doc_id bigint, class bigint, n int, point binary, cell bigint"
-
-
-def _meet(percent: int):
-    return lambda batches: _cells_of(batches, percent)
-
-
-def _cells_of(batches, percent: int):
-    """Blocks of the routing level: class rows pass. The classes of an n-gram, by size, are cut
-    where the next is too large to reach the threshold with the one before; runs of two or more are
-    cells, named by their members, so cells with the same members are the same."""
-    held = []
-    names = ["kind", "doc_id", "class", "n", "point", "cell"]
-    for batch in batches:
-        kind = batch.column(0).to_numpy()
-        classes = batch.filter(pa.array(kind == CLASS))
-        if classes.num_rows:
-            yield pa.RecordBatch.from_arrays([classes.column(0), classes.column(2), classes.column(3), classes.column(4), classes.column(5), pa.nulls(classes.num_rows, pa.int64())], names)
-        mine = batch.filter(pa.array(kind == ENTRIES))
-        for i in range(mine.num_rows):
-            held.append([unpack(mine.column(c)[i].as_buffer(), t) for c, t in ROUTE])
-    if not held:
-        return
-    gram, owner, size = (np.concatenate(c) for c in zip(*held))
-    held.clear()
-    order = np.lexsort((owner, size, gram))
-    gram, owner, size = gram[order], owner[order], size[order].astype(np.int64)
-    keep = np.ones(len(gram), dtype=bool)
-    keep[1:] = (gram[1:] != gram[:-1]) | (owner[1:] != owner[:-1])
-    gram, owner, size = gram[keep], owner[keep], size[keep]
-    new = np.ones(len(gram), dtype=bool)
-    new[1:] = (gram[1:] != gram[:-1]) | (100 * size[:-1] < percent * size[1:])
-    lead = np.flatnonzero(new)
-    count = np.diff(np.append(lead, len(gram)))
-    many = np.repeat(count > 1, count)
-    owner, count = owner[many], count[count > 1]
-    if not len(owner):
-        return
-    lead = np.cumsum(count) - count
-    mixed = mix64(owner.view(np.uint64))
-    name = mix64(np.add.reduceat(mixed, lead) ^ mix64(np.bitwise_xor.reduceat(mix64(mixed + np.uint64(1)), lead) + count.astype(np.uint64)))
-    _, one = np.unique(name, return_index=True)
-    pick = np.zeros(len(count), dtype=bool)
-    pick[one] = True
-    rows = np.repeat(pick, count)
-    cell, owner = np.repeat(name, count)[rows].view(np.int64), owner[rows]
-    for i in range(0, len(cell), 1 << 16):
-        c, o = cell[i:i + (1 << 16)], owner[i:i + (1 << 16)]
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(c), ENTRIES, np.int32)), pa.nulls(len(c), pa.int64()), pa.array(o), pa.nulls(len(c), pa.int32()), pa.nulls(len(c), pa.binary()), pa.array(c)], names)
-
-
-def need(n, m, percent: int):
-    """Smallest overlap at which 100 overlap >= percent union."""
-    return -(-percent * (n + m) // (100 + percent))
-
-
 def tree_join(points: np.ndarray, sizes: np.ndarray, left: np.ndarray, right: np.ndarray, percent: int):
     """Survivors (i, j, bound) of the join of two point sets, given as row indexes. Both are sorted by
     size and packed into nodes; a node pair is opened only if sizes can fit and the sum of minima of
@@ -236,119 +106,6 @@ def join_by_groups(points: list[np.ndarray], sizes: np.ndarray, side: np.ndarray
     return tuple(np.concatenate(c) for c in zip(*found))
 
 
-def _forest(i, j, bound, label) -> np.ndarray:
-    """Indexes of the pairs of a maximum spanning forest over the labels."""
-    up: dict = {}
-
-    def root(x):
-        while up.setdefault(x, x) != x:
-            up[x] = up[up[x]]
-            x = up[x]
-        return x
-
-    keep = []
-    for e in np.argsort(-bound, kind="stable"):
-        a, b = root(label[i[e]]), root(label[j[e]])
-        if a != b:
-            up[a] = b
-            keep.append(e)
-    return np.array(keep, dtype=np.int64)
-
-
-def _join_cells(percent: int, all_pairs: bool):
-    """Rows (cell, x, y, side, class, comp, n, point) sorted by cell and block pair -> pairs."""
-    def flush(rows):
-        side, cls, comp, size, raw = zip(*rows)
-        cls, comp, size, side = np.array(cls), np.array(comp), np.array(size, dtype=np.int64), np.array(side)
-        lone = not side.any()
-        i, j, bound = join_by_groups([unpack(p, np.uint16) for p in raw], size, side, lone, percent)
-        other = comp[i] != comp[j] if not lone else (comp[i] != comp[j]) & (i < j)
-        i, j, bound = i[other], j[other], bound[other]
-        if not all_pairs:
-            e = _forest(i, j, bound, comp)
-            i, j = i[e], j[e]
-        return np.minimum(cls[i], cls[j]), np.maximum(cls[i], cls[j])
-
-    def run(batches):
-        now, rows, out, size = None, [], [], 0
-        for batch in batches:
-            key = list(zip(*(batch.column(c).to_pylist() for c in range(3))))
-            body = zip(*(batch.column(c).to_pylist() for c in range(3, 8)))
-            for k, r in zip(key, body):
-                if k != now and rows:
-                    out.append(flush(rows))
-                    size += len(out[-1][0])
-                    rows = []
-                    if size > 1 << 15:
-                        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], ["a", "b"])
-                        out, size = [], 0
-                now = k
-                rows.append(r)
-        if rows:
-            out.append(flush(rows))
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in zip(*out)], ["a", "b"])
-    return run
-
-
-def candidates(cells: DataFrame, labels: DataFrame, percent: int, all_pairs: bool) -> DataFrame:
-    """Pairs (a, b) of classes to verify. ``cells``: (cell, class, n, point, members); ``labels``:
-    (class, comp) of linked classes."""
-    n = parallelism(cells.sparkSession)
-    c = cells.join(labels, "class", "left").withColumn("comp", F.coalesce("comp", "class"))
-    if all_pairs:
-        open_ = c.groupBy("cell").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).where("_lo != _hi").select("cell")
-        c = c.join(open_, "cell")
-    blocks = F.ceil(F.col("members") / CELL).cast("int")
-    mine = F.pmod(F.xxhash64("class"), blocks).cast("int")
-    lower = F.transform(F.sequence(F.lit(0), mine), lambda x: F.struct(x.alias("x"), mine.alias("y"), F.when(x == mine, 0).otherwise(1).alias("side")))
-    upper = F.when(mine + 1 < blocks, F.transform(F.sequence(mine + 1, blocks - 1), lambda y: F.struct(mine.alias("x"), y.alias("y"), F.lit(0).alias("side"))))
-    pairs = F.concat(lower, F.coalesce(upper, F.array().cast("array<struct<x:int,y:int,side:int>>")))
-    dealt = c.withColumn("_p", F.explode(pairs)).select("cell", F.col("_p.x").alias("x"), F.col("_p.y").alias("y"), F.col("_p.side").alias("side"), "class", "comp", "n", "point")
-    return dealt.repartition(n, "cell", "x", "y").sortWithinPartitions("cell", "x", "y", "class").mapInArrow(_join_cells(percent, all_pairs), "a bigint, b bigint").distinct()
-
-
-def _sets(k: int):
-    """The n-gram set of each class, from a text of it (another text under the same id is dropped)."""
-    def run(batches):
-        for batch in batches:
-            wanted, at, keep, packed = batch.column(0).to_pylist(), 0, [], []
-            for _, _, data, offs in slices(batch.column(1)):
-                for s in shingle_sets(data, offs, k):
-                    if class_key(s) == wanted[at]:
-                        keep.append(wanted[at])
-                        packed.append(pack(s))
-                    at += 1
-            yield pa.RecordBatch.from_arrays([pa.array(keep, pa.int64()), pa.array(packed, pa.binary())], ["class", "grams"])
-    return run
-
-
-def class_of(k: int):
-    """Arrow function: the class key of each text."""
-    @F.arrow_udf("bigint")
-    def run(col: pa.Array) -> pa.Array:
-        return pa.array([class_key(x) for _, _, data, offs in slices(col) for x in shingle_sets(data, offs, k)], pa.int64())
-    return run
-
-
-def _verify(percent: int):
-    def run(batches):
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                a, b = unpack(x.as_buffer(), np.uint64), unpack(y.as_buffer(), np.uint64)
-                same = len(np.intersect1d(a, b, assume_unique=True))
-                keep.append(100 * same >= percent * (len(a) + len(b) - same))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
-    return run
-
-
-def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    a = sets.select(F.col("class").alias("a"), F.col("grams").alias("ga"))
-    b = sets.select(F.col("class").alias("b"), F.col("grams").alias("gb"))
-    return pairs.join(a, "a").join(b, "b").select("a", "b", "ga", "gb").mapInArrow(_verify(percent), "a bigint, b bigint")
-
-
 def _sample_grams(k: int):
     def run(batches):
         for batch in batches:
@@ -366,6 +123,18 @@ def frequent_grams(d: DataFrame, k: int) -> np.ndarray:
     return np.sort(top.view(np.uint64))
 
 
+def _describe(percent: int, frequent):
+    """In a task: sets -> (point, n-grams of the routing level)."""
+    def start():
+        often = frequent.value
+        return lambda sets: [(pack(point(s)), _rare_first(s, often)[:prefix_length(len(s), percent)]) for s in sets]
+    return start
+
+
+def _survivors(marks, sizes, side, lone, percent):
+    return join_by_groups([unpack(m, np.uint16) for m in marks], sizes, side, lone, percent)
+
+
 def link_documents(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
     """-> (doc_id, n_shingles, component_id, class): documents whose n-gram sets have a Jaccard
     similarity of ``percent`` or more are linked; the component is its smallest doc_id."""
@@ -374,58 +143,23 @@ def link_documents(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
 
 def _linked(docs: DataFrame, k: int, percent: int) -> DataFrame:
     """link_documents with ``comp``, the smallest class of the component."""
-    spark = docs.sparkSession
-    n = parallelism(spark)
-    d = take_columns(docs, "doc_id", "text")
-    often = spark.sparkContext.broadcast(frequent_grams(d, k))
-    routed = d.mapInArrow(_route(k, percent, n * BLOCKS_PER_PARTITION, often), ROUTED)
-    met = stage(routed.repartition(n, "block").mapInArrow(_meet(percent), MET), "ngram-met")
-
-    rows = met.where(F.col("kind") == CLASS).select("doc_id", "class", "n", "point")
-    classes = rows.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.max("point").alias("point"))
-    cells = met.where(F.col("kind") == ENTRIES).select("cell", "class").distinct()
-    met_in = cells.select("class").distinct()
-    points = stage(classes.join(met_in, "class"), "ngram-points")
-    members = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("members"))
-    cells = stage(cells.join(members, "cell").join(points.drop("rep"), "class"), "ngram-cells")
-
-    none = spark.createDataFrame([], "class bigint, comp bigint")
-    first = stage(candidates(cells, none, percent, False), "ngram-pairs")
-    text = d.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("rep"), "text")
-    # a forest touches every class that has a survivor, so round two needs no other sets
-    paired = first.select(F.col("a").alias("class")).union(first.select("b")).distinct()
-    wanted = points.join(paired, "class").select("rep", "class")
-    by_id = text.where(F.col("rep") != NULL_ID).join(wanted, "rep").select("class", "text")
-    # rows without an id share one key, so they are met by class
-    no_id = text.where(F.col("rep") == NULL_ID).select(class_of(k)("text").alias("class"), "text").dropDuplicates(["class"])
-    no_id = no_id.join(wanted.where(F.col("rep") == NULL_ID), "class").select("class", "text")
-    sets = stage(by_id.union(no_id).mapInArrow(_sets(k), "class bigint, grams binary"), "ngram-sets")
-    links = stage(verify(first, sets, percent), "ngram-links")
-    labels = components(links).withColumnRenamed("node", "class")
-    second = candidates(cells, labels, percent, True).join(first, ["a", "b"], "left_anti")
-    more = stage(verify(second, sets, percent), "ngram-links")
-    labels = components(links.union(more)).select(F.col("node").alias("class"), "comp")
-
-    smallest = rows.where("n > 0").join(labels, "class", "left").withColumn("comp", F.coalesce("comp", "class"))
-    per_class = classes.select("class", "rep").join(labels, "class", "left").withColumn("comp", F.coalesce("comp", "class"))
-    per_comp = per_class.groupBy("comp").agg(F.min("rep").alias("component_id"))
-    out = smallest.join(per_comp, "comp").select("doc_id", F.col("n").cast("bigint").alias("n_shingles"), "component_id", "class", "comp")
-    empty = rows.where("n = 0").select("doc_id", F.lit(0).cast("bigint").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(0).cast("bigint").alias("class"), F.lit(0).cast("bigint").alias("comp"))
-    out = out.unionByName(empty)
-    return out.withColumns({c: F.when(F.col(c) != NULL_ID, F.col(c)) for c in ("doc_id", "component_id")})
+    often = docs.sparkSession.sparkContext.broadcast(frequent_grams(take_columns(docs, "doc_id", "text"), k))
+    return linked(docs, k, percent, _describe(percent, often), _survivors, "ngram")
 
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """One document of each group of linked ones, that of the smallest id; repeated rows stay once;
-    of rows that share an id and differ in text all stay where one does. Of a group without any id
-    one row of its smallest class stays. All columns stay as they were."""
-    kept = _linked(docs, k, percent).where(F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("doc_id").isNotNull() | (F.col("class") == F.col("comp"))))
-    kept = kept.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("_k"), F.when(F.col("doc_id").isNull(), F.col("class")).otherwise(0).alias("_c")).distinct()
+    """One row of each group of linked ones: that of the smallest id (null ids last), of its rows that of the smallest
+    class, and of its copies under that id one. Rows without a word stay, equal ones once. All columns stay as they were."""
+    rows = _linked(docs, k, percent)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "class")).alias("_r")
+    kept = rows.where("n_shingles > 0").groupBy("comp").agg(first).select(F.col("_r.doc_id").alias("_k"), F.col("_r.class").alias("_c"))
+    kept = kept.union(rows.where("n_shingles = 0").select("doc_id", F.lit(0).cast("bigint")).distinct())
+    # the class of a row tells it from others under its id; where an id has one class, its text isn't read
+    ids = rows.groupBy(F.col("doc_id").alias("_i")).agg((F.min("class") != F.max("class")).alias("_many"))
+    kept = kept.join(ids, F.col("_k").eqNullSafe(F.col("_i"))).select("_k", "_c", "_many")
     plain = [F.col(f"`{c}`") for c, t in docs.dtypes if "map<" not in t]
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), F.coalesce(F.col("`doc_id`"), F.lit(NULL_ID)).alias("_k"),
-                         F.xxhash64(F.col("`text`")).alias("_t"), F.xxhash64(*plain).alias("_o"))
-    # the class of a row without an id; the others' text isn't sent (an empty text is class 0)
-    packed = packed.withColumn("_c", class_of(k)(F.when(F.col("_k") == NULL_ID, F.col("_doc.text"))))
-    packed = packed.withColumn("_t", F.when(F.col("_c") == 0, F.col("_t")).otherwise(0))
-    w = Window.partitionBy("_k", "_c", "_t").orderBy("_o")
-    return packed.join(kept, ["_k", "_c"]).withColumn("_i", F.row_number().over(w)).where("_i = 1").select("_doc.*")
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), F.col("`doc_id`").alias("_id"), F.xxhash64(F.col("`text`")).alias("_t"), F.xxhash64(*plain).alias("_o"))
+    met = packed.join(kept, F.col("_id").eqNullSafe(F.col("_k")))
+    met = met.withColumn("_own", class_of(k)(F.when(F.col("_many"), F.col("_doc.text")))).where("not _many or _own = _c")
+    w = Window.partitionBy("_k", "_c", F.when(F.col("_c") == 0, F.col("_t")).otherwise(0)).orderBy("_o")
+    return met.withColumn("_n", F.row_number().over(w)).where("_n = 1").select("_doc.*")
