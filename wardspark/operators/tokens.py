@@ -17,7 +17,7 @@ from collections.abc import Sequence
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from wardspark.functions import text as T
@@ -200,6 +200,16 @@ def sequences(df: DataFrame, max_events: int = MAX_EVENTS, key: str = "ID", orde
                     F.transform("_e", lambda e: e["dpes"]).alias("dpes"))
 
 
+def observe_budget(df: DataFrame, seen: Observation, max_events: int = MAX_EVENTS, order: str = "ORDER") -> DataFrame:
+    """``df`` (with ``in_budget``, ``n_budget``) unchanged; when it runs, ``seen`` counts what the sequences keep and
+    discard, without another scan: patients (by their first event) and events."""
+    long, fits = F.col("n_budget") > max_events, F.col("in_budget")
+    first = F.col(order) == 1
+    return df.observe(seen, F.count_if(first & ~long).alias("patients_kept"), F.count_if(first & long).alias("patients_discarded"),
+                      F.count_if(fits & ~long).alias("events_kept"), F.count_if(~fits & ~long).alias("events_beyond_budget"),
+                      F.count_if(long).alias("events_of_discarded"))
+
+
 # ----------------------------------------------------------------------------- fixed shape
 def fixed_event(ids: Column, types: Column, dpes: Column, width: int = MAX_WORDS) -> Column:
     """One event -> array<struct<i,t,d>> of exactly ``width``: CLS first; if it does not fit,

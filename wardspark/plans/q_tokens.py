@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from wardspark.functions import text as T
@@ -248,6 +249,27 @@ def event_sequence(spark, d):
     return s.select("ID", F.col("n_events").cast("bigint").alias("n_events"), F.md5(txt).alias("seq_md5"))
 
 
+SHORT = 12   # events of a sequence, for the report on what is discarded
+
+
+@query("seq_discards", with_ctes(f"""
+SELECT count(*) FILTER (WHERE k = 1 AND n <= {SHORT}) AS patients_kept, count(*) FILTER (WHERE k = 1 AND n > {SHORT}) AS patients_discarded,
+  count(*) FILTER (WHERE in_budget AND n <= {SHORT}) AS events_kept, count(*) FILTER (WHERE NOT in_budget AND n <= {SHORT}) AS events_beyond_budget,
+  count(*) FILTER (WHERE n > {SHORT}) AS events_of_discarded, count(DISTINCT "ID") FILTER (WHERE n <= {SHORT} AND in_budget) AS sequences
+FROM (SELECT "ID", "ORDER" AS k, in_budget, count(*) FILTER (WHERE in_budget) OVER (PARTITION BY "ID") AS n FROM (
+  SELECT "ID", "ORDER", sum(len(types)) OVER (PARTITION BY "ID" ORDER BY "ORDER" ROWS UNBOUNDED PRECEDING) <= 298 AS in_budget FROM tk_event) a) b""", "tk_event"))
+def seq_discards(spark, d):
+    """What the sequences keep and discard, counted while they are built and stored: a budget of 300 tokens and
+    12 events."""
+    ev, vocab = events_and_vocab(spark, d)
+    lengths = K.event_parts(ev, VALUE_COLS).select("ID", "ORDER", (F.size("_tok") + 1).alias("_len"))
+    seen = Observation("discards")
+    fits = K.observe_budget(K.budget(lengths, max_len=300), seen, SHORT).where(F.col("in_budget") & (F.col("n_budget") <= SHORT))
+    stored = store(K.sequences(K.event_tokens(ev.join(fits, ["ID", "ORDER"]), VALUE_COLS, vocab), SHORT), "sequences")
+    names = ("patients_kept", "patients_discarded", "events_kept", "events_beyond_budget", "events_of_discarded")
+    return stored.agg(F.count(F.lit(1)).alias("sequences")).select(*[F.lit(seen.get[n]).cast("bigint").alias(n) for n in names], "sequences")
+
+
 def _struct_text(arr):
     return F.array_join(F.transform(arr, lambda s: F.concat_ws(":", s["i"].cast("string"), s["t"].cast("string"),
                                                              s["d"].cast("string"))), ",")
