@@ -77,10 +77,18 @@ def merkle_fingerprints(spark: SparkSession, d: str) -> DataFrame:
     return fingerprint_pairs(read(spark, d, "documents"))
 
 
-@query("op3_rlz_dedup")
+@query("op3_rlz_dedup", r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+p AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM w),
+s AS (SELECT doc_id, unnest(range(1, len(w) - 18)) AS i, unnest(list_transform(range(1, len(w) - 18), lambda i: array_to_string(w[i:i + 19], ' '))) AS t FROM w WHERE len(w) >= 20),
+f AS (SELECT doc_id, i, row_number() OVER (PARTITION BY t ORDER BY doc_id, i) > 1 AS late FROM s),
+c AS (SELECT p.*, coalesce(max(CASE WHEN f.late THEN 1 ELSE 0 END) OVER (PARTITION BY p.doc_id ORDER BY p.i ROWS BETWEEN 19 PRECEDING AND CURRENT ROW), 0) = 1 AS cut
+  FROM p LEFT JOIN f ON f.doc_id = p.doc_id AND f.i = p.i),
+k AS (SELECT doc_id, count(*) AS n, count(*) FILTER (WHERE cut) AS gone, string_agg(word, ' ' ORDER BY i) FILTER (WHERE NOT cut) AS kept FROM c GROUP BY doc_id)
+SELECT w.doc_id, coalesce(n, 0)::BIGINT AS n_words, coalesce(gone, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN k USING (doc_id)""")
 def rlz_dedup(spark: SparkSession, d: str) -> DataFrame:
     from wardspark.llm.rlz import dedup_substrings
-    return dedup_substrings(read(spark, d, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256", F.size("factors").alias("n_factors"))
+    return dedup_substrings(read(spark, d, "documents")).drop("factors")
 
 
 @query("op9_ngram_components", cells.oracle(4, 85))
