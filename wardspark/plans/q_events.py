@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 from wardspark.operators import events as V
 from wardspark.operators.buckets import bucketize_values, dense_rank_by
 from wardspark.plans.catalog import query
+from wardspark.plans import q_cohort  # noqa: F401  (registers the cohort CTE fragments)
 from wardspark.plans.oracle_fx import cte, with_ctes
 from wardspark.sources import fixtures as X
 from wardspark.sources.stage import store
-from wardspark.spec import TableSpec
+from wardspark.spec import TableSpec, sources_from_config
 
 WINDOW_MIN = 7200  # observation window of the fixture (12 h would leave ~1 event per id)
 
@@ -284,3 +285,69 @@ def code_events(spark, d):
     s = V.code_event(event_stage(spark, d), VALUE_COLS)
     return s.select("event_id", F.array_join("event_list", " ").alias("event_list"),
                     F.array_join("type_list", " ").alias("type_list"))
+
+
+# ------------------------------------------------------------------------ sources from specs
+CONFIG = [
+    {"name": "abs", "flavour": "absolute", "window_minutes": WINDOW_MIN, "tables": [
+        {"name": "LABEVENTS", "time_column": "charttime", "id_column": "SUBJ", "time_excluded": ["storetime"], "id_excluded": ["row_id"],
+         "code_column": "itemid", "value_columns": ["valuenum"], "selected": ["itemid", "valuenum"], "dictionary": True},
+        {"name": "PRESCRIPTIONS", "time_column": "starttime", "id_column": "SUBJ", "value_columns": ["dose_val"], "category_columns": ["route"],
+         "selected": ["dose_val", "route"]}]},
+    {"name": "rel", "flavour": "relative", "relative_time": True, "window_minutes": 4000, "min_events": 5, "tables": [
+        {"name": "lab", "time_column": "t", "id_column": "pid", "code_column": "code", "category_columns": ["code"], "selected": ["code"]}]},
+    {"name": "anc", "flavour": "anchored", "window_minutes": 5000, "min_events": 2, "tables": [
+        {"name": "INPUTEVENTS", "time_column": "starttime", "id_column": "SUBJ", "id_excluded": ["row_id"], "value_columns": ["rate"], "selected": ["rate", "rateuom"]}],
+     "cohort": {"gap_hours": 2, "pred_hours": 24, "los_inclusive": True, "mortality_out_bound": False, "discharge_uses_gap": True, "death_location": "DIED"}},
+]
+
+
+def sources(spark, d):
+    from wardspark.functions.clinical import minutes_between
+    from wardspark.operators.sources import Inputs
+    from wardspark.plans.q_cohort import anchored_inputs
+    stays = X.fx_event_stay(spark, d)
+    rel = X.fx_event(spark, d).where("tab = 'lab'").join(stays, "id").select("event_id", F.col("id").alias("pid"), minutes_between("intime", "ts").alias("t"), "code")
+    found = {"abs": Inputs({s.name: RAW[s.name](spark, d) for s in (LAB, MED)}, (X.fx_stay(spark, d),), stays, X.fx_item(spark, d)),
+             "rel": Inputs({"lab": rel}, (X.fx_stay(spark, d),)),
+             "anc": Inputs({"INPUTEVENTS": X.fx_inf(spark, d)}, anchored_inputs(spark, d), stays)}
+    return {s: found[s.name] for s in sources_from_config(CONFIG)}
+
+
+def _source_sql(name: str, src: str, tables: str, least: int, cols: str) -> str:
+    return f"""SELECT '{name}' AS source, event_id, "ID", "TABLE_NAME", row_number() OVER w AS "ORDER", coalesce("TIME" - lag("TIME") OVER w, 0) AS time_gap, {cols}
+FROM {src} WHERE "ID" IN (SELECT "ID" FROM {src} GROUP BY "ID" HAVING count(*) >= {least})
+WINDOW w AS (PARTITION BY "ID" ORDER BY "TIME", list_position([{tables}], "TABLE_NAME"), event_id)"""
+
+
+cte("sp_abs", ("ev_lab", "ev_med"), """
+SELECT event_id, "ID", "TIME", "TABLE_NAME", itemid, valuenum, NULL AS route, NULL::DOUBLE AS dose_val FROM ev_lab
+UNION ALL SELECT event_id, "ID", "TIME", "TABLE_NAME", NULL, NULL, CASE WHEN route IS NULL THEN ' ' ELSE 'route_' || route END, dose_val FROM ev_med""")
+cte("sp_rel", ("fx_event", "fx_event_stay"), """
+SELECT * FROM (SELECT e.event_id, e.id AS "ID", CAST(date_sub('minute', s.intime, e.ts) AS BIGINT) AS "TIME", 'lab' AS "TABLE_NAME", 'code_' || e.code AS code
+  FROM fx_event e JOIN fx_event_stay s ON e.id = s.id WHERE e.tab = 'lab') x WHERE "TIME" > 0 AND "TIME" < 4000""")
+cte("sp_anc", ("fx_event", "fx_event_stay"), """
+SELECT e.event_id, e.id AS "ID", CAST(date_sub('minute', s.intime, e.ts) AS BIGINT) AS "TIME", 'INPUTEVENTS' AS "TABLE_NAME", e.value AS rate, e.uom AS rateuom
+FROM fx_event e JOIN fx_event_stay s ON e.id = s.id WHERE e.tab = 'inf' AND e.ts > s.intime AND e.ts < s.intime + INTERVAL 5000 MINUTE""")
+
+
+@query("spec_events", with_ctes("SELECT source, event_id, \"ID\", \"TABLE_NAME\", \"ORDER\"::INTEGER AS \"ORDER\", time_gap::BIGINT AS time_gap, itemid, value, category FROM ("
+       + _source_sql("abs", "sp_abs", "'LABEVENTS', 'PRESCRIPTIONS'", 10, "itemid, coalesce(valuenum, dose_val) AS value, route AS category") + "\nUNION ALL "
+       + _source_sql("rel", "sp_rel", "'lab'", 5, "NULL AS itemid, NULL::DOUBLE AS value, code AS category") + "\nUNION ALL "
+       + _source_sql("anc", "sp_anc", "'INPUTEVENTS'", 2, "NULL AS itemid, rate::DOUBLE AS value, NULL AS category") + ") t", "sp_abs", "sp_rel", "sp_anc"))
+def spec_events(spark, d):
+    """The events of three sources, compiled from one configuration."""
+    from wardspark.operators.sources import compile_events
+    u = compile_events(sources(spark, d), stored=lambda df: store(df, "source-events"))
+    return u.select("source", "event_id", "ID", "TABLE_NAME", "ORDER", "time_gap", "itemid", F.coalesce("valuenum", "dose_val", "rate").alias("value"),
+                    F.coalesce("route", "code").alias("category"))
+
+
+@query("spec_cohorts", with_ctes("""
+SELECT 'abs' AS source, stay_id, adm_id, mortality, los_3day, los_7day FROM abs_cohort
+UNION ALL SELECT 'rel', stay_id, adm_id, mortality, los_3day, los_7day FROM rel_cohort
+UNION ALL SELECT 'anc', stay_id, adm_id, mortality, los_3day, los_7day FROM anc_cohort""", "abs_cohort", "rel_cohort", "anc_cohort"))
+def spec_cohorts(spark, d):
+    """The cohorts of three sources, compiled from the same configuration."""
+    from wardspark.operators.sources import compile_cohorts
+    return compile_cohorts(sources(spark, d), ["stay_id", "adm_id", "mortality", "los_3day", "los_7day"])

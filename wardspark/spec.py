@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Mapping, Sequence
+from dataclasses import dataclass, fields
 
 
 @dataclass(frozen=True)
@@ -55,3 +56,64 @@ class TableSpec:
     category_columns: tuple[str, ...] = ()
     selected: tuple[str, ...] = ()
     dictionary: bool = False
+
+
+@dataclass(frozen=True)
+class SourceSpec:
+    """One data source: its cohort flavour and rules, its event tables and how their times are written.
+
+    ``flavour`` names the cohort builder (absolute, relative or anchored); with ``relative_time`` event times are
+    minutes since admission already. The window is the cohort's observation time unless given in minutes.
+    """
+
+    name: str
+    flavour: str
+    cohort: CohortSpec
+    tables: tuple[TableSpec, ...]
+    relative_time: bool = False
+    window_minutes: int | None = None
+    min_events: int = 10
+    row_key: str = "event_id"
+
+    @property
+    def window(self) -> int:
+        return 60 * self.cohort.obs_hours if self.window_minutes is None else self.window_minutes
+
+
+class SpecError(ValueError):
+    """A configuration that doesn't fit its classes or its tables; the message lists every fault."""
+
+
+FLAVOURS = ("absolute", "relative", "anchored")
+
+
+def _build(kind: type, cfg: Mapping, where: str, faults: list[str]):
+    known = {f.name for f in fields(kind)}
+    faults += [f"{where}: unknown key {k}" for k in cfg if k not in known]
+    try:
+        return kind(**{k: tuple(v) if isinstance(v, list) else v for k, v in cfg.items() if k in known})
+    except TypeError as e:
+        faults.append(f"{where}: {e}")
+        return None
+
+
+def sources_from_config(config: Sequence[Mapping]) -> tuple[SourceSpec, ...]:
+    """A plain configuration (as JSON gives it) -> source specs; unknown keys, missing ones, flavours and repeated
+    names are faults, all of them told at once."""
+    faults: list[str] = []
+    out = []
+    for cfg in config:
+        where = str(cfg.get("name", "source"))
+        tables = [_build(TableSpec, t, f"{where}.{t.get('name', 'table')}", faults) for t in cfg.get("tables", ())]
+        cohort = _build(CohortSpec, cfg.get("cohort", {}), f"{where}.cohort", faults)
+        source = _build(SourceSpec, {**cfg, "tables": tuple(tables), "cohort": cohort}, where, faults)
+        if cfg.get("flavour") not in FLAVOURS:
+            faults.append(f"{where}: unknown flavour {cfg.get('flavour')}")
+        if len({t.name for t in tables if t}) < len(tables):
+            faults.append(f"{where}: two tables of one name")
+        out.append(source)
+    if len({s.name for s in out if s}) < len(out):
+        faults.append("two sources of one name")
+    if faults:
+        raise SpecError("; ".join(faults))
+    return tuple(out)
