@@ -454,3 +454,42 @@ def test_toxicity_of_repeated_rows_and_clashing_columns(spark):
     assert len(ex) == len({r.doc_id for r in ex}) == len({r.text for r in ex})
     got = toxicity.score_documents(docs, labels).collect()
     assert len(got) == 801 and all(r.predicted == int(r.doc_id % 4 == 0) for r in got if r.doc_id != 7)
+
+
+def test_url_tokens_of_the_same_rows_are_mined_once(spark):
+    rng = np.random.default_rng(9)
+    rows = []
+    for _ in range(80):
+        t = [x for x in "abcd" if rng.random() < 0.6]
+        t += [x + "2" for x in t if x in "ab"] + [f"common{i}" for i in range(40)]   # b2 as b; forty tokens in every row
+        rows.append(([f"p:{x}" for x in t], "block" if rng.random() < 0.75 else "allow"))
+    got = urlrules.mine(spark.createDataFrame(rows, "tokens array<string>, verdict string"), 0.03, 0.6).collect()
+    plain = [([x for x in t if not x.startswith("p:common") or x == "p:common0"], v) for t, v in rows]
+    names = sorted({x for t, _ in plain for x in t})
+    subsets = [frozenset(x for i, x in enumerate(names) if m >> i & 1) for m in range(1, 1 << len(names))]
+    n, both = Counter(), Counter()
+    for t, v in plain:
+        for s in subsets:
+            n[s] += s <= set(t)
+            both[s, v] += s <= set(t)
+    rules = {(s, v): c / n[s] for (s, v), c in both.items() if c >= 0.03 * 80 and c / n[s] >= 0.6}
+    least = {k for k, c in rules.items() if not any(v == k[1] and s < k[0] and d >= c for (s, v), d in rules.items())}
+    want = {(frozenset(x if x != "p:common0" else f"p:common{i}" for x in s), v) for s, v in least for i in range(40 if "p:common0" in s else 1)}
+    assert {(frozenset(r.tokens), r.verdict) for r in got} == want and len(got) == len(want)
+
+
+def test_url_verdicts_equal_brute_force(spark):
+    pages, labels = spark.read.parquet(f"{SF}/pages.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    got = urlrules.judge(pages.withColumn("tokens", F.lit(1)).withColumn("verdict", F.lit("x")), labels).collect()
+    p = urlrules.with_parts(pages).withColumn("e", urlrules.explicit_rule(urlrules.EXPLICIT)).withColumn("tokens", urlrules.tokens())
+    bad = {r.doc_id: r.quality == 0 or r.toxic == 1 for r in labels.collect()}
+    rows = p.collect()
+    label = {r.page_id: r.e.verdict if r.e else {True: "block", False: "allow", None: None}[bad.get(r.page_id)] for r in rows}
+    train = [(r.tokens, label[r.page_id]) for r in rows if label[r.page_id]]
+    rules = urlrules.mine(spark.createDataFrame(train, "tokens array<string>, verdict string")).collect()
+    want = Counter()
+    for r in rows:
+        fire = [(x.confidence, x.verdict == "block", x.verdict) for x in rules if set(x.tokens) <= set(r.tokens)]
+        mined = max(fire)[2] if fire else None
+        want[r.page_id, r.e.rule if r.e else None, r.e.verdict if r.e else mined or "allow", mined] += 1
+    assert Counter((r.page_id, r.rule, r.verdict, r.mined) for r in got) == want and len(rules) > 3

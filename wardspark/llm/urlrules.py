@@ -16,6 +16,7 @@ ignored.
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.ml.fpm import FPGrowth
@@ -55,15 +56,45 @@ def tokens() -> Column:
     return F.array_distinct(F.filter(F.concat(host, parts, names), lambda x: F.length(x) > 2))
 
 
+def same_rows(rows: DataFrame, least: int) -> DataFrame:
+    """(tokens) rows -> (rep, alike, n): the tokens of ``least`` rows or more, those that stand in the same rows together.
+
+    A token's rows are told by their number and two sums over hashes of the rows' token sets: tokens in the same rows
+    have equal sums, and tokens with equal sums stand in rows of the same sets (but for 64-bit collisions).
+    """
+    whole = F.array_sort("tokens")
+    x = rows.select(F.explode("tokens").alias("t"), F.xxhash64(whole).cast("decimal(20,0)").alias("a"), F.xxhash64(whole, F.lit(1)).cast("decimal(20,0)").alias("b"))
+    x = x.groupBy("t").agg(F.count(F.lit(1)).alias("n"), F.sum("a").alias("a"), F.sum("b").alias("b")).where(F.col("n") >= least)
+    return x.groupBy("n", "a", "b").agg(F.min("t").alias("rep"), F.array_sort(F.collect_list("t")).alias("alike")).select("rep", "alike", "n")
+
+
+def spelled_out(rules: DataFrame, alike: DataFrame) -> DataFrame:
+    """Rules over representatives -> the same rules for every token that stands in the same rows. A set with two such
+    tokens has the rows of the set with one, so it was superfluous and needs no rule."""
+    place = rules.select("tokens", "verdict", "confidence", "freq", F.posexplode("tokens").alias("_i", "rep"))
+    out = place.join(alike.select("rep", "alike"), "rep").groupBy("tokens", "verdict", "confidence", "freq").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("_i", "alike"))), lambda s: s["alike"]).alias("_all"))
+    product = F.aggregate("_all", F.array(F.array().cast("array<string>")),
+                          lambda done, more: F.flatten(F.transform(done, lambda d: F.transform(more, lambda m: F.array_append(d, m)))))
+    return out.select(F.explode(product).alias("tokens"), "verdict", "confidence", "freq").withColumn("tokens", F.array_sort("tokens"))
+
+
 def mine(labelled: DataFrame, min_support: float = 0.002, min_confidence: float = 0.8) -> DataFrame:
     """(tokens, verdict) rows -> stored rules (tokens, verdict, confidence, freq, key); ``key`` is the
     rule's rarest token.
 
-    Support falls as a set grows, so all subsets of a frequent set are frequent: the best confidence
+    Tokens that stand in the same rows are mined as one and spelled out afterwards, so tokens that many URLs share don't
+    double the sets. Support falls as a set grows, so all subsets of a frequent set are frequent: the best confidence
     below a rule comes level by level from the sets that are one token shorter.
     """
-    t = labelled.select(F.array_union("tokens", F.array(F.concat(F.lit("="), F.col("verdict")))).alias("items"))
-    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(t)
+    rows = stage(labelled.select(F.monotonically_increasing_id().alias("_r"), "tokens", "verdict"), "url-labelled")
+    least = math.ceil(min_support * rows.count())
+    alike = stage(same_rows(rows, least), "url-alike")
+    t = rows.select("_r", "verdict", F.explode("tokens").alias("_t")).join(alike.select(F.col("rep").alias("_t")), "_t") \
+        .groupBy("_r", "verdict").agg(F.concat(F.collect_list("_t"), F.array(F.concat(F.lit("="), F.col("verdict")))).alias("items"))
+    t = stage(t.select("items"), "url-items")
+    # rows without a frequent token are left out, so the support is told as a count
+    model = FPGrowth(itemsCol="items", minSupport=min(1.0, (least - 0.5) / max(1, t.count())), minConfidence=min_confidence).fit(t)
     sets = stage(model.freqItemsets.select(
         F.array_sort(F.filter("items", lambda x: ~x.startswith("="))).alias("tokens"),
         F.get(F.filter("items", lambda x: x.startswith("=")), F.lit(0)).alias("_v"), "freq"), "url-sets")
@@ -80,8 +111,8 @@ def mine(labelled: DataFrame, min_support: float = 0.002, min_confidence: float
         level = stage(wider.join(below, ["_sub", "verdict"]).groupBy("tokens", "verdict", "confidence", "freq").agg(F.max("_best").alias("_below")), "url-level")
         levels.append(level)
     rules = reduce(DataFrame.unionByName, levels).where((F.col("confidence") >= min_confidence) & (F.col("_below") < F.col("confidence"))).drop("_below")
-    single = alone.where("size(tokens) = 1").select(F.get("tokens", F.lit(0)).alias("_t"), "_n")
-    keyed = rules.withColumn("_t", F.explode("tokens")).join(single, "_t")
+    single = alike.select(F.explode("alike").alias("_t"), F.col("n").alias("_n"))
+    keyed = stage(spelled_out(rules, alike), "url-spelled").withColumn("_t", F.explode("tokens")).join(single, "_t")
     return stage(keyed.groupBy("tokens", "verdict", "confidence", "freq").agg(F.min(F.struct("_n", "_t"))["_t"].alias("key")), "url-rules")
 
 
