@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardspark.sources.stage import shared_dir
+from wardspark.sources.stage import session_dir
 
 SLICE_BYTES = 1 << 18          # text bytes that one numpy step looks at
 BATCH_BYTES = 8 << 20          # of an Arrow batch, so a task's memory doesn't follow the length of the rows
@@ -34,10 +34,10 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: a lineage cut that survives lost
-    executors, and Parquet, so later readers prune columns."""
+    """Write ``df`` to the session's folder in the shared one and read it back: a lineage cut that survives lost
+    executors, and Parquet, so later readers prune columns. ``sources.stage.owned`` clears it."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/llm-{name}-{uuid.uuid4().hex}"
+    path = f"{session_dir(spark)}/llm-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
