@@ -94,11 +94,11 @@ def mix_documents(docs: DataFrame, **kw) -> DataFrame:
 
 def mixed_corpus(docs: DataFrame, **kw) -> DataFrame:
     """The mix as whole documents: each row as often as the mix takes it, the row at a source's cut
-    once more if at least half of it is inside. Rows that agree in doc_id and source share what the
+    once more if at least half of it is inside; rows without a word take nothing. Rows that agree in doc_id and source share what the
     mix takes of them evenly. All columns stay as they were."""
     taken = mix_documents(docs, **kw)
     per = taken.groupBy(F.col("doc_id").alias("_d"), F.col("source").alias("_s")).agg(
-        F.round(F.sum("taken") / F.sum("size")).cast("int").alias("_n")).where("_n > 0")
+        F.round(F.try_divide(F.sum("taken"), F.sum("size"))).cast("int").alias("_n")).where("_n > 0")
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), F.col("`doc_id`").alias("_id"), F.col("`source`").alias("_src"))
     j = packed.join(per, F.col("_id").eqNullSafe(F.col("_d")) & F.col("_src").eqNullSafe(F.col("_s")))
     return j.withColumn("_r", F.explode(F.sequence(F.lit(1), F.col("_n")))).select("_doc.*")
