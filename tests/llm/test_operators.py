@@ -493,3 +493,95 @@ def test_url_verdicts_equal_brute_force(spark):
         mined = max(fire)[2] if fire else None
         want[r.page_id, r.e.rule if r.e else None, r.e.verdict if r.e else mined or "allow", mined] += 1
     assert Counter((r.page_id, r.rule, r.verdict, r.mined) for r in got) == want and len(rules) > 3
+
+
+def letter_grams(text):
+    s = [c if c.isalpha() else None for c in " " + (text or "").lower() + "    "]
+    return [tuple(s[i:i + n]) for n in (3, 4) for i in range(len(s) - 4) if all(s[i + 1:i + n - 1])]
+
+
+def test_language_filters_equal_plain_sets(spark):
+    """Counts, membership and votes with plain sets of n-grams in place of the bit-sliced filter."""
+    rows = [(r.doc_id, r.text, r.lang) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    rows += [(10_000 + i, t, lang) for i, (t, lang) in enumerate([(None, "en"), ("", None), ("12 .,", "fr"), ("ab", "en"), ("été été", None)])]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    learned = [(t, lang) for i, t, lang in rows if lang and zlib.crc32(str(i).encode()) % 4 != 2]
+    seen = {}
+    for t, lang in learned:
+        seen.setdefault(lang, Counter()).update(letter_grams(t))
+    total = {x: sum(c.values()) for x, c in seen.items()}
+    most = Counter()
+    for x, c in seen.items():
+        for g, n in c.items():
+            most[g] = max(most[g], n / total[x])
+    member = {x: {g for g, n in c.items() if n >= max(2, 1e-5 * total[x]) and n / total[x] >= 0.1 * most[g]} for x, c in seen.items()}
+    got = {r.doc_id: r for r in lang_id.identify_documents(docs, max_rows=10 ** 9).collect()}
+    assert len(got) == len(rows)
+    for i, t, _ in rows:
+        grams = letter_grams(t)
+        share = {x: sum(g in m for g in grams) / max(1, len(grams)) for x, m in member.items()}
+        best = sorted(share.values())
+        r = got[i]
+        assert r.held_out == (zlib.crc32(str(i).encode()) % 4 == 2)
+        if not any(c.isalpha() for c in t or ""):
+            assert (r.lang_pred, r.score, r.support) == ("und", 0, 0)
+            continue
+        assert abs(r.support - best[-1]) < 0.01 and abs(r.score - best[-1] / max(sum(best), 1e-12)) < 0.02
+        if best[-1] - best[-2] > 0.02:
+            assert r.lang_pred == max(share, key=share.get)
+
+
+def toxic_features(text):
+    plain = bytes(b if b > 127 or chr(b).isalnum() else 32 for b in (text or "").encode()).decode("utf-8", "ignore").translate(LOWER)
+    words = [w.encode() for w in re.split(r"[\x20\x09-\x0D]+", plain) if w]
+    return Counter([(0, w) for w in words] + [(k, w[:k]) for w in words for k in (4, 5) if len(w) > k])
+
+
+def test_toxicity_equals_plain_nearest_examples(spark):
+    """Features, selection, weights, neighbours and votes in plain numpy."""
+    rng = np.random.default_rng(12)
+    bad, good, both = ["vilest", "nasty", "rotten"], ["kindly", "gentle", "calm"], [f"word{i}" for i in range(30)]
+    rows = []
+    for i in range(500):
+        toxic = int(rng.random() < 0.3)
+        words = list(rng.choice(both, 8)) + [w for w in (bad if toxic else good) if rng.random() < 0.6] + [w for w in bad if rng.random() < 0.02]
+        rows.append((i, " ".join(words), toxic))
+    docs, labels = spark.createDataFrame(rows, "doc_id bigint, text string, toxic int").drop("toxic"), spark.createDataFrame([(i, x) for i, _, x in rows], "doc_id bigint, toxic int")
+    texts = {}
+    for i, t, x in rows:
+        if zlib.crc32(str(i).encode()) % 5:
+            texts.setdefault(t, (i, x))
+    ex = [(i, toxic_features(t), x) for t, (i, x) in texts.items()]
+    base = sum(x for _, _, x in ex) / len(ex)
+    n, pos = Counter(), Counter()
+    for _, f, x in ex:
+        n.update(f.keys())
+        pos.update({w: x for w in f})
+    keep = {w for w, c in n.items() if c >= 5 and (pos[w] - c * base) / (c * base * (1 - base)) ** 0.5 >= 6 and pos[w] >= 0.5 * c}
+    assert keep
+
+    def vector(f):
+        v = {w: (1 + np.log(c)) * (np.log((len(ex) + 1) / (n[w] + 1)) + 1) for w, c in f.items() if w in keep}
+        size = sum(x * x for x in v.values()) ** 0.5
+        return {w: x / size for w, x in v.items()}
+
+    entries = {}
+    for i, f, x in sorted(ex, key=lambda e: e[0]):
+        v = vector(f)
+        key = tuple(sorted((w, round(x, 9)) for w, x in v.items()))
+        e = entries.setdefault(key, [i, dict(key), 0, 0])
+        e[2], e[3] = e[2] + 1, e[3] + x
+    blank = entries.pop((), [0, {}, 0, 0])
+    found = 0
+    for r in toxicity.score_documents(docs, labels).collect():
+        v = vector(toxic_features(rows[r.doc_id][1]))
+        near = sorted(((-round(sum(x * e[1].get(w, 0) for w, x in v.items()), 9), e[0], e) for e in entries.values()), key=lambda x: x[:2])
+        near = [x for x in near if x[0] < 0][:10]
+        if not near:
+            assert r.score == pytest.approx((blank[3] + base) / (blank[2] + 1)) and not r.evidence
+            continue
+        vote = [1 / (1 - min(-c, 1) + 0.05) for c, _, _ in near]
+        up, down = sum(a * e[3] for a, (_, _, e) in zip(vote, near)), sum(a * e[2] for a, (_, _, e) in zip(vote, near))
+        assert r.score == pytest.approx((up + base / 1.05) / (down + 1 / 1.05), abs=1e-6) and r.evidence == [i for _, i, _ in near[:3]]
+        found += 1
+    assert found > 50
