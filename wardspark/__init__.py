@@ -7,7 +7,6 @@ sources/    readers, writers, stage cuts and the fixture views over the test tab
 functions/  column-expression builders (pure ``Column -> Column``)
 operators/  DataFrame -> DataFrame operators (cohort, codes, events, tokens, folds, fed, metrics)
 plans/      the query catalog used by ``__spark_entry__`` and the DuckDB oracle texts
-streaming/  (the reference has no streaming operators; see its docstring)
 """
 
 from wardspark.session import get_session, checkpoint_dir  # noqa: F401

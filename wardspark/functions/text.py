@@ -86,7 +86,9 @@ def _word_pieces(w: Column) -> Column:
     first = F.substring(w, F.lit(1), F.length(w) - F.length(rest))
     mixed = F.concat(_chars(_collapse_dots(first)),
                      F.when(rest == "", F.array().cast("array<string>")).otherwise(F.array(rest)))
-    return (F.when(has_digit & ~all_num, mixed)
+    # most words have neither digit nor point: one test decides them
+    return (F.when(~w.rlike("[0-9.]"), F.array(w))
+             .when(has_digit & ~all_num, mixed)
              .when(all_num, _chars(_collapse_dots(w)))
              .otherwise(F.array(w)))
 

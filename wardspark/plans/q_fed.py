@@ -246,11 +246,11 @@ UNION ALL SELECT task, 'federated', 'all', algorithm, seed FROM
   (SELECT unnest(['fedavg', 'fedprox', 'fedbn', 'fedpxn']) AS algorithm) a""", "client_src", "seeds"))
 def experiment_grid(spark, d):
     """Run table task x dataset x seed (x algorithm); datasets are the clients in the data."""
-    from wardspark.plans.q_folds import client_labels
+    from wardspark.plans.q_folds import client_sources
     tasks = F.explode(F.array(*[F.lit(t) for t in ("mort", "los3", "los7", "readm", "dx")]))
     seeds = F.explode(F.array(*[F.lit(s) for s in (2020, 2021, 2022, 2023, 2024)]))
     algos = F.explode(F.array(*[F.lit(a) for a in ("fedavg", "fedprox", "fedbn", "fedpxn")]))
-    clients = client_labels(spark, d).select(F.col("client").alias("dataset")).distinct()
+    clients = client_sources(spark, d).select(F.col("client").alias("dataset")).distinct()
     single = clients.select(tasks.alias("task"), "dataset").select(
         "task", F.lit("single").alias("train_type"), "dataset", F.lit("none").alias("algorithm"), seeds.alias("seed"))
     one = clients.agg(F.count(F.lit(1)).alias("_n"))

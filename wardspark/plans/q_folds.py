@@ -23,10 +23,12 @@ def fold_labels(spark, d):
     return store(c.join(dx, "pid"), "labels")
 
 
+def client_sources(spark, d):
+    return clients_by_source(abs_cohort(spark, d).select("adm_id"), X.fx_stay(spark, d))
+
+
 def client_labels(spark, d):
-    lab = fold_labels(spark, d)
-    cl = clients_by_source(abs_cohort(spark, d).select("adm_id"), X.fx_stay(spark, d))
-    return lab.join(cl, "adm_id")
+    return fold_labels(spark, d).join(client_sources(spark, d), "adm_id")
 
 
 # ============================================================================ DuckDB twins

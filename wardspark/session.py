@@ -20,7 +20,7 @@ DEFAULT_CONF = {
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
     # dictionaries and per-code edge tables are small; everything that grows with the
-    # data is joined by shuffle.  Explicit broadcasts are size-checked (operators/util.py).
+    # data is joined by shuffle.  Explicit broadcasts are on tables bounded by the schema, the model or a parameter.
     "spark.sql.autoBroadcastJoinThreshold": str(32 * 1024 * 1024),
 }
 
