@@ -23,6 +23,7 @@ extra columns are ignored.
 from __future__ import annotations
 
 import math
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -135,9 +136,14 @@ class Index:
 
 
 class Model:
+    """What ``fit`` gives; a worker that got it by broadcast builds the index once, at the first batch."""
+
     def __init__(self, vocab, idf, examples, base: float, blank: float, k: int):
-        self.vocab, self.idf, self.base, self.blank, self.k = vocab, idf, base, blank, k
-        self.index = Index(*examples, len(vocab))
+        self.vocab, self.idf, self.examples, self.base, self.blank, self.k = vocab, idf, examples, base, blank, k
+
+    @cached_property
+    def index(self) -> Index:
+        return Index(*self.examples, len(self.vocab))
 
     def score(self, f, w) -> tuple[float, list[int]]:
         if not len(f) or not len(self.index.ids):
@@ -157,10 +163,12 @@ def examples(docs: DataFrame, labels: DataFrame, max_examples: int = 40_000) ->
     share = int(min(1.0, max_examples / max(1, lab.count())) * (1 << 20))
     pick = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("toxic")), F.lit(1 << 20)) < share
     lab = lab.where(pick).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    d = take_columns(docs, "doc_id", "text").where(pick & (fold(F.col("doc_id"), 5) != 0))
-    one = d.join(lab, "doc_id").withColumn("_t", F.xxhash64("text")).groupBy("_t").agg(
-        F.min(F.struct("doc_id", "toxic")).alias("_r"), F.min("text").alias("text"))
-    return one.select("_r.doc_id", "text", "_r.toxic")
+    d = take_columns(docs, "doc_id", "text").withColumn("_t", F.xxhash64("text"))
+    # the picked labels are bounded by max_examples, so both joins run where the texts lie; one text an id, one
+    # id a text, and only the texts that were chosen are shuffled, once
+    light = d.select("doc_id", "_t").join(F.broadcast(lab), "doc_id").groupBy("doc_id").agg(F.min("_t").alias("_t"), F.max("toxic").alias("toxic"))
+    chosen = light.groupBy("_t").agg(F.min(F.struct("doc_id", "toxic")).alias("_r")).select("_t", "_r.doc_id", "_r.toxic")
+    return d.join(F.broadcast(chosen), ["doc_id", "_t"]).dropDuplicates(["doc_id"]).select("doc_id", "text", "toxic")
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_examples: int = 40_000, max_features: int = 4096, min_df: int = 5, min_z: float = 6.0, min_share: float = 0.5, k: int = 10):
@@ -195,11 +203,11 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = 40_000, max_feat
 
 def score(docs: DataFrame, model, text: Column) -> Column:
     """Struct column (score, evidence)."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent = docs.sparkSession.sparkContext.broadcast(Model(*model))
 
     @F.arrow_udf(SCORED)
     def rate(col: pa.Array) -> pa.Array:
-        m = Model(*sent.value)
+        m = sent.value
         out = [m.score(*v) for _, _, data, offs in slices(col) for v in vectors(data, offs, m.vocab, m.idf)]
         return pa.StructArray.from_arrays([pa.array([s for s, _ in out], pa.float64()), pa.array([e for _, e in out], pa.list_(pa.int64()))], ["score", "evidence"])
 
