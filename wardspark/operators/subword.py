@@ -73,10 +73,12 @@ def piece_table(vocab: DataFrame, max_words: int = 30_000) -> DataFrame:
 def split_words(words: DataFrame, pieces: DataFrame, token: str = "token") -> DataFrame:
     """Distinct words -> (token, ids), by the longest pieces."""
     rows = [(r["piece"], r["inner"], r["id"]) for r in pieces.select("piece", "inner", "id").collect()]  # bounded by max_words and Unicode
-    sent = words.sparkSession.sparkContext.broadcast(Trie(rows))
+    sent = words.sparkSession.sparkContext.broadcast({"pieces": rows})  # a worker keeps its trie beside them
 
     @F.arrow_udf("array<int>")
     def ids(col: pa.Array) -> pa.Array:
-        return pa.array([None if w is None else sent.value.split(w) for w in col.to_pylist()], pa.list_(pa.int32()))
+        held = sent.value
+        trie = held.get("trie") or held.setdefault("trie", Trie(held["pieces"]))
+        return pa.array([None if w is None else trie.split(w) for w in col.to_pylist()], pa.list_(pa.int32()))
 
     return words.select(F.col(token).alias("token"), ids(F.col(token)).alias("ids"))

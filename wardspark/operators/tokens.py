@@ -91,10 +91,10 @@ class Known:
                                            pa.ListArray.from_arrays(pa.array(first, pa.int32()), rest)], ["ids", "rest"])
 
 
-def known_tokens(vocab: DataFrame, top: int = TOP_TOKENS) -> Known:
-    """Fixed ids and the ``top`` first words of at most TOP_CHARS characters: a map of bounded size."""
+def known_tokens(vocab: DataFrame, top: int = TOP_TOKENS) -> tuple[list[str], list[int]]:
+    """The ``top`` first words of at most TOP_CHARS characters and their ids: a map of bounded size."""
     rows = vocab.where((F.col("id") < WORD_BASE + top) & (F.length("token") <= TOP_CHARS)).select("token", "id").collect()
-    return Known([r["token"] for r in rows], [r["id"] for r in rows])
+    return [r["token"] for r in rows], [r["id"] for r in rows]
 
 
 def encode_tokens(df: DataFrame, key: str, tokens: str, vocab: DataFrame, out: str, top: int = TOP_TOKENS,
@@ -105,11 +105,13 @@ def encode_tokens(df: DataFrame, key: str, tokens: str, vocab: DataFrame, out: s
     size. Each row's other distinct words, and only these, are shuffled to the vocabulary. ``others`` (token, ids) gives
     the ids of these words (several a word) in place of the vocabulary.
     """
-    sent = df.sparkSession.sparkContext.broadcast(known_tokens(vocab, top))
+    sent = df.sparkSession.sparkContext.broadcast({"words": known_tokens(vocab, top)})  # a worker keeps its map beside it
 
     @F.arrow_udf("struct<ids:array<int>,rest:array<string>>")
     def resolve(col: pa.Array) -> pa.Array:
-        return sent.value.resolve(col)
+        held = sent.value
+        known = held.get("known") or held.setdefault("known", Known(*held["words"]))
+        return known.resolve(col)
 
     many = others is not None
     table = (others.select(F.col("token").alias("_tok"), F.col("ids").alias("_vid")) if many
