@@ -23,7 +23,6 @@ extra columns are ignored.
 from __future__ import annotations
 
 import math
-from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -136,14 +135,11 @@ class Index:
 
 
 class Model:
-    """What ``fit`` gives; a worker that got it by broadcast builds the index once, at the first batch."""
+    """What ``fit`` gives, with its index."""
 
     def __init__(self, vocab, idf, examples, base: float, blank: float, k: int):
-        self.vocab, self.idf, self.examples, self.base, self.blank, self.k = vocab, idf, examples, base, blank, k
-
-    @cached_property
-    def index(self) -> Index:
-        return Index(*self.examples, len(self.vocab))
+        self.vocab, self.idf, self.base, self.blank, self.k = vocab, idf, base, blank, k
+        self.index = Index(*examples, len(vocab))
 
     def score(self, f, w) -> tuple[float, list[int]]:
         if not len(f) or not len(self.index.ids):
@@ -203,11 +199,12 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = 40_000, max_feat
 
 def score(docs: DataFrame, model, text: Column) -> Column:
     """Struct column (score, evidence)."""
-    sent = docs.sparkSession.sparkContext.broadcast(Model(*model))
+    sent = docs.sparkSession.sparkContext.broadcast({"fitted": model})  # a worker keeps the model that it builds beside it
 
     @F.arrow_udf(SCORED)
     def rate(col: pa.Array) -> pa.Array:
-        m = sent.value
+        held = sent.value
+        m = held.get("model") or held.setdefault("model", Model(*held["fitted"]))
         out = [m.score(*v) for _, _, data, offs in slices(col) for v in vectors(data, offs, m.vocab, m.idf)]
         return pa.StructArray.from_arrays([pa.array([s for s, _ in out], pa.float64()), pa.array([e for _, e in out], pa.list_(pa.int64()))], ["score", "evidence"])
 
