@@ -7,10 +7,11 @@ words exactly, by ranks of codes.
 First pass: phrases are dealt by hash over partitions; a chunk sends each partition the 32-bit fingerprints
 and counts of its phrases. A partition merges them into one Misra-Gries summary whose capacity exceeds the
 partition's mass divided by the threshold, so that what the summary takes from any count stays below
-the threshold and every phrase that reaches it survives; equal fingerprints only let more survive. The partition
-answers each chunk with one bit a phrase. Second pass: each chunk sends the words and exact counts of its
-surviving phrases, which are summed by language and phrase; the threshold is applied to these sums. No table of
-phrases is broadcast or held whole, and a common phrase is one entry a chunk.
+the threshold and every phrase that reaches it survives; equal fingerprints only let more survive. Second
+pass: the partition goes over what it got again and sums the survivors' counts, and answers each chunk with one bit a
+phrase; the chunk sends the words and exact counts of the phrases so marked to their partitions, which sum them by
+the phrase itself, and the threshold is applied to these sums. No table of phrases is broadcast or held whole, and a
+common phrase is one entry a chunk.
 
 Scores, cuts and the phrases inside longer ones are joins of the exact counts; the first phrases of a language
 are found by a ranked limit that prunes before it shuffles.
@@ -129,6 +130,27 @@ def chunks(docs: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------------------------- phrases of one chunk
+def sorted_places(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The keys (0 or more) in order, and the place of each; equal keys by place. Key and place are sorted as one
+    number where 63 bits hold both."""
+    bits = len(key).bit_length()
+    if len(key) and int(key.max()).bit_length() + bits <= 63:
+        both = np.sort((key << bits) | np.arange(len(key)))
+        return both >> bits, both & ((1 << bits) - 1)
+    order = np.argsort(key, kind="stable")
+    return key[order], order
+
+
+def ranks(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rank of each key among the distinct ones; a place and the count of each of these."""
+    ordered, place = sorted_places(key)
+    new = np.append(True, ordered[1:] != ordered[:-1])
+    lead = np.flatnonzero(new)
+    rank = np.empty(len(key), dtype=np.int64)
+    rank[place] = np.cumsum(new) - 1
+    return rank, place[lead], np.diff(np.append(lead, len(key)))
+
+
 class Phrases:
     """The distinct phrases of a chunk: first word (``at``), length (``k``), count, and their places in the
     hash partitions (``part``, ``mark``), in the order of (part, mark)."""
@@ -141,42 +163,44 @@ class Phrases:
         text = np.frombuffer(words, dtype=np.uint8)
         ends = np.append(np.flatnonzero(text == 10), len(text))
         own = word_hashes(text, np.append(0, ends[:-1] + 1), ends)
-        piece, mine = np.cumsum(flags & HEAD), flags & AHEAD == 0
+        piece = np.cumsum(flags & HEAD)
         seed = np.uint64(int.from_bytes(lang.encode(), "little") % ((1 << 61) - 1) + 1)
-        rank, at, k, count, names = self.codes, [], [], [], []
+        # starts of this length, and the rank of the phrase that begins at each
+        start = np.flatnonzero(flags & AHEAD == 0)
+        rank, at, k, count, names = self.codes[start], [], [], [], []
         for length in range(1, LONGEST + 1):
-            m = len(piece) - length + 1
-            if m <= 0:
+            if length > 1:  # the rank of the shorter phrase and the last word's code give that of this one
+                inside = start + length - 1 < len(piece)
+                inside[inside] = piece[start[inside] + length - 1] == piece[start[inside]]
+                start = start[inside]
+                rank = rank[inside] * len(self.words) + self.codes[start + length - 1]
+            if not len(start):
                 break
-            if length > 1:  # ranks of the shorter phrase and of the last word give those of this one
-                key = rank[:m] * len(self.words) + self.codes[length - 1:]
-                _, rank = np.unique(key, return_inverse=True)
-            whole = np.flatnonzero((piece[:m] == piece[length - 1:]) & mine[:m])
-            _, first, n = np.unique(rank[whole], return_index=True, return_counts=True)
-            first = whole[first]
+            rank, one, n = ranks(rank)
+            first = start[one]
             h = np.full(len(first), mix64(np.array([seed]))[0])
             for j in range(length):
                 h = mix64(h * np.uint64(0x9E3779B97F4A7C15) + own[self.codes[first + j]])
             at.append(first)
-            k.append(np.full(len(first), length))
+            k.append(np.full(len(first), length, dtype=np.int8))
             count.append(n)
             names.append(h)
         h = np.concatenate(names)
-        part, mark = ((h >> np.uint64(32)) % np.uint64(parts)).astype(np.int32), (h & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-        order = np.lexsort((mark, part))
-        self.part, self.mark = part[order], mark[order]
+        part, mark = ((h >> np.uint64(32)) % np.uint64(parts)).astype(np.int64), (h & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        order = sorted_places((part << 32) | mark)[1]
+        self.part, self.mark = part[order].astype(np.int32), mark[order].astype(np.uint32)
         self.at, self.k, self.count = (np.concatenate(x)[order] for x in (at, k, count))
         self.cuts = np.flatnonzero(np.diff(self.part, prepend=-1, append=parts))
 
-    def texts(self, pick: np.ndarray) -> tuple[pa.Array, np.ndarray]:
-        """The picked phrases, and the order that they come in."""
+    def texts(self, pick: np.ndarray) -> pa.Array:
+        """The picked phrases, in their order."""
         out, order = [], []
         for length in range(1, LONGEST + 1):
-            p = pick[self.k[pick] == length]
-            cols = [self.words.take(pa.array(self.codes[self.at[p] + j])) for j in range(length)]
+            mine = np.flatnonzero(self.k[pick] == length)
+            cols = [self.words.take(pa.array(self.codes[self.at[pick[mine]] + j])) for j in range(length)]
             out.append(pc.binary_join_element_wise(*cols, " ") if length > 1 else cols[0])
-            order.append(p)
-        return pa.concat_arrays(out), np.concatenate(order)
+            order.append(mine)
+        return pa.concat_arrays(out).take(pa.array(np.argsort(np.concatenate(order))))
 
 
 # ------------------------------------------------------------------------ Misra-Gries
@@ -230,6 +254,13 @@ def _by_part(least: int):
         if keys:
             summary.merge(np.concatenate(keys), np.concatenate(counts))
         found = summary.reaching(least)
+        exact = np.zeros(len(found), dtype=np.int64)
+        if len(found):  # what chunks sent is exact: of the survivors, only those go on that reach the threshold in sum
+            for _, m, c in held:
+                at = np.minimum(np.searchsorted(found, m), len(found) - 1)
+                hit = found[at] == m
+                exact += np.bincount(at[hit], weights=c[hit], minlength=len(found)).astype(np.int64)
+        found = found[exact >= least]
         for chunk, m, _ in held:
             at = np.minimum(np.searchsorted(found, m), max(0, len(found) - 1))
             yield chunk, np.packbits(found[at] == m).tobytes() if len(found) else bytes(-(-len(m) // 8))
@@ -264,12 +295,16 @@ def _sketch(parts: int):
 
 
 def _count(parts: int):
-    """Chunks, each followed by its bits in the order of parts -> exact counts of surviving phrases."""
+    """Chunks, each followed by its bits in the order of parts -> for each part, surviving phrases and exact counts."""
     def counted(lang, words, codes, bits):
         p = Phrases(lang, words, codes, parts)
         keep = np.concatenate([np.unpackbits(np.frombuffer(b, np.uint8), count=n) for b, n in zip(bits, np.diff(p.cuts))])
-        phrase, order = p.texts(np.flatnonzero(keep))
-        return pa.RecordBatch.from_arrays([pa.array([lang] * len(order), pa.string()), pa.array(p.k[order], pa.int32()), phrase, pa.array(p.count[order], pa.int64())], ["lang", "k", "phrase", "f"])
+        pick = np.flatnonzero(keep)
+        at = np.searchsorted(pick, p.cuts)
+        some = np.flatnonzero(np.diff(at))
+        offsets = pa.array(np.append(at[some], len(pick)).astype(np.int32))
+        return pa.RecordBatch.from_arrays([pa.array(p.part[p.cuts[some]]), pa.array([lang] * len(some), pa.string()), pa.ListArray.from_arrays(offsets, p.texts(pick)),
+                                           pa.ListArray.from_arrays(offsets, pa.array(p.count[pick]))], ["part", "lang", "phrases", "counts"])
 
     def run(batches):
         now, bits = None, []
@@ -286,6 +321,30 @@ def _count(parts: int):
     return run
 
 
+def _total(least: int):
+    """Rows (part, lang, phrases, counts) sorted by part and language -> sums that reach ``least``."""
+    def summed(lang, held):
+        t = pa.table({"phrase": pa.concat_arrays([p for p, _ in held]), "f": pa.concat_arrays([c for _, c in held])})
+        t = t.group_by("phrase").aggregate([("f", "sum")]).rename_columns(["phrase", "f"])
+        t = t.filter(pc.greater_equal(t["f"], least)).combine_chunks()
+        k = pc.add(pc.count_substring(t["phrase"], " "), 1)
+        return pa.table({"lang": pa.array([lang] * len(t), pa.string()), "k": k.cast(pa.int32()), "phrase": t["phrase"], "f": t["f"]}).to_batches()
+
+    def run(batches):
+        now, held = None, []
+        for batch in batches:
+            keys = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
+            for i, key in enumerate(keys):
+                if key != now and held:
+                    yield from summed(now[1], held)
+                    held = []
+                now = key
+                held.append((batch.column(2)[i].values, batch.column(3)[i].values))
+        if held:
+            yield from summed(now[1], held)
+    return run
+
+
 def phrase_counts(docs: DataFrame, least: int = 30) -> tuple[DataFrame, DataFrame]:
     """(lang, k, phrase, f), all phrases of up to LONGEST words with f >= ``least``, and (lang, n)."""
     spark = docs.sparkSession
@@ -299,8 +358,8 @@ def phrase_counts(docs: DataFrame, least: int = 30) -> tuple[DataFrame, DataFram
     bits = stage(bits, "phrase-bits")
     both = packed.select("chunk", F.lit(-1).alias("part"), F.lit(None).cast("binary").alias("bits"), "lang", "words", "codes") \
         .unionByName(bits.select("chunk", "part", "bits"), allowMissingColumns=True)
-    found = both.repartition(n, "chunk").sortWithinPartitions("chunk", "part").mapInArrow(_count(parts), "lang string, k int, phrase string, f bigint")
-    exact = found.groupBy("lang", "k", "phrase").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
+    found = both.repartition(n, "chunk").sortWithinPartitions("chunk", "part").mapInArrow(_count(parts), "part int, lang string, phrases array<string>, counts array<bigint>")
+    exact = found.repartition(n, "part").sortWithinPartitions("part", "lang").mapInArrow(_total(least), "lang string, k int, phrase string, f bigint")
     return stage(exact, "phrase-counts"), total
 
 
