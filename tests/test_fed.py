@@ -182,3 +182,19 @@ def test_minibatch_adam_matches_numpy(spark, algorithm):
         assert got[c] == pytest.approx(list(w[c]), abs=1e-9)
     if algorithm != "single":
         assert got["server"] == pytest.approx(list(server), abs=1e-9)
+
+
+def test_fed_bn_query_returns_every_parameter(spark, tmp_path):
+    """The query gives one row for each client, name and idx, as its SQL does, and no summary of them."""
+    import duckdb
+    from wardspark.plans import catalog
+
+    rows = [(i, [float(i * 64 + j) / 7 for j in range(64)], i) for i in range(12)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = catalog.queries()["fed_bn"](spark, str(tmp_path))
+    assert got.columns == ["client", "name", "idx", "value"]
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{tmp_path}/embeddings.parquet/*.parquet')")
+    want = {r[:3]: r[3] for r in con.execute(catalog.oracle_sql()["fed_bn"]).fetchall()}
+    seen = {tuple(r)[:3]: r["value"] for r in got.collect()}
+    assert len(seen) == got.count() == 12 * 64 * 6 and seen == pytest.approx(want, abs=2e-6)

@@ -88,24 +88,16 @@ def fed_avg_counters(spark, d):
     return s.where(F.col("name").contains(FD.COUNTER)).select("name", "idx", r6("value"))
 
 
-FED_BN_OUT = """client, name, count(*) AS n, round(sum(v), 4) AS total, round(sum(v * (idx % 97)), 3) AS weighted,
-  round(min(v), 6) AS least, round(max(v), 6) AS most"""
-
-
-@query("fed_bn", with_ctes(f"""
-SELECT {FED_BN_OUT} FROM (
-  SELECT a.client, a.name, a.idx, CASE WHEN a.name LIKE '%norm%' THEN a.value ELSE s.v END AS v
-  FROM fx_param a LEFT JOIN (SELECT name, idx, sum(w * value) AS v FROM pc JOIN cw USING (client)
-    WHERE name NOT LIKE '%norm%' GROUP BY name, idx) s ON a.name = s.name AND a.idx = s.idx) t
-GROUP BY client, name""", "fx_param", "pc", "cw"))
+@query("fed_bn", with_ctes("""
+SELECT a.client, a.name, a.idx, round(CASE WHEN a.name LIKE '%norm%' THEN a.value ELSE s.v END, 6) AS value
+FROM (SELECT client, name, idx, value FROM fx_param) a
+LEFT JOIN (SELECT name, idx, sum(w * value) AS v FROM pc JOIN cw USING (client)
+           WHERE name NOT LIKE '%norm%' GROUP BY name, idx) s ON a.name = s.name AND a.idx = s.idx""",
+                          "fx_param", "pc", "cw"))
 def fed_bn(spark, d):
-    """Merge that leaves norm parameters local; per client and name the count, sums and range of all parameters."""
+    """Merge that leaves norm parameters local; every parameter of every client and the server."""
     p, s = params_clients(spark, d)
-    out = FD.fed_bn(p, s, weights(spark, d))
-    v = F.col("value")
-    return out.groupBy("client", "name").agg(
-        F.count(F.lit(1)).alias("n"), F.round(F.sum(v), 4).alias("total"), F.round(F.sum(v * (F.col("idx") % 97)), 3).alias("weighted"),
-        F.round(F.min(v), 6).alias("least"), F.round(F.max(v), 6).alias("most"))
+    return FD.fed_bn(p, s, weights(spark, d)).select("client", "name", "idx", r6("value"))
 
 
 @query("prox_penalty", with_ctes(f"""
