@@ -97,3 +97,26 @@ def test_mix_of_repeated_rows_and_rows_without_an_id(spark):
     counts = Counter((r.doc_id, r.text, r.source) for r in out)
     have = Counter(rows)
     assert all(n <= 3 * have[k] for k, n in counts.items())
+
+
+def test_language_stage_learns_from_every_labelled_row(spark):
+    """9,000 rows of one language: the model and the least support are those of all learned rows, told by plain counts."""
+    words = ["alpha beta gamma", "delta epsilon", "zeta eta theta iota"]
+    rows = [(i, f"{words[i % 3]} {chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676 % 26)}x", "aa" if i % 10 else "bb") for i in range(9000)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string").repartition(3)
+    labelled = docs.where(lang_id.fold(docs.doc_id, 4) != 2)
+    learned = [(r.text, r.lang) for r in labelled.collect()]
+    assert sum(x == "aa" for _, x in learned) > 4000
+    counts = Counter()
+    for lo in range(0, len(learned), 50):
+        for text, lang in learned[lo:lo + 50]:
+            for h, ok in lang_id._grams([text])[2]:
+                counts.update((lang, int(g)) for g in h[ok])
+    got = labelled.select("text", "lang").mapInArrow(lang_id._count, "lang string, gram bigint, n bigint").groupBy("lang", "gram").sum("n").collect()
+    assert {(r[0], r[1] & (1 << 64) - 1): r[2] for r in got} == counts
+    assert lang_id.learned_rows(labelled, lang_id.fit.__defaults__[0]).count() == len(learned)
+    seen = spark.createDataFrame([("aa", i / 7000) for i in range(5000)] + [("bb", 0.5)] * 3, "lang string, support double")
+    assert dict(map(tuple, lang_id._low_supports(seen, 0.001).collect())) == {"aa": 4 / 7000, "bb": 0.5}
+    model, sampled = lang_id.fit(labelled), lang_id.fit(labelled, 4000)
+    assert model.table.any(axis=0).sum() != sampled.table.any(axis=0).sum()
+    assert lang_id.keep_identified(docs).count() > 0

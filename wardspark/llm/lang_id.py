@@ -8,8 +8,8 @@ holds one bit per language, and the AND of an n-gram's positions names at once a
 corrected for the share of false positives that the fill of that language's slice lets expect.
 
 The filter has a fixed number of positions (``bits``), so its broadcast size doesn't depend on the
-input. It is fitted on a bounded sample of the labelled rows: about ``max_rows`` of each language,
-taken by a hash of the id. Prediction reads whole texts.
+input. It is fitted on all labelled rows; with ``max_rows`` on about so many of each language, taken
+by a hash of the id. A task adds up its n-grams before it sends them. Prediction reads whole texts.
 
 Cases: null texts and texts without a letter are ``und`` with score 0; a text whose n-grams no
 language knows, or that is too short to have one, gets the most common learned language with score
@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardspark.llm.common import SLICE_BYTES, mix64, take_columns
+from wardspark.operators.util import running_sums
 
 NGRAMS = (3, 4)
 HASHES = 3
@@ -121,10 +122,35 @@ def _slices(texts: list[str]):
         yield lo, len(texts)
 
 
+SENT_GRAMS = 1 << 20   # entries that a counting task holds before it adds them up, and sums before it sends them
+
+
 def _count(batches):
+    """(text, lang) -> (lang, gram, n), added up over a task's batches in bounded memory."""
+    names: list[str] = []
+    held = [np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int64)]
+    parts: list[tuple] = []
+
+    def add_up():
+        gram, lang, n = (np.concatenate(x) for x in zip(held, *parts))
+        parts.clear()
+        order = np.lexsort((gram, lang))
+        gram, lang, n = gram[order], lang[order], n[order]
+        first = np.flatnonzero(np.append(True, (gram[1:] != gram[:-1]) | (lang[1:] != lang[:-1]))[:len(gram)])
+        held[:] = gram[first], lang[first], np.add.reduceat(n, first) if len(first) else n
+
+    def send():
+        gram, lang, n = held
+        held[:] = [x[:0] for x in held]
+        for i in range(0, len(gram), SENT_GRAMS // 8):
+            j = i + SENT_GRAMS // 8
+            yield pa.RecordBatch.from_arrays([pa.DictionaryArray.from_arrays(pa.array(lang[i:j]), pa.array(names, pa.string())).dictionary_decode(),
+                                              pa.array(gram[i:j].view(np.int64)), pa.array(n[i:j])], ["lang", "gram", "n"])
+
+    pending = 0
     for batch in batches:
         texts, langs = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        grams, ids, names = [], [], sorted(set(langs))
+        names += sorted(set(langs) - set(names))
         number = {x: i for i, x in enumerate(names)}
         for lo, hi in _slices(texts):
             _, first, found = _grams(texts[lo:hi])
@@ -132,20 +158,25 @@ def _count(batches):
             for h, ok in found:
                 for i in np.unique(lang):
                     g, n = np.unique(h[ok & (lang == i)], return_counts=True)
-                    grams.append(g)
-                    ids.append((np.full(len(g), i), n))
-        if grams:
-            yield pa.RecordBatch.from_arrays([
-                pa.array(np.array(names, dtype=object)[np.concatenate([i for i, _ in ids])], pa.string()),
-                pa.array(np.concatenate(grams).view(np.int64)), pa.array(np.concatenate([n for _, n in ids]))], ["lang", "gram", "n"])
+                    parts.append((g, np.full(len(g), i, np.int32), n))
+                    pending += len(g)
+            if pending >= SENT_GRAMS:
+                add_up()
+                pending = 0
+                if len(held[0]) >= SENT_GRAMS:
+                    yield from send()
+    add_up()
+    yield from send()
 
 
 def _row_counts(labelled: DataFrame) -> list[tuple[str, int]]:
     return sorted((r[0], r[1]) for r in labelled.groupBy("lang").agg(F.count(F.lit(1))).collect())
 
 
-def learned_rows(labelled: DataFrame, max_rows: int, counts: list[tuple[str, int]] | None = None) -> DataFrame:
-    """About ``max_rows`` rows of each language, by a hash of the id."""
+def learned_rows(labelled: DataFrame, max_rows: int | None, counts: list[tuple[str, int]] | None = None) -> DataFrame:
+    """All rows; with ``max_rows`` about so many of each language, by a hash of the id."""
+    if max_rows is None:
+        return labelled
     counts = _row_counts(labelled) if counts is None else counts
     if not counts:
         return labelled
@@ -153,7 +184,7 @@ def learned_rows(labelled: DataFrame, max_rows: int, counts: list[tuple[str, int
     return labelled.where(F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("lang")), F.lit(1 << 20)) < F.element_at(share, F.col("lang")))
 
 
-def fit(labelled: DataFrame, max_rows: int = 4000, min_rate: float = 1e-5, min_ratio: float = 0.1, bits: int = 20) -> Filter:
+def fit(labelled: DataFrame, max_rows: int | None = None, min_rate: float = 1e-5, min_ratio: float = 0.1, bits: int = 20) -> Filter:
     """(doc_id, text, lang) with non-null lang -> the filter.
 
     What reaches the driver is bounded: the languages, and the filter's set positions.
@@ -230,7 +261,15 @@ def identify_documents(docs: DataFrame, **kw) -> DataFrame:
     return d.select("doc_id", held.alias("held_out"), predict(d, model, F.col("text")).alias("_p")).select("doc_id", "held_out", "_p.*")
 
 
-def keep_identified(docs: DataFrame, min_support: float = 0.05, quantile: float = 0.001, share: float = 0.4, max_rows: int = 4000, **kw) -> DataFrame:
+def _low_supports(seen: DataFrame, quantile: float) -> DataFrame:
+    """(lang, support) -> (lang, its exact ``quantile``: the least support that so large a share doesn't exceed)."""
+    counts = seen.groupBy("lang", "support").agg(F.count(F.lit(1)).alias("n"))
+    upto = running_sums(counts, ["lang"], [F.col("support")], ["n"])
+    total = upto.groupBy("lang").agg(F.sum("n").alias("_all"))
+    return upto.join(total, "lang").where(F.col("cum_n") >= F.lit(quantile) * F.col("_all")).groupBy("lang").agg(F.min("support"))
+
+
+def keep_identified(docs: DataFrame, min_support: float = 0.05, quantile: float = 0.001, share: float = 0.4, max_rows: int | None = None, **kw) -> DataFrame:
     """The documents in some learned language: those with a letter whose n-grams are at least
     ``min_support`` of one language's, and at least ``share`` of that language's ``quantile`` of the
     supports of the labelled rows it was learned from. All columns stay as they were."""
@@ -238,7 +277,7 @@ def keep_identified(docs: DataFrame, min_support: float = 0.05, quantile: float
     labelled = d.where(fold(F.col("doc_id"), 4) != 2)
     model = fit(labelled, max_rows, **kw)
     seen = learned_rows(labelled.where(F.col("lang").isNotNull()), max_rows).select("lang", predict(d, model, F.col("text")).alias("_p"))
-    low = seen.where((F.col("_p.lang_pred") == F.col("lang")) & (F.col("_p.support") > 0)).groupBy("lang").agg(F.percentile_approx("_p.support", quantile, 10_000))
+    low = _low_supports(seen.where((F.col("_p.lang_pred") == F.col("lang")) & (F.col("_p.support") > 0)).select("lang", F.col("_p.support").alias("support")), quantile)
     least = [F.lit(v) for x, q in sorted(map(tuple, low.collect())) for v in (x, max(min_support, share * q))]
     need = F.coalesce(F.try_element_at(F.create_map(*least), F.col("_p.lang_pred")), F.lit(min_support)) if least else F.lit(min_support)
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), predict(docs, model, F.col("`text`")).alias("_p"))
