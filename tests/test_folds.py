@@ -127,3 +127,16 @@ def test_iterative_stratification_per_client_and_of_few_rows(spark):
     many = spark.createDataFrame([(i, [i]) for i in range(30)], "pid int, dx array<int>")
     with pytest.raises(ValueError):
         K.multilabel_folds(many)
+
+
+def test_grid_takes_a_digest_a_pid_and_seed(spark):
+    """The digest is taken before the tasks are dealt out, and sorted as bytes."""
+    rows = [(i, i % 2, i % 3 > 0, i % 5 > 0, i % 7 > 0, [i % 4 + 1]) for i in range(60)]
+    lab = spark.createDataFrame([(i, a, int(b), int(c), int(d), x) for i, a, b, c, d, x in rows], "pid long, mort int, los3 int, los7 int, readm int, dx array<int>")
+    grid = K.fold_grid(lab, seeds=(1, 2))
+    plan = grid.where("task <> 'dx'")._jdf.queryExecution().analyzed().toString()
+    assert "unhex" in plan and plan.rindex("md5") > plan.index("inline")
+    got = {(r.pid, r.task, r.seed): r.fold for r in grid.collect()}
+    want = {(r.pid, r.task, r.seed): r.fold for r in K.stratified_folds(lab, seeds=(1, 2)).collect()}
+    want |= {(r.pid, "all", r.seed): r.fold for r in K.random_folds(lab, seeds=(1, 2)).collect()}
+    assert {k: v for k, v in got.items() if k[1] != "dx"} == want

@@ -149,13 +149,17 @@ def fold_grid(labels: DataFrame, pid: str = "pid", seeds: Sequence[int] = SEEDS,
               group: Sequence[str] = ()) -> DataFrame:
     """Long fold table (pid, [group], task, seed, scheme, fold): stratified per binary task and random for 'all', ranked
     in one pass over the union; dx iteratively stratified."""
-    items = [F.struct(F.lit(t).alias("task"), F.lit("strat").alias("scheme"), F.col(t).cast("int").alias("st"))
-             for t in BINARY_TASKS]
-    items += [F.struct(F.lit("all").alias("task"), F.lit("rand").alias("scheme"), F.lit(0).alias("st"))]
-    x = with_seeds(labels.select(pid, *group, F.explode(F.array(*items)).alias("_i")), seeds)
-    x = x.select(pid, *group, "seed", "_i.task", "_i.scheme", "_i.st")
+    # a row's digest is that of its pid and seed: taken before the tasks are dealt out, which go by number till the end
+    x = with_seeds(labels.select(pid, *group, *BINARY_TASKS), seeds).withColumn("_key", split_key(F.col(pid), F.col("seed")))
+    items = [F.struct(F.lit(i).alias("_task"), F.col(t).cast("int").alias("_st")) for i, t in enumerate(BINARY_TASKS)]
+    items += [F.struct(F.lit(len(BINARY_TASKS)).alias("_task"), F.lit(0).alias("_st"))]
+    x = x.select(pid, *group, "seed", "_key", F.inline(F.array(*items)))
+    x = rank_in_strata(x, [*group, "_task", "seed", "_st"], F.col("_key"), pid)
+    name = F.element_at(F.array(*[F.lit(t) for t in (*BINARY_TASKS, "all")]), F.col("_task") + 1)
+    x = x.select(pid, *group, "seed", name.alias("task"), F.when(F.col("_task") < len(BINARY_TASKS), F.lit("strat")).otherwise(F.lit("rand")).alias("scheme"),
+                 fold_of(F.col("_r"), F.col("_n")).alias("fold"))
     dx = multilabel_folds(labels, pid, "dx", seeds, group).drop("stratum").withColumns({"task": F.lit("dx"), "scheme": F.lit("strat")})
-    return assign(x, pid, [*group, "task", "scheme", "seed", "st"]).drop("st").unionByName(dx)
+    return x.unionByName(dx)
 
 
 def label_share(folds: DataFrame) -> DataFrame:

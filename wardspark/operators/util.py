@@ -206,8 +206,8 @@ def rank_by_hash(df: DataFrame, keys: Sequence[str], key: Column, more: Sequence
     a table of at most groups x cells rows.
     """
     n = max(16, parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    x = df.withColumn("_h", key)
-    x = x.withColumn("_cell", F.floor(F.conv(F.substring("_h", 1, 6), 16, 10).cast("bigint") * n / F.lit(1 << 24)).cast("int"))
+    cell = F.floor(F.conv(F.substring(key, 1, 6), 16, 10).cast("bigint") * n / F.lit(1 << 24)).cast("int")
+    x = df.withColumns({"_cell": cell, "_h": F.unhex(key)})  # bytes sort as their hex text does, at half the size
     group = Window.partitionBy(*keys)
     cells = x.groupBy(*keys, "_cell").agg(F.count(F.lit(1)).alias("_n"))
     cells = cells.select(F.col("_cell").alias("_c"), *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)],
