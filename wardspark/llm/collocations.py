@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from wardspark.llm.common import mix64, pack, parallelism, slices, stage, take_columns, unpack, word_hashes
 
 LONGEST = 4                    # words of a phrase
-CHUNK_BYTES = 6 << 20          # text of a chunk
+CHUNK_BYTES = 3 << 20          # text of a chunk
 SEGMENT = 1 << 18              # words of a segment of one text
 PART_MASS = 8 << 20            # phrases counted in one hash partition, about
 HEAD, AHEAD = 1, 2             # flags of a word: begins a piece; only looked at from the words before
