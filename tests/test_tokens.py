@@ -131,3 +131,38 @@ def test_pretokenize_and_vocab(spark):
     toks = df.select(F.explode(K.pretokenize(F.col("text"))).alias("token"))
     v = {r["token"]: (r["freq"], r["id"]) for r in K.build_vocab(toks).collect()}
     assert v == {"a": (3, 1000), "b": (2, 1001), ",": (1, 1002)}
+
+
+def test_document_tokens_are_those_of_the_digit_splitter(spark):
+    texts = ["", " ", "plain words, no digit!", "12.5mg 1.2.3 ... .5 5. a.b a1b2c v1.2.3-x", "x y z 7é7", "número 3,4;5 \U0001f600 8\U0001f6009", ".", "..", "a..", "1e-5", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts * 60)], "i int, t string").repartition(3)
+    x = df.select(K.document_tokens(F.col("t")).alias("a"), K.pretokenize(T.digit_split_text(F.col("t"))).alias("b"))
+    assert all(r.a == r.b for r in x.collect())
+
+
+def test_a_vocabulary_held_whole_needs_no_second_pass(spark):
+    df = spark.createDataFrame([(1, ["a", "7", "new"]), (2, []), (3, None)], "k int, toks array<string>")
+    vocab = spark.createDataFrame([("a", 3, K.WORD_BASE), ("b", 1, K.WORD_BASE + 1)], "token string, freq long, id int")
+    x = K.encode_tokens(df, "k", "toks", vocab, "ids")
+    assert "Join" not in x._jdf.queryExecution().optimizedPlan().toString()
+    more = K.encode_tokens(df, "k", "toks", vocab, "ids", top=1)
+    assert "Join" in more._jdf.queryExecution().optimizedPlan().toString()
+    assert [r.ids for r in x.orderBy("k").collect()] == [r.ids for r in more.orderBy("k").collect()]
+    assert x.where("k = 1").first().ids == [K.WORD_BASE, 128, K.UNK]
+
+
+def test_stored_parts_are_not_spelled_again(spark):
+    df = spark.createDataFrame([(1, "LAB", "ab 12", 0)], "event_id long, TABLE_NAME string, c string, time_bucket int")
+    parts = K.event_parts(df, ["c"])
+    assert K.event_parts(parts, ["c"]) is parts
+    vocab = spark.createDataFrame([("ab", 1, 1000), ("LAB", 1, 1001), ("c", 1, 1002)], "token string, freq long, id int")
+    plain, stored = (K.event_tokens(x, ["c"], vocab).select("ids", "types", "dpes").collect() for x in (df, parts))
+    assert plain == stored and plain[0].ids == [1001, 1002, 1000, 122, 123, 4]
+
+
+def test_flattening_passes_over_padding(spark):
+    df = spark.sql("""SELECT array(array(named_struct('i', 101, 't', 1, 'd', 0), named_struct('i', 7, 't', 4, 'd', 1)), array(named_struct('i', 0, 't', 0, 'd', 0)),
+      array(named_struct('i', -3, 't', 7, 'd', 1), named_struct('i', 0, 't', 0, 'd', 0)), array(named_struct('i', 102, 't', 2, 'd', 0))) AS hi""")
+    r = df.select(K.flatten_hi(F.col("hi"), 6).alias("f"), K.count_nonempty_rows(F.col("hi")).alias("n")).first()
+    assert [tuple(s) for s in r.f] == [(101, 1, 0), (7, 4, 1), (-3, 7, 1), (102, 2, 0), (0, 0, 0), (0, 0, 0)] and r.n == 3
+    assert df.select(K.count_time_tokens(K.flatten_hi(F.col("hi"))).alias("n")).first().n == 1

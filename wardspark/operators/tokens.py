@@ -12,6 +12,7 @@ to at most ``max_events``.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 import numpy as np
@@ -41,24 +42,56 @@ def pretokenize(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(TOKEN_RE), 0)
 
 
+def _split_word(w: str) -> str:
+    """One word with a digit or point as ``text.digit_split_text`` spells it."""
+    last = max(w.rfind(c) for c in "0123456789.") + 1
+    if not _DIGIT.search(w) and w.strip("."):
+        return w
+    head, point, tail = w[:last].partition(".")
+    return " ".join([*head, *point, *tail.replace(".", ""), *filter(None, [w[last:]])])
+
+
+_DIGIT, _NUMBER, _TOKEN = re.compile("[0-9]"), re.compile("[0-9.]"), re.compile(TOKEN_RE)
+TOKEN_ROWS = 256            # documents whose tokens one step holds as Python strings
+
+
+def document_tokens(text: Column) -> Column:
+    """``pretokenize(text.digit_split_text(text))`` for whole documents: words without a digit or point, nearly all, are
+    passed over by one search each instead of an array a word."""
+    @F.arrow_udf("array<string>")
+    def split(col: pa.Array) -> pa.Array:
+        done = []
+        for at in range(0, max(1, len(col)), TOKEN_ROWS):
+            rows = col.slice(at, TOKEN_ROWS).to_pylist()
+            done.append(pa.array([None if t is None else _TOKEN.findall(" ".join([_split_word(w) if _NUMBER.search(w) else w for w in t.split()]))
+                                  for t in rows], pa.list_(pa.string())))
+        return pa.concat_arrays(done)
+
+    return split(text)
+
+
 def fixed_id(tok: Column) -> Column:
     """Ids that do not depend on the vocabulary (digits and the decimal point)."""
     return F.when(tok.rlike("^[0-9]$"), F.lit(121) + tok.cast("int")).when(tok == ".", F.lit(119))
 
 
+def _is_fixed(tok: Column) -> Column:
+    return tok.isin(*"0123456789.")
+
+
 def build_vocab(tokens: DataFrame, token: str = "token") -> DataFrame:
     """(token, freq, id) from a token column: frequency rank (ties by token) -> 1000 + rank - 1.
 
     The rank is global but computed without a single-partition sort (range partitions +
     per-partition counts + offsets)."""
-    counts = tokens.where(fixed_id(F.col(token)).isNull()).groupBy(token).agg(F.count(F.lit(1)).alias("freq"))
+    counts = tokens.where(F.coalesce(~_is_fixed(F.col(token)), F.lit(True))).groupBy(token).agg(F.count(F.lit(1)).alias("freq"))
     ranked = global_rank(counts, [F.desc("freq"), F.asc(token)], "_rk")
     return ranked.select(token, "freq", (F.col("_rk") + (WORD_BASE - 1)).cast("int").alias("id"))
 
 
 def words_of(tokens: Column) -> Column:
     """The tokens without fixed ids: digits and points are left out before anything is exploded."""
-    return F.filter(tokens, lambda t: ~t.rlike("^[0-9.]$"))
+    return F.filter(tokens, lambda t: ~_is_fixed(t))
 
 
 class Known:
@@ -102,8 +135,9 @@ def encode_tokens(df: DataFrame, key: str, tokens: str, vocab: DataFrame, out: s
     """Replace the string array ``tokens`` by ids (OOV -> [UNK]); rows keyed by unique ``key``.
 
     Digits, the point and the ``top`` most frequent words are resolved where the rows lie, by a map of bounded
-    size. Each row's other distinct words, and only these, are shuffled to the vocabulary. ``others`` (token, ids) gives
-    the ids of these words (several a word) in place of the vocabulary.
+    size. Each row's other distinct words, and only these, are shuffled to the vocabulary; where the map holds the whole
+    vocabulary, they are [UNK] without a shuffle. ``others`` (token, ids) gives the ids of these words (several a word)
+    in place of the vocabulary.
     """
     sent = df.sparkSession.sparkContext.broadcast({"words": known_tokens(vocab, top)})  # a worker keeps its map beside it
 
@@ -114,6 +148,9 @@ def encode_tokens(df: DataFrame, key: str, tokens: str, vocab: DataFrame, out: s
         return known.resolve(col)
 
     many = others is not None
+    if not many and vocab.where((F.col("id") >= WORD_BASE + top) | (F.length("token") > TOP_CHARS)).isEmpty():
+        x = df.withColumn("_r", resolve(F.col(tokens)))
+        return x.withColumn(out, F.transform("_r.ids", lambda i: F.when(i >= 0, i).otherwise(F.lit(UNK)))).drop("_r")
     table = (others.select(F.col("token").alias("_tok"), F.col("ids").alias("_vid")) if many
              else vocab.select(F.col("token").alias("_tok"), F.col("id").alias("_vid")))
     x = df.withColumn("_r", resolve(F.col(tokens)))
@@ -143,7 +180,9 @@ def cell_text(df: DataFrame, col: str) -> Column:
 
 def event_parts(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Adds ``_tok`` (token strings) and ``_typ`` (type ids) for table name, then each
-    non-blank cell's column name and value."""
+    non-blank cell's column name and value. Events that were stored with both keep them."""
+    if {"_tok", "_typ"} <= set(df.columns):
+        return df
     parts = F.array(*[F.struct(F.lit(c).alias("col"), pretokenize(cell_text(df, c)).alias("vt")) for c in cols])
     parts = F.filter(parts, lambda p: F.size(p["vt"]) > 0)   # a cell without tokens is skipped whole
     table = F.struct(pretokenize(F.col("TABLE_NAME")).alias("t"), F.lit(TYPE_TABLE).alias("k"))
@@ -251,9 +290,14 @@ def hierarchical(seqs: DataFrame, width: int = MAX_WORDS, max_events: int = MAX_
     return x
 
 
+def _has_ids(row: Column) -> Column:
+    return (F.array_max(row["i"]) != PAD) | (F.array_min(row["i"]) != PAD)
+
+
 def flatten_hi(hi: Column, max_len: int = MAX_LEN) -> Column:
     """Hierarchical -> flat: drop PAD/CLS/SEP ids, CLS first, SEP last, zero-pad to ``max_len``."""
-    body = F.filter(F.flatten(hi), lambda s: ~s["i"].isin(PAD, CLS, SEP))
+    # rows of padding alone, nearly all of a padded sequence, are told by their largest and least id
+    body = F.flatten(F.transform(F.filter(hi, _has_ids), lambda row: F.filter(row, lambda s: ~s["i"].isin(PAD, CLS, SEP))))
     cls = F.struct(F.lit(CLS).alias("i"), F.lit(TYPE_CLS).alias("t"), F.lit(0).alias("d"))
     sep = F.struct(F.lit(SEP).alias("i"), F.lit(TYPE_SEP).alias("t"), F.lit(0).alias("d"))
     zero = F.struct(F.lit(0).alias("i"), F.lit(0).alias("t"), F.lit(0).alias("d"))
@@ -262,11 +306,11 @@ def flatten_hi(hi: Column, max_len: int = MAX_LEN) -> Column:
 
 
 def count_time_tokens(arr: Column) -> Column:
-    return F.size(F.filter(arr, lambda s: s["t"] == TYPE_TIME))
+    return F.size(arr) - F.size(F.array_remove(arr["t"], TYPE_TIME))
 
 
 def count_nonempty_rows(hi: Column) -> Column:
-    return F.size(F.filter(hi, lambda row: F.exists(row, lambda s: s["i"] != 0)))
+    return F.size(F.filter(hi, _has_ids))
 
 
 # ----------------------------------------------------------------------------- batches

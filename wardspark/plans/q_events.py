@@ -44,7 +44,9 @@ def windowed_table(spark, d, spec, drop_null=True):
 
 
 def event_stage(spark, d, hour=False, bucket=True):
-    u = V.union_outer([windowed_table(spark, d, s) for s in SPECS])
+    # the windows are joined once: columns without a value, and the patients' counts, are found in what is stored
+    u = store(V.union_outer([windowed_table(spark, d, s, drop_null=False) for s in SPECS]), "windowed")
+    u = V.drop_all_null(u, keep=("event_id", "ID", "TIME", "TABLE_NAME"))
     if hour:
         u = u.withColumn("TIME", (F.floor(F.col("TIME") / 60) * 60).cast("bigint"))
     # canonical event table: a stage output; ordering samples its keys and reads it once

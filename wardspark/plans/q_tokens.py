@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
-from wardspark.functions import text as T
 from wardspark.operators import subword as S
 from wardspark.operators import tokens as K
 from wardspark.plans.catalog import query
@@ -27,7 +26,7 @@ def ints_text(c, sep=","):
 def doc_tokens(spark, d):
     """Tokenised corpus: a stage output (vocabulary build and encoding both read it)."""
     t = X.fx_text(spark, d)
-    return store(t.select("doc_id", K.pretokenize(T.digit_split_text(F.col("text"))).alias("toks")), "doc-tokens")
+    return store(t.select("doc_id", K.document_tokens(F.col("text")).alias("toks")), "doc-tokens")
 
 
 def doc_vocab(spark, d, toks=None):
@@ -36,8 +35,9 @@ def doc_vocab(spark, d, toks=None):
 
 
 def events_and_vocab(spark, d):
-    """The canonical event table, a stage output, and the vocabulary of all its events."""
-    ev = store(event_stage(spark, d), "events")
+    """The canonical event table with the parts of its events, a stage output, and the vocabulary of all of them: the
+    parts are spelled once and read by vocabulary, budget and encoding."""
+    ev = store(K.event_parts(event_stage(spark, d), VALUE_COLS), "events")
     return ev, K.build_vocab(K.event_corpus(ev, VALUE_COLS))
 
 
@@ -271,8 +271,10 @@ def seq_discards(spark, d):
 
 
 def _struct_text(arr):
-    return F.array_join(F.transform(arr, lambda s: F.concat_ws(":", s["i"].cast("string"), s["t"].cast("string"),
-                                                             s["d"].cast("string"))), ",")
+    def spelled(s):
+        padding = (s["i"] == 0) & (s["t"] == 0) & (s["d"] == 0)
+        return F.when(padding, F.lit("0:0:0")).otherwise(F.concat_ws(":", s["i"].cast("string"), s["t"].cast("string"), s["d"].cast("string")))
+    return F.array_join(F.transform(arr, spelled), ",")
 
 
 @query("event_fixed", with_ctes("""
