@@ -88,7 +88,7 @@ def mine(labelled: DataFrame, min_support: float = 0.002, min_confidence: float
     below a rule comes level by level from the sets that are one token shorter.
     """
     rows = stage(labelled.select(F.monotonically_increasing_id().alias("_r"), "tokens", "verdict"), "url-labelled")
-    least = math.ceil(min_support * rows.count())
+    least = max(1, math.ceil(min_support * rows.count()))
     alike = stage(same_rows(rows, least), "url-alike")
     t = rows.select("_r", "verdict", F.explode("tokens").alias("_t")).join(alike.select(F.col("rep").alias("_t")), "_t") \
         .groupBy("_r", "verdict").agg(F.concat(F.collect_list("_t"), F.array(F.concat(F.lit("="), F.col("verdict")))).alias("items"))
